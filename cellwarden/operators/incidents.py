@@ -69,7 +69,7 @@ def create_incidents(
     return chosen.select(
         [
             (F.col(f.name) if f.name in given else defaults.get(f.name, F.lit(None)))
-            .cast(f.dataType)
+            .cast(f.dataType.simpleString())
             .alias(f.name)
             for f in INCIDENTS
         ]
