@@ -137,15 +137,15 @@ def detect_sessions(
         .withColumn("_chunk", F.date_trunc(chunk, "started"))
     )
     local = _merge(_islands(points, [*SERIES, "_chunk"], "started", "ended", gap), [*SERIES, "_chunk"])
-    in_chunk = Window.partitionBy(*SERIES, "_chunk")
-    local = local.withColumn("_last", F.max("_island").over(in_chunk))
+    # Edge runs of all chunks form one series; inner runs stay apart, in a series per chunk.
+    last = F.max("_island").over(Window.partitionBy(*SERIES, "_chunk"))
     edge = (F.col("_island") == 0) | (F.col("_island") == F.col("_last"))
-    columns = [*SERIES, "started", "ended", "total", "n"]
-    edges = local.where(edge).select(*columns)
-    stitched = _merge(_islands(edges, SERIES, "started", "ended", gap), SERIES).select(*columns)
-    inner = local.where(~edge).select(*columns)
-    sessions = stitched.unionByName(inner).withColumn("kpi_value", F.col("total") / F.col("n"))
-    return describe(sessions, rules).select(
+    runs = local.withColumn("_last", last).select(
+        *SERIES, F.when(~edge, F.col("_chunk")).alias("_inner"), "started", "ended", "total", "n"
+    )
+    by = [*SERIES, "_inner"]
+    sessions = _merge(_islands(runs, by, "started", "ended", gap), by)
+    return describe(sessions.withColumn("kpi_value", F.col("total") / F.col("n")), rules).select(
         *CELL, "description", "kpi", "kpi_value", "started", "ended", F.col("n").alias("violations")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellwarden.functions.columns import seconds_text
 from cellwarden.functions.markdown import links, section
+from cellwarden.operators.traces import trace_summary
 
 # Section names and order.
 GENERAL_INFO = "General info"
@@ -22,6 +23,7 @@ REPORT_SECTIONS = (
     "References",
 )
 NOTHING = "No relevant information."
+NO_TRACES = "No cell traces found"
 
 
 def append_section(
@@ -55,23 +57,12 @@ def general_info(kpi_missed: Column, start: Column, end: Column) -> Column:
 
 
 def trace_section(incidents: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per incident ``OUTCOME: n, ...`` in order of name, and the status of the retrieval.
-
-    The list has one entry per distinct outcome of the incident, already counted.
-    """
-    line = F.concat(F.col("connection_outcome"), F.lit(": "), F.col("n").cast("string"))
-    texts = stats.groupBy("incident_id").agg(
-        F.array_sort(F.collect_list(F.struct("connection_outcome", line.alias("line")))).alias("_l")
-    )
-    joined = incidents.select("incident_id").join(texts, "incident_id", "left")
+    """Per incident the text of its trace outcomes and the status of the retrieval."""
+    joined = incidents.select("incident_id").join(trace_summary(stats), "incident_id", "left")
     return joined.select(
         "incident_id",
-        F.coalesce(F.array_join(F.transform("_l", lambda x: x["line"]), ", "), F.lit("")).alias(
-            "trace_statistics"
-        ),
-        F.when(F.col("_l").isNull(), "No cell traces found").otherwise("Success").alias(
-            "trace_status"
-        ),
+        F.coalesce("trace_statistics", F.lit("")).alias("trace_statistics"),
+        F.when(F.col("traces").isNull(), NO_TRACES).otherwise("Success").alias("trace_status"),
     )
 
 

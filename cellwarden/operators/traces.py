@@ -49,11 +49,19 @@ def outcome_share(stats: DataFrame, pattern: str = SECURITY) -> DataFrame:
     )
 
 
-def security_failure_share(stats: DataFrame, pattern: str = SECURITY) -> DataFrame:
-    """One row per incident: number of traces and percent of outcomes matching ``pattern``."""
+def trace_summary(stats: DataFrame, pattern: str = SECURITY) -> DataFrame:
+    """One row per incident that has traces: their number, the percent of outcomes matching
+    ``pattern``, and the text ``OUTCOME: n, ...`` in order of name.
+
+    The list has one entry per distinct outcome of the incident, already counted.
+    """
     matching = F.sum(F.when(F.col("connection_outcome").rlike(pattern), F.col("n")).otherwise(0))
+    line = F.concat(F.col("connection_outcome"), F.lit(": "), F.col("n").cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("connection_outcome", line.alias("line"))))
     return stats.groupBy("incident_id").agg(
-        F.sum("n").alias("traces"), (matching * 100.0 / F.sum("n")).alias("security_failure_pct")
+        F.sum("n").alias("traces"),
+        (matching * 100.0 / F.sum("n")).alias("security_failure_pct"),
+        F.array_join(F.transform(lines, lambda x: x["line"]), ", ").alias("trace_statistics"),
     )
 
 

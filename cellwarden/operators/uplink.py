@@ -16,14 +16,19 @@ OPTIMUM = {"pZeroNominalPucch": -114.0, "pZeroNominalPusch": -100.0}
 TOLERANCE = 0.05
 
 
-def uplink_rssi(incidents: DataFrame, performance: DataFrame, **options) -> DataFrame:
-    """Mean UL_RSSI of the cell over the incident; NULL where the cell reported none."""
+def rssi_levels(incidents: DataFrame, performance: DataFrame, **options) -> DataFrame:
+    """(incident_id, uplink_rssi): mean UL_RSSI, for incidents whose cell reported any."""
     day = [c for c in ("date",) if c in performance.columns]
     narrow = performance.select(*CELL, "measurement_end", "UL_RSSI", *day)
     inside = facts_in_windows(
         incidents, narrow, CELL_KEYS, "measurement_end", "measurement_end", ordered=True, **options
     )
-    levels = inside.groupBy("incident_id").agg(F.avg("UL_RSSI").alias("uplink_rssi"))
+    return inside.groupBy("incident_id").agg(F.avg("UL_RSSI").alias("uplink_rssi"))
+
+
+def uplink_rssi(incidents: DataFrame, performance: DataFrame, **options) -> DataFrame:
+    """Mean UL_RSSI of the cell over each incident; NULL where the cell reported none."""
+    levels = rssi_levels(incidents, performance, **options)
     return incidents.select("incident_id", *CELL).join(levels, "incident_id", "left")
 
 

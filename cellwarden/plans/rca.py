@@ -15,7 +15,6 @@ from cellwarden.operators.report import (
     append_section,
     build_report,
     general_info,
-    trace_section,
 )
 from cellwarden.operators.rules import collect_rules
 from cellwarden.operators.similarity import (
@@ -28,8 +27,8 @@ from cellwarden.operators.similarity import (
     vector_topk,
     with_incident_columns,
 )
-from cellwarden.operators.traces import cell_trace_stats, security_failure_share
-from cellwarden.operators.uplink import config_deviation, rssi_out_of_range, uplink_configuration, uplink_rssi
+from cellwarden.operators.traces import cell_trace_stats, trace_summary
+from cellwarden.operators.uplink import config_deviation, rssi_levels, rssi_out_of_range, uplink_configuration
 from cellwarden.session import cut_lineage
 
 
@@ -49,16 +48,15 @@ def measured_cases(
     All parts are keyed by incident_id, so their aggregates meet without moving the large
     tables again. Configuration is compared only where the uplink level is out of range.
     """
-    stats = cut_lineage(cell_trace_stats(incidents, traces))
-    levels = uplink_rssi(incidents, performance).select("incident_id", "uplink_rssi")
+    summary = trace_summary(cell_trace_stats(incidents, traces))
+    levels = rssi_levels(incidents, performance)
     cases = (
         incidents.select(
             "incident_id", "start_ts", "end_ts", "description", "kpi_missed", "enodeb_id", "cell_id"
         )
         .join(collect_rules(incidents, rules), "incident_id", "left")
         .join(levels, "incident_id", "left")
-        .join(security_failure_share(stats), "incident_id", "left")
-        .join(trace_section(incidents, stats), "incident_id", "left")
+        .join(summary, "incident_id", "left")
     )
     cases = uplink_configuration(cases, cell_config)
     cases = config_deviation(
@@ -72,7 +70,8 @@ def measured_cases(
         cases, GENERAL_INFO, general_info(F.col("kpi_missed"), F.col("start_ts"), F.col("end_ts"))
     )
     uses_traces = F.array_contains("processing_rule_tools", "get_cell_trace_statistics")
-    return append_section(cases, TRACE_STATISTICS, F.col("trace_statistics"), where=uses_traces)
+    outcomes = F.coalesce("trace_statistics", F.lit(""))
+    return append_section(cases, TRACE_STATISTICS, outcomes, where=uses_traces)
 
 
 def analysed_cases(measured: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_kpis(detect.potential_incidents(performance(spark, sf)))
+    """The incident table: detected once and written, as the analysis reads it from storage."""
+    return cut_lineage(rounded_kpis(detect.potential_incidents(performance(spark, sf))))
 
 
 def kpi_value():
@@ -99,15 +100,16 @@ def kpi_name():
 
 def cell_incidents(spark: SparkSession, sf: str) -> DataFrame:
     """Incidents with one and with two missed KPIs."""
-    single = candidates(spark, sf).select("incident_id", "kpi_missed")
-    both = candidates(spark, sf).groupBy(F.concat("enodeb_id", F.lit("/"), "cell_id").alias("incident_id")).agg(
+    found = candidates(spark, sf)
+    single = found.select("incident_id", "kpi_missed")
+    both = found.groupBy(F.concat("enodeb_id", F.lit("/"), "cell_id").alias("incident_id")).agg(
         F.array_sort(F.flatten(F.collect_list("kpi_missed"))).alias("kpi_missed")
     )
     return single.unionByName(both)
 
 
 def measured(spark: SparkSession, sf: str) -> DataFrame:
-    found = cut_lineage(candidates(spark, sf))
+    found = candidates(spark, sf)
     cases = rca.measured_cases(
         found,
         derived(spark, sf, "rules"),
@@ -330,11 +332,12 @@ def incident_candidates(spark, sf):
 
 
 def prioritize_incidents(spark, sf):
-    cases = candidates(spark, sf).withColumn("uplink_rssi", F.lit(None).cast("double"))
+    found = candidates(spark, sf)
+    cases = found.withColumn("uplink_rssi", F.lit(None).cast("double"))
     levels = analysis.classify_severity(cases, SEVERITY_RULES).select(
         "incident_id", F.col("severity_level").alias("severity")
     )
-    ranked = detection.prioritize_incidents(candidates(spark, sf), levels)
+    ranked = detection.prioritize_incidents(found, levels)
     return plain(ranked.select("incident_id", "severity", "overshoot", "priority"))
 
 
@@ -376,7 +379,11 @@ def gate_tools(spark, sf):
 
 
 def cell_trace_stats(spark, sf):
-    return traces.cell_trace_stats(candidates(spark, sf), derived(spark, sf, "cell_traces"))
+    return _stats(candidates(spark, sf), spark, sf)
+
+
+def _stats(found, spark, sf):
+    return traces.cell_trace_stats(found, derived(spark, sf, "cell_traces"))
 
 
 def outcome_share(spark, sf):
@@ -417,7 +424,7 @@ def classify_severity(spark, sf):
 
 
 def _acting(spark, sf):
-    """Cases whose earlier actions are kept: an executed one for low success rates."""
+    """Cases with an executed action from before where the KPI value is above 35."""
     done = F.struct(
         F.lit("open_ticket").alias("tool_name"), F.lit("call drops").alias("reason_to_perform"),
         F.lit(None).cast("map<string,string>").alias("parameters"), F.lit("EXECUTED").alias("status"),
@@ -444,10 +451,9 @@ def actions_toolset(spark, sf):
 
 
 def issue_adjustments(spark, sf):
-    approved = candidates(spark, sf).where(kpi_value() < 40).select(
-        "incident_id", F.lit(actions.ADJUST).alias("tool_name")
-    )
-    return actions.issue_adjustments(_acting(spark, sf), approved)
+    cases = _acting(spark, sf)
+    approved = cases.where(kpi_value() < 40).select("incident_id", F.lit(actions.ADJUST).alias("tool_name"))
+    return actions.issue_adjustments(cases, approved)
 
 
 # --- similarity ------------------------------------------------------------------------------
@@ -573,7 +579,8 @@ def general_info_section(spark, sf):
 
 
 def trace_section(spark, sf):
-    return report.trace_section(candidates(spark, sf), cell_trace_stats(spark, sf))
+    found = candidates(spark, sf)
+    return report.trace_section(found, _stats(found, spark, sf))
 
 
 def build_report(spark, sf):
