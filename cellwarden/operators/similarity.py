@@ -44,7 +44,8 @@ def _narrow(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def _matrix(vectors: pa.Array) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 
 def _ids(column) -> np.ndarray:
@@ -85,7 +86,7 @@ def _against_matrix(base: DataFrame, queries: DataFrame, k: int, metric: str, ex
         best_id = np.empty(0, dtype=ids.dtype)
         best_d = np.empty(0)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(ids):
                 continue
             rows = _ids(batch.column("id"))
             q, b, d = local_topk(
