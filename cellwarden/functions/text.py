@@ -29,11 +29,15 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
-def snippet(text: Column, term: Column, width: int) -> Column:
-    """``width`` characters of ``text`` centred on the first place where ``term`` occurs."""
-    at = F.position(term, F.lower(text))
-    start = F.greatest(F.lit(1), at - F.lit(width // 2))
-    return F.when(at > 0, F.substr(text, start, F.lit(width)))
+def first_hit(text: Column, terms: Column) -> Column:
+    """Position (from 1) of the first occurrence of any of the tokens ``terms``; 0 if none."""
+    return F.regexp_instr(F.lower(text), F.array_join(terms, "|"))
+
+
+def snippet(text: Column, place: Column, width: int) -> Column:
+    """``width`` characters of ``text`` around the position ``place``."""
+    start = F.greatest(F.lit(1), place - F.lit(width // 2))
+    return F.when(place > 0, F.substr(text, start, F.lit(width)))
 
 
 def one_deletion(term: Column) -> Column:

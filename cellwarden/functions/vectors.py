@@ -1,17 +1,12 @@
-"""Vector distance as columns, and the block kernel used inside tasks."""
+"""Block kernel of the vector search, used inside tasks."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 METRICS = ("euclidean", "cosine")
-
-
-def l2_normalised(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+# Scores held at a time (32 MB).
+SCORE_CELLS = 4_000_000
 
 
 def pair_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
@@ -23,13 +18,7 @@ def pair_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndarr
         return 1.0 - (base * query).sum(axis=1) / norms
 
 
-def local_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_self: bool):
-    """The k nearest rows of one base block for every row of one query block.
-
-    The matrix product gives scores that are exact up to rounding; every row within that
-    rounding of the k-th score is kept and measured again by direct difference, so the result
-    contains the true k nearest, and all ties at the k-th place are left to the caller.
-    """
+def _chunk_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_self: bool):
     if metric == "euclidean":
         scores = (base**2).sum(axis=1)[None, :] - 2.0 * query @ base.T
         scores += (query**2).sum(axis=1)[:, None]
@@ -38,19 +27,31 @@ def local_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_se
         unit_query = query / np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-300)
         scores = 1.0 - unit_query @ unit_base.T
     if exclude_self:
-        scores[np.asarray(query_ids)[:, None] == np.asarray(base_ids)[None, :]] = np.inf
+        scores[query_ids[:, None] == base_ids[None, :]] = np.inf
+    near = np.isfinite(scores)
     if scores.shape[1] > k:
         kth = np.partition(scores, k - 1, axis=1)[:, k - 1]
-        slack = 1e-9 * (1.0 + np.abs(kth))
-        near = scores <= (kth + slack)[:, None]
-    else:
-        near = np.isfinite(scores)
-    near &= np.isfinite(scores)
+        near &= scores <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None]
     q, b = np.nonzero(near)
     exact = pair_distances(base[b], query[q], metric)
-    # Same order as the caller's: distance, then id; at most k rows leave per query.
-    order = np.lexsort((np.asarray(base_ids)[b], exact, q))
+    # The caller's order: distance, then id. At most k rows leave per query.
+    order = np.lexsort((base_ids[b], exact, q))
     q, b, exact = q[order], b[order], exact[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
     return q[keep], b[keep], exact[keep]
+
+
+def local_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_self: bool):
+    """The k nearest rows of one base block for every row of one query block.
+
+    The matrix product gives scores that are exact up to rounding; every row within that
+    rounding of the k-th score is kept and measured again by direct difference, so the result
+    holds the true k nearest. Queries are taken in chunks that bound the score matrix.
+    """
+    step = max(1, SCORE_CELLS // max(1, len(base)))
+    parts = []
+    for start in range(0, len(query), step):
+        part = slice(start, start + step)
+        q, b, d = _chunk_topk(base_ids, base, query_ids[part], query[part], k, metric, exclude_self)
+        parts.append((q + start, b, d))
+    return tuple(np.concatenate(column) for column in zip(*parts))

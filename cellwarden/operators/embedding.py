@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwarden.functions.text import term_bucket, tokens
-from cellwarden.functions.vectors import l2_normalised
 
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -41,13 +40,12 @@ def embed_texts(
         .agg(F.count("*").cast("double").alias("_n"))
     )
     sparse = counts.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bucket", "_n"))).alias("_counts")
+        F.map_from_entries(F.collect_list(F.struct("_bucket", "_n"))).alias("_counts"),
+        F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"),
     )
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("_counts", i), F.lit(0.0)),
-    )
-    vectors = sparse.select(id_col, dense.alias("_dense")).select(
-        id_col, l2_normalised(F.col("_dense")).alias(out)
+        lambda i: F.coalesce(F.try_element_at("_counts", i), F.lit(0.0)) / F.col("_norm"),
     )
+    vectors = sparse.select(id_col, dense.alias(out))
     return df.drop(out).join(vectors, id_col, "left")

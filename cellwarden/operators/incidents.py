@@ -99,7 +99,7 @@ def update_incidents(incidents: DataFrame, cases: DataFrame) -> tuple[DataFrame,
         ).alias("_new"),
     )
     changed = ["status", "preliminary_analysis", "severity", "events", "events_embeddings"]
-    joined = incidents.join(ready, "incident_id", "left")
+    joined = lookup_join(incidents, ready, ["incident_id"], "left")
     updated = joined.select(
         [
             F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)

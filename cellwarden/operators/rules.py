@@ -58,7 +58,7 @@ def match_rules(
         F.col("_kpi") == F.col("_rule_kpi"),
         F.get(F.array_intersect("_kpis", "_rule_kpis"), F.lit(0)) == F.col("_kpi"),
     ]
-    if fits(right.select("rule_id"), max_broadcast_rows):
+    if fits(right, max_broadcast_rows):
         pairs = left.join(F.broadcast(right), condition, how)
     else:
         # Few KPIs cover most incidents, so the KPI alone would be a hot join key.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwarden.functions.text import deletion_variants, snippet, tokens
+from cellwarden.functions.text import deletion_variants, first_hit, snippet, tokens
 from cellwarden.scale import BROADCAST_ROWS, lookup_join
 from cellwarden.session import cut_lineage
 
@@ -52,7 +52,11 @@ def build_postings(
 
 
 def rank_postings(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """BM25 over written postings: (query_id, doc_id, score, rank), at most ``k`` per query."""
+    """BM25 over written postings: (query_id, doc_id, score, rank), at most ``k`` per query.
+
+    The postings of a document are brought together before they meet the queries, so a score is
+    complete in one task and only the ``k`` best per task and query move again.
+    """
     lengths = postings.where(F.col("term") == "")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     n, mean_length = corpus.select("n").scalar(), corpus.select("mean_length").scalar()
@@ -67,7 +71,7 @@ def rank_postings(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     tf = F.col("tf")
     damped = tf + K1 * (1.0 - B + B * F.col("length") / mean_length)
     scored = (
-        lookup_join(hits, weights, ["term"], rows=rows)
+        lookup_join(hits.repartition("doc_id"), weights, ["term"], rows=rows)
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(F.col("idf") * tf * (K1 + 1.0) / damped), SCORE_DIGITS).alias("score"))
     )
@@ -87,14 +91,15 @@ def text_search(
     """The ``k`` best documents of every query (query_id, query).
 
     Equal scores (to six digits) are ordered by document id. ``terms`` replaces the query
-    tokens, for corrected or expanded queries. The postings are written to the checkpoint
-    folder, because scores, document frequencies and corpus statistics all read them.
+    tokens, for corrected or expanded queries. The postings are written to the shared folder,
+    because scores, document frequencies and corpus statistics all read them; so are the
+    results, which callers count and join.
     """
     if terms is None:
         terms = query_terms(queries)
-    terms = cut_lineage(terms.select("query_id", "term").distinct())
-    postings = cut_lineage(build_postings(docs, terms, id_col, text_col))
-    return rank_postings(postings, terms, k)
+    terms = cut_lineage(terms.select("query_id", "term").distinct(), "terms")
+    postings = cut_lineage(build_postings(docs, terms, id_col, text_col), "postings")
+    return cut_lineage(rank_postings(postings, terms, k), "results")
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -160,11 +165,9 @@ def snippets(
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("_terms"))
     wanted = lookup_join(results, asked, ["query_id"])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    placed = F.transform("_terms", lambda t: F.struct(F.position(t, F.lower("_text")).alias("at"), t.alias("term")))
-    first = F.array_min(F.filter(placed, lambda p: p["at"] > 0))
     return (
         lookup_join(texts, wanted, ["doc_id"])
-        .withColumn("_term", first["term"])
-        .withColumn("snippet", snippet(F.col("_text"), F.col("_term"), width))
-        .drop("_text", "_terms", "_term")
+        .withColumn("_place", first_hit(F.col("_text"), F.col("_terms")))
+        .withColumn("snippet", snippet(F.col("_text"), F.col("_place"), width))
+        .drop("_text", "_terms", "_place")
     )

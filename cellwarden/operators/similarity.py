@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cellwarden.functions.columns import or_default
 from cellwarden.functions.vectors import METRICS, local_topk
 from cellwarden.scale import fits, lookup_join
+from cellwarden.session import cut_lineage
 
 # Neighbours per query, cutoff, limit of a likely match, texts.
 TOP_K = 5
@@ -197,7 +198,7 @@ def vector_topk(
     size = query_rows.agg(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
     ).first()
-    if method == "exact" and size["n"] * size["dim"] <= max_query_numbers:
+    if not size["n"] or (method == "exact" and size["n"] * size["dim"] <= max_query_numbers):
         near = _against_matrix(base_rows, query_rows, k, metric, exclude_self)
     elif method == "exact":
         base_blocks = _blocks(base_rows.count(), base_block)
@@ -246,10 +247,11 @@ def match_label(matches: DataFrame, likely: float = LIKELY) -> DataFrame:
 def with_incident_columns(matches: DataFrame, incidents: DataFrame, columns: list[str]) -> DataFrame:
     """Add columns of the matched incidents.
 
-    A countable number of matches is broadcast to the incident table. Otherwise the table is
-    first cut to the matched ids, and the matches are salted: one incident may be the nearest
-    to a large share of all queries.
+    The matches are written first, so that counting them does not search twice. Few are
+    broadcast to the incident table. Otherwise the table is first cut to the matched ids, and
+    the matches are salted: one incident may be the nearest to a large share of all queries.
     """
+    matches = cut_lineage(matches, "matches")
     wanted = incidents.select(F.col("incident_id").alias("base_id"), *columns)
     if fits(matches):
         return wanted.join(F.broadcast(matches), "base_id")

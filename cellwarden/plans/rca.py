@@ -97,7 +97,7 @@ def prior_incidents(
     """Formatted similar incidents per case; ``cases`` carry events_embeddings."""
     near = distance_cutoff(vector_topk(known, cases, k, exclude_self=exclude_self), cutoff)
     columns = ["events", "final_analysis", "cause", "resolution"]
-    full = with_incident_columns(cut_lineage(match_label(near, likely)), known, columns)
+    full = with_incident_columns(match_label(near, likely), known, columns)
     return format_prior_incidents(full, cases)
 
 

@@ -1,20 +1,24 @@
 """Size checks, salting and distributed ranking shared by the operators.
 
-The rule for every join here: a side is broadcast only after its rows were counted and found
-within a bound; otherwise the join shuffles, with the hot side salted.
+The rule for every join here: a side is broadcast only after its rows and bytes were measured
+and found within a bound; otherwise the join shuffles, with the hot side salted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwarden.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
@@ -25,9 +29,32 @@ def literal_rows(spark: SparkSession, rows: Sequence[Sequence], schema: pa.Schem
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count the rows (a map-side count, one small shuffle) and compare with the bound."""
-    return df.count() <= max_rows
+def _width(field: T.StructField) -> Column:
+    col = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure rows and bytes (one aggregate, combined before its shuffle) against the bounds."""
+    bytes_per_row = reduce(add, [_width(f) for f in df.schema.fields], F.lit(0)).cast("long")
+    size = df.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("bytes")
+    ).first()
+    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for a file scan that has fewer splits than the cluster has cores.
+
+    Such a table is small, so moving it is cheap; a large table has more splits and stays as it
+    is. Only for plain scans: asking other frames for their partitions would run them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def add_salt(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
@@ -56,10 +83,10 @@ def lookup_join(
     Within the bound the table is broadcast and the facts stay where they are. Beyond it the
     facts are salted and the table repeated per salt; this keeps inner, left, semi and anti
     joins exact because each fact row carries exactly one salt. ``rows`` is an upper bound of
-    the table's rows that the caller has already counted.
+    the rows of a table of ids and numbers, which the caller has already counted.
     """
     on = list(on)
-    if (table.count() if rows is None else rows) <= max_rows:
+    if fits(table, max_rows) if rows is None else rows <= max_rows:
         return facts.join(F.broadcast(table), on, how)
     return (
         add_salt(facts, salts)

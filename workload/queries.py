@@ -210,7 +210,7 @@ def load_rules(spark, sf):
     table(spark, sf, "supplier").select(
         F.concat(F.lit("rule-"), F.col("s_suppkey").cast("string")).alias("stem"),
         F.to_json(body, {"pretty": "true"}).alias("value"),
-    ).write.partitionBy("stem").text(path)
+    ).repartition(spark.sparkContext.defaultParallelism, "stem").write.partitionBy("stem").text(path)
     loaded = rule_files.load_rules(spark, path, r"stem=([^/]+)/")
     return plain(
         loaded.select(
