@@ -145,10 +145,10 @@ select q.vec_id query_id, b.vec_id base_id, b.label,
        list_distance(b.embedding::double[], q.embedding::double[]) distance
 from embeddings q, embeddings b""",
     "topk": """
-select *, row_number() over (partition by query_id order by distance, base_id) rank from near
+select *, cast(row_number() over (partition by query_id order by distance, base_id) as integer) rank from near
 qualify rank <= 5""",
     "topk_others": """
-select *, row_number() over (partition by query_id order by distance, base_id) rank from near
+select *, cast(row_number() over (partition by query_id order by distance, base_id) as integer) rank from near
 where query_id <> base_id qualify rank <= 5""",
     "chunks": """
 select coalesce(d.doc_id, p.page_id) case_id, d.doc_id, d.source, p.url,
@@ -195,7 +195,7 @@ scored as (
   from terms t join postings p on t.term = p.term join weights w on w.term = t.term, corpus c
   group by t.query_id, p.doc_id),
 ranked as (
-  select *, row_number() over (partition by query_id order by score desc, doc_id) rank from scored
+  select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) rank from scored
   qualify rank <= {k})"""
 
 
@@ -358,7 +358,7 @@ select incident_id, connection_outcome, n,
 from stats"""),
     "security_failure_devices": sql("""
 select incident_id, imsi, imeisv, count(*) failures,
-       row_number() over (partition by incident_id order by count(*) desc, imsi, imeisv) as "position"
+       cast(row_number() over (partition by incident_id order by count(*) desc, imsi, imeisv) as integer) as "position"
 from inside where connection_outcome like '%SECURITY%' group by incident_id, imsi, imeisv
 qualify "position" <= 10"""),
     "uplink_rssi": sql("select incident_id, enodeb_id, cell_id, round(uplink_rssi, 6) uplink_rssi from rssi"),
