@@ -10,14 +10,19 @@ from cellwarden.schemas import INCIDENTS
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Existing rows stay; incoming rows are added where their key is new."""
-    added = lookup_join(incoming, existing.select(key), [key], "left_anti")
+    """Existing rows stay; incoming rows are added where their key is new.
+
+    The existing keys are first cut to the incoming ones, so a large table is neither broadcast
+    nor shuffled for a small delta.
+    """
+    known = lookup_join(existing.select(key), incoming.select(key).distinct(), [key], "left_semi")
+    added = lookup_join(incoming, known.distinct(), [key], "left_anti")
     return existing.unionByName(added)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Incoming rows replace existing rows of the same key or are added."""
-    kept = lookup_join(existing, incoming.select(key), [key], "left_anti")
+    kept = lookup_join(existing, incoming.select(key).distinct(), [key], "left_anti")
     return kept.unionByName(incoming)
 
 
@@ -60,7 +65,10 @@ def create_incidents(
     """
     chosen = lookup_join(candidates, approved.select("incident_id").distinct(), ["incident_id"], "left_semi")
     if existing is not None:
-        chosen = lookup_join(chosen, existing.select("incident_id"), ["incident_id"], "left_anti")
+        known = lookup_join(
+            existing.select("incident_id"), chosen.select("incident_id"), ["incident_id"], "left_semi"
+        )
+        chosen = lookup_join(chosen, known.distinct(), ["incident_id"], "left_anti")
     defaults = {
         "events_embeddings": F.array().cast("array<double>"),
         "created_ts": F.current_timestamp(),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.scale import BROADCAST_ROWS, SALTS, add_salt, all_salts, fits
+from cellwarden.scale import BROADCAST_ROWS, SALTS, fits, salt_hot_keys
 
 # Names of the available analyses, and the two retrieval messages.
 ANALYSES = (
@@ -61,9 +61,9 @@ def match_rules(
     if fits(right, max_broadcast_rows):
         pairs = left.join(F.broadcast(right), condition, how)
     else:
-        # Few KPIs cover most incidents, so the KPI alone would be a hot join key.
-        condition.append(F.col("_salt") == F.col("_rule_salt"))
-        pairs = add_salt(left, salts).join(all_salts(right, salts, "_rule_salt"), condition, how)
+        # Few KPIs cover most incidents, so the KPI alone is a hot join key.
+        left, right = salt_hot_keys(left, right, [("_kpi", "_rule_kpi")], salts)
+        pairs = left.join(right, [*condition, F.col("_salt") == F.col("_table_salt")], how)
     return pairs.select("incident_id", *RULE_COLUMNS)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.scale import BROADCAST_ROWS, SALTS, add_salt, all_salts
+from cellwarden.scale import BROADCAST_ROWS, SALTS, salt_hot_keys
 from cellwarden.sources.layout import DAY
 
 
@@ -31,7 +31,7 @@ def facts_in_windows(
 
     One pass over the narrow window columns counts them and finds their outer bounds. The
     bounds become constant filters that reach the fact scan. Few windows are broadcast and the
-    facts do not move; otherwise both sides shuffle by (cell, day, salt).
+    facts do not move; otherwise both sides shuffle by cell and day, with hot ones salted.
     """
     start = F.col("start_ts") - F.expr(f"interval {lead}") if lead else F.col("start_ts")
     windows = incidents.select(
@@ -61,11 +61,14 @@ def facts_in_windows(
     if profile["n"] <= max_broadcast_rows:
         return facts.join(F.broadcast(windows), [*same_cell, inside]).drop(*helpers)
 
-    def salted(left: DataFrame, right: DataFrame) -> DataFrame:
-        left = add_salt(left, salts)
-        right = all_salts(right, salts, "_w_salt")
-        condition = [*same_cell, F.col("_salt") == F.col("_w_salt"), inside]
-        return left.join(right, condition).drop(*helpers, "_salt", "_w_salt")
+    cell_pairs = [(f, f"_w_{f}") for _, f in keys]
+
+    def shuffled(left: DataFrame, right: DataFrame, extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
+        pairs = [*cell_pairs, *extra]
+        left, right = salt_hot_keys(left, right, pairs, salts)
+        same = [F.col(f) == F.col(w) for f, w in [*pairs, ("_salt", "_table_salt")]]
+        added = [c for pair in extra for c in pair]
+        return left.join(right, [*same, inside]).drop(*helpers, *added, "_salt", "_table_salt")
 
     # Closed windows meet forward facts day by day, which keeps long histories of a cell apart.
     inverted = F.coalesce(F.col(fact_end) < F.col(fact_start), F.lit(False))
@@ -75,24 +78,13 @@ def facts_in_windows(
         closed.where(F.to_date("_w_start") <= F.to_date("_w_end"))
         .withColumn("_w_day", F.explode(days))
     )
-    by_day = add_salt(facts if ordered else facts.where(~inverted), salts)
-    by_day = by_day.withColumn("_day", F.to_date(fact_start))
-    match = [
-        *same_cell,
-        F.col("_day") == F.col("_w_day"),
-        F.col("_salt") == F.col("_w_salt"),
-        inside,
-    ]
-    parts = [
-        by_day.join(all_salts(daily, salts, "_w_salt"), match).drop(
-            *helpers, "_day", "_w_day", "_salt", "_w_salt"
-        )
-    ]
+    forward = (facts if ordered else facts.where(~inverted)).withColumn("_day", F.to_date(fact_start))
+    parts = [shuffled(forward, daily, [("_day", "_w_day")])]
     if profile["open"]:
-        parts.append(salted(facts, windows.where(F.col("_w_end").isNull())))
+        parts.append(shuffled(facts, windows.where(F.col("_w_end").isNull())))
     if not ordered:
         # Facts that end before they start may match a window that does not hold their day.
-        parts.append(salted(facts.where(inverted), closed))
+        parts.append(shuffled(facts.where(inverted), closed))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

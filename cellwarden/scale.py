@@ -1,7 +1,7 @@
 """Size checks, salting and distributed ranking shared by the operators.
 
 The rule for every join here: a side is broadcast only after its rows and bytes were measured
-and found within a bound; otherwise the join shuffles, with the hot side salted.
+and found within a bound; otherwise the join shuffles, with the rows of hot keys salted.
 """
 
 from __future__ import annotations
@@ -57,15 +57,46 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def add_salt(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
-    """One salt per row from the whole row, so that a hot key spreads over ``salts`` tasks."""
-    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"]
-    return df.withColumn(name, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys with more rows than a fair shuffle partition; never more keys than partitions.
 
+    Counting combines before its shuffle, and the counts (one row per key) are written, because
+    both the total and the hot ones are read from them.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut_lineage(df.groupBy(*on).agg(F.count("*").alias("_rows")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
+    return counts.where(F.col("_rows") * partitions > total).select(*on)
+
+
+def salt_hot_keys(
+    facts: DataFrame,
+    table: DataFrame,
+    on: Sequence[tuple[str, str]],
+    salts: int = SALTS,
+    names: tuple[str, str] = ("_salt", "_table_salt"),
+) -> tuple[DataFrame, DataFrame]:
+    """Spread the facts of hot keys over ``salts`` tasks; repeat only their table rows.
 
-def all_salts(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
-    """Every row once per salt: the other side of a salted join."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ``on`` pairs fact columns with table columns. Each fact row gets one salt, from its whole
+    content, and each table row of a hot key occurs once per salt, so a join that also compares
+    the salts finds exactly what it found before. Adaptive execution splits what stays uneven.
+    """
+    hot = F.broadcast(hot_keys(facts, [f for f, _ in on]).toDF(*[f"_hot{i}" for i in range(len(on))]))
+    marks = [f"_hot{i}" for i in range(len(on))]
+
+    def marked(df: DataFrame, keys: list[str]) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)]
+        return df.join(hot.withColumn("_is_hot", F.lit(True)), same, "left").drop(*marks)
+
+    plain = [F.col(f"`{f.name}`") for f in facts.schema.fields if f.dataType.typeName() != "map"]
+    own = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    left = marked(facts, [f for f, _ in on]).withColumn(
+        names[0], F.when(F.col("_is_hot"), own).otherwise(0)
+    )
+    every = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(table, [t for _, t in on]).withColumn(names[1], F.explode(every))
+    return left.drop("_is_hot"), right.drop("_is_hot")
 
 
 def lookup_join(
@@ -80,19 +111,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join many fact rows to a lookup table whose key may be hot on the fact side.
 
-    Within the bound the table is broadcast and the facts stay where they are. Beyond it the
-    facts are salted and the table repeated per salt; this keeps inner, left, semi and anti
-    joins exact because each fact row carries exactly one salt. ``rows`` is an upper bound of
-    the rows of a table of ids and numbers, which the caller has already counted.
+    Within the bound the table is broadcast and the facts stay where they are. Beyond it both
+    sides shuffle, with hot keys salted; inner, left, semi and anti joins stay exact because
+    each fact row carries exactly one salt. ``rows`` is an upper bound of the rows of a table
+    of ids and numbers, which the caller has already counted.
     """
     on = list(on)
     if fits(table, max_rows) if rows is None else rows <= max_rows:
         return facts.join(F.broadcast(table), on, how)
-    return (
-        add_salt(facts, salts)
-        .join(all_salts(table, salts), [*on, "_salt"], how)
-        .drop("_salt")
-    )
+    left, right = salt_hot_keys(facts, table, [(c, c) for c in on], salts, ("_salt", "_salt"))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def with_global_rank(

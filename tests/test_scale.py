@@ -18,9 +18,18 @@ def test_lookup_join_is_the_same_broadcast_and_salted(spark, how):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
-def test_salt_spreads_a_hot_key(spark):
-    salted = scale.add_salt(spark.range(1000).withColumn("k", F.lit("hot")), 16)
-    assert salted.select("_salt").distinct().count() == 16
+def test_only_hot_keys_are_salted(spark):
+    facts = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("string")).alias("k")
+    )
+    table = spark.createDataFrame([("hot", 1), ("5", 2), (None, 3)], "key string, v int")
+    assert sorted(str(r[0]) for r in scale.hot_keys(facts, ["k"]).collect()) == ["None", "hot"]
+    left, right = scale.salt_hot_keys(facts, table, [("k", "key")], 16)
+    assert left.count() == 3000 and right.where("key = '5'").count() == 1
+    assert right.where("key = 'hot'").count() == 16
+    spread = left.groupBy("k").agg(F.countDistinct("_salt").alias("n"))
+    assert {r.n for r in spread.where("k = 'hot' or k is null").collect()} == {16}
+    assert spread.where("k <> 'hot'").agg(F.max("n")).first()[0] == 1
 
 
 def test_global_rank_counts_all_rows_in_order(spark):
