@@ -11,6 +11,16 @@ from cellwarden.session import cut_lineage
 
 # Fixed value: results per page of the rule search.
 PAGE_SIZE = 10
+# Columns of a rule document that are searched.
+RULE_TEXT = (
+    "description",
+    "processing_rule",
+    "processing_rule_tools",
+    "severity_determination_rule",
+    "severity_determination_rule_tools",
+    "vendor",
+    "author",
+)
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
 
@@ -115,7 +125,7 @@ def spell_correct(terms: DataFrame, vocab: DataFrame, max_dist: int = 1) -> Data
     so no two terms are compared unless they can be close; how many terms share a variant is
     bounded by the alphabet, not by the data. Ties: most documents first, then alphabetical.
     """
-    asked = terms.select("term").distinct()
+    asked = cut_lineage(terms.select("term").distinct(), "asked")
 
     def variants(df: DataFrame) -> DataFrame:
         return df.withColumn("_variant", F.explode(deletion_variants(F.col("term"), max_dist)))
@@ -124,7 +134,7 @@ def spell_correct(terms: DataFrame, vocab: DataFrame, max_dist: int = 1) -> Data
     right = variants(vocab).select("_variant", F.col("term").alias("found"), "df")
     distance = F.levenshtein("term", "found", max_dist)
     best = (
-        left.join(right, "_variant")
+        lookup_join(right, left, ["_variant"])
         .withColumn("distance", distance)
         .where(F.col("distance") >= 0)
         .groupBy("term")
@@ -148,6 +158,37 @@ def expand_query(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.select("query_id", "term").unionByName(related).distinct()
 
 
+def search_rules(
+    rules: DataFrame,
+    queries: DataFrame,
+    k: int = PAGE_SIZE,
+    *,
+    max_dist: int = 1,
+    synonyms: DataFrame | None = None,
+) -> DataFrame:
+    """Free-text search over rule documents: rank, id, description and both rule texts.
+
+    Query terms unknown to the rules are corrected to the nearest known term (``max_dist`` 0
+    turns this off), then widened by ``synonyms`` (term, related) if given.
+    """
+    fields = [
+        F.array_join(c, " ") if c.endswith("_tools") else F.col(c)
+        for c in RULE_TEXT
+        if c in rules.columns
+    ]
+    docs = rules.select(F.col("rule_id").alias("doc_id"), F.concat_ws(" ", *fields).alias("text"))
+    terms = query_terms(queries)
+    if max_dist:
+        known = cut_lineage(vocabulary(docs), "vocabulary")
+        fixes = cut_lineage(spell_correct(terms, known, max_dist), "corrections")
+        terms = apply_corrections(terms, fixes)
+    if synonyms is not None:
+        terms = expand_query(terms, synonyms)
+    found = text_search(docs, queries, k, terms=terms).withColumnRenamed("doc_id", "rule_id")
+    shown = ["rule_id", "description", "severity_determination_rule", "processing_rule"]
+    return lookup_join(rules.select(*shown), found, ["rule_id"])
+
+
 def snippets(
     results: DataFrame,
     docs: DataFrame,

@@ -86,6 +86,24 @@ def test_corrections_and_expansion(spark):
     assert rows(search.expand_query(fixed, related)) == [(1, "call"), (1, "drop"), (1, "release"), (2, "qqq")]
 
 
+def test_rule_search_corrects_and_expands(spark):
+    store = spark.createDataFrame(
+        [("drops", "High call drop levels", "Check the uplink", ["get_uplink_rssi_level"], "High if above 3.5", [], "Acme", "J"),
+         ("rate", "Success rate", "Check traces", [], "High if below 95", [], "Acme", "J")],
+        "rule_id string, description string, processing_rule string, processing_rule_tools array<string>, "
+        "severity_determination_rule string, severity_determination_rule_tools array<string>, vendor string, author string",
+    )
+    asked = spark.createDataFrame([(1, "uplnk"), (2, "release"), (3, "rssi"), (4, "acme")], "query_id int, query string")
+    related = spark.createDataFrame([("release", "drop")], "term string, related string")
+    columns = ["query_id", "rule_id", "rank"]
+    found = {r[:2] for r in rows(search.search_rules(store, asked), *columns)}
+    assert found == {(1, "drops"), (3, "drops"), (4, "rate"), (4, "drops")}
+    wide = search.search_rules(store, asked, max_dist=0, synonyms=related)
+    assert {r[:2] for r in rows(wide, *columns)} == {(2, "drops"), (3, "drops"), (4, "rate"), (4, "drops")}
+    first = wide.where("query_id = 2").first()
+    assert first.description == "High call drop levels" and first.processing_rule == "Check the uplink"
+
+
 def test_snippet_is_taken_from_the_whole_text(spark):
     long = "filler " * 5000 + "The RSSI level is low"
     docs = spark.createDataFrame([(1, long), (2, "RSSI")], "doc_id long, text string")

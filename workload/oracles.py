@@ -176,14 +176,26 @@ def sql(select: str) -> str:
     return f"with {steps}\n{select.strip()}"
 
 
-def _bm25(docs: str, questions: str, k: int) -> str:
+RAW_TERMS = "select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from questions"
+CORRECTED_TERMS = f"""
+  select distinct r.query_id, coalesce(f.found, r.term) term
+  from ({RAW_TERMS}) r left join (
+    select u.term, v.term found from (
+      select distinct term from ({RAW_TERMS}) where term not in (select term from vocab)) u
+    join vocab v on abs(length(u.term) - length(v.term)) <= 1
+    where levenshtein(u.term, v.term) = 1
+    qualify row_number() over (partition by u.term order by v.df desc, v.term) = 1) f on r.term = f.term"""
+
+
+def _bm25(docs: str, questions: str, k: int, terms: str = RAW_TERMS) -> str:
     """Steps ``postings`` to ``ranked`` over docs(doc_id, text) and questions(query_id, query)."""
     return f"""
 docs as ({docs}),
 questions as ({questions}),
 doc_tokens as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') toks from docs),
 corpus as (select count(*) n, avg(len(toks)) mean_length from doc_tokens),
-terms as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from questions),
+vocab as (select term, count(distinct doc_id) df from (select doc_id, unnest(toks) term from doc_tokens) group by term),
+terms as ({terms}),
 postings as (
   select doc_id, length, term, count(*) tf
   from (select doc_id, len(toks) length, unnest(toks) term from doc_tokens)
@@ -409,7 +421,14 @@ select e.vec_id incident_id,
        coalesce(string_agg(m.block, chr(10) order by m.rank), '') prior_incidents
 from embeddings e left join (select *, {_BLOCK} block from topk_others where distance <= 1.2) m on e.vec_id = m.query_id
 group by e.vec_id"""),
-    "search_rules": _with(_bm25("select doc_id, text from documents", QUESTIONS, 10), "select query_id, doc_id, score, rank from ranked"),
+    "search_rules": _with(
+        _bm25(
+            "select doc_id, source, lang, n_chars, text as body, concat_ws(' ', source, text, lang, 'get_uplink_rssi_level', 'grade', lang) as text from documents",
+            QUESTIONS, 10, CORRECTED_TERMS),
+        """
+select r.query_id, r.doc_id rule_id, r.score, r.rank, d.source description,
+       concat('grade ', d.lang) severity_determination_rule, cast(length(d.body) as integer) processing_rule
+from ranked r join docs d on r.doc_id = d.doc_id"""),
     "snippets": _with(
         _bm25("select doc_id, text from documents", QUESTIONS, 5),
         """

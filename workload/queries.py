@@ -510,7 +510,16 @@ def format_prior_incidents(spark, sf):
 
 
 def search_rules(spark, sf):
-    return plain(search.text_search(table(spark, sf, "documents"), questions(spark, sf)))
+    """Documents play the rules; the rule text is returned by its length."""
+    store = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("rule_id"),
+        F.col("source").alias("description"),
+        F.col("text").alias("processing_rule"),
+        F.array(F.col("lang"), F.lit("get_uplink_rssi_level")).alias("processing_rule_tools"),
+        F.concat(F.lit("grade "), F.col("lang")).alias("severity_determination_rule"),
+    )
+    found = search.search_rules(store, questions(spark, sf))
+    return plain(found.withColumn("processing_rule", F.length("processing_rule")))
 
 
 def snippets(spark, sf):
