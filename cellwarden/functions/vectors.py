@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 METRICS = ("euclidean", "cosine")
+DISTANCE_DIGITS = 9
 # Scores held at a time (32 MB).
 SCORE_CELLS = 4_000_000
 
@@ -18,10 +19,18 @@ def pair_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndarr
         return 1.0 - (base * query).sum(axis=1) / norms
 
 
+def nearest_first(groups: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by group, distance to nine digits, id: the last bits must not decide ties."""
+    return np.lexsort((ids, np.round(distances, DISTANCE_DIGITS), groups))
+
+
 def _chunk_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_self: bool):
+    rounding = np.full(len(query), 1e-9)
     if metric == "euclidean":
-        scores = (base**2).sum(axis=1)[None, :] - 2.0 * query @ base.T
-        scores += (query**2).sum(axis=1)[:, None]
+        base_norms, query_norms = (base**2).sum(axis=1), (query**2).sum(axis=1)
+        scores = base_norms[None, :] - 2.0 * query @ base.T
+        scores += query_norms[:, None]
+        rounding += 1e-12 * (base_norms.max(initial=0.0) + query_norms)
     else:
         unit_base = base / np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-300)
         unit_query = query / np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-300)
@@ -31,11 +40,11 @@ def _chunk_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_s
     near = np.isfinite(scores)
     if scores.shape[1] > k:
         kth = np.partition(scores, k - 1, axis=1)[:, k - 1]
-        near &= scores <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None]
+        near &= scores <= (kth + 1e-9 * np.abs(kth) + rounding)[:, None]
     q, b = np.nonzero(near)
     exact = pair_distances(base[b], query[q], metric)
-    # The caller's order: distance, then id. At most k rows leave per query.
-    order = np.lexsort((base_ids[b], exact, q))
+    # At most k rows leave per query.
+    order = nearest_first(q, exact, base_ids[b])
     q, b, exact = q[order], b[order], exact[order]
     keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
     return q[keep], b[keep], exact[keep]

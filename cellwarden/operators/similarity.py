@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwarden.functions.columns import or_default
-from cellwarden.functions.vectors import METRICS, local_topk
+from cellwarden.functions.vectors import DISTANCE_DIGITS, METRICS, local_topk, nearest_first
 from cellwarden.scale import fits, lookup_join
 from cellwarden.session import cut_lineage
 
@@ -96,7 +96,7 @@ def _against_matrix(base: DataFrame, queries: DataFrame, k: int, metric: str, ex
             best_q = np.concatenate([best_q, q])
             best_id = np.concatenate([best_id, rows[b]])
             best_d = np.concatenate([best_d, d])
-            order = np.lexsort((best_id, best_d, best_q))
+            order = nearest_first(best_q, best_d, best_id)
             best_q, best_id, best_d = best_q[order], best_id[order], best_d[order]
             keep = np.arange(len(best_q)) - np.searchsorted(best_q, best_q, side="left") < k
             best_q, best_id, best_d = best_q[keep], best_id[keep], best_d[keep]
@@ -186,7 +186,7 @@ def vector_topk(
 ) -> DataFrame:
     """(query_id, base_id, distance, rank) of the k nearest base vectors of every query.
 
-    Rows without an embedding are left out on both sides; ties go to the smaller id. ``exact``
+    Rows without an embedding are left out on both sides; ties (to nine digits) go to the smaller id. ``exact``
     measures every base vector: against a broadcast query matrix while the counted queries fit
     the bound, else block by block. ``lsh`` compares only vectors that share a random-projection
     bucket in one of ``tables`` hash tables and may miss neighbours.
@@ -230,7 +230,7 @@ def vector_topk(
             .withColumnsRenamed({"_query_parts": "_blocks", "_base_parts": "_others"}),
             group, k, metric, exclude_self,
         ).groupBy("query_id", "base_id").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "base_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", DISTANCE_DIGITS), "base_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -271,7 +271,7 @@ def format_prior_incidents(matches: DataFrame, queries: DataFrame) -> DataFrame:
 
     block = F.concat(
         F.lit("*Incident "), F.col("base_id").cast("string"), F.lit("*\n"),
-        F.lit("**Search distance**: "), F.col("distance").cast("string"),
+        F.lit("**Search distance**: "), F.round("distance", DISTANCE_DIGITS).cast("string"),
         F.lit(" ("), F.col("match"), F.lit(")\n"),
         *part("Events", F.coalesce("events", F.lit(""))),
         *part("Final analysis", or_default(F.col("final_analysis"), UNDETERMINED)),

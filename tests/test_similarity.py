@@ -72,6 +72,14 @@ def test_ties_empty_vectors_and_few_neighbours(spark, blocks):
     assert unasked.count() == 0
 
 
+def test_long_vectors_close_together(spark):
+    """Differences far below the rounding of the matrix product still decide the order."""
+    rng = np.random.default_rng(3)
+    data = [(f"v{i:02d}", (1e5 + rng.standard_normal(5) * 1e-3).tolist()) for i in range(60)]
+    found = similarity.vector_topk(frame(spark, data), frame(spark, data), 3, exclude_self=True)
+    assert result(found) == brute(data, data, 3, exclude_self=True)
+
+
 def test_lsh_recall_and_hot_bucket(spark):
     data = random_vectors(400, 8, 2)
     exact = brute(data, data, 5)

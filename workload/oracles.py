@@ -150,6 +150,26 @@ qualify rank <= 5""",
     "topk_others": """
 select *, cast(row_number() over (partition by query_id order by distance, base_id) as integer) rank from near
 where query_id <> base_id qualify rank <= 5""",
+    "logs": """
+select m.incident_id, concat('**General info**', chr(10), g.general_info,
+       case when list_contains(m.tools, 'get_cell_trace_statistics') then
+         concat(chr(10), chr(10), '**Cell traces statistics**', chr(10), t.trace_statistics) else '' end) events
+from measured m join general g on m.incident_id = g.incident_id
+join trace_texts t on m.incident_id = t.incident_id""",
+    "log_counts": """
+select incident_id, ('0x' || substr(md5(tok), 1, 8))::bigint % 64 dim, count(*) n
+from (select incident_id, unnest(regexp_extract_all(lower(events), '[a-z0-9]+')) tok from logs) group by all""",
+    "log_vectors": """
+select l.incident_id, any_value(l.events) events,
+       list(coalesce(n, 0) / norm order by d.dim)::double[] vec
+from logs l cross join (select unnest(range(64)) dim) d
+join (select incident_id, sqrt(sum(n * n)) norm from log_counts group by incident_id) s on s.incident_id = l.incident_id
+left join log_counts c on c.incident_id = l.incident_id and c.dim = d.dim
+group by l.incident_id""",
+    "near_logs": """
+select q.incident_id, b.incident_id base_id, b.events, round(list_distance(q.vec, b.vec), 9) distance
+from log_vectors q join log_vectors b on q.incident_id <> b.incident_id
+qualify row_number() over (partition by q.incident_id order by round(list_distance(q.vec, b.vec), 9), b.incident_id) <= 5""",
     "chunks": """
 select coalesce(d.doc_id, p.page_id) case_id, d.doc_id, d.source, p.url,
        regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1) title
@@ -469,6 +489,18 @@ select conv_id, turn, concat(case when turn > 0 and text <> '' then concat(text,
     "trace_section": sql("select incident_id, trace_statistics, trace_status from trace_texts"),
 }
 
+_LOG_BLOCK = """concat('*Incident ', base_id, '*', chr(10), '**Search distance**: ', cast(distance as varchar),
+  ' (', case when distance < 0.4 then 'likely match' else 'somewhat similar' end, ')', chr(10),
+  '**Events**', chr(10), events, chr(10), '**Final analysis**', chr(10), 'Not yet determined', chr(10),
+  '**Cause**', chr(10), 'Not yet determined', chr(10), '**Resolution**', chr(10), 'Not yet determined', chr(10))"""
+ORACLES["prior_incidents"] = sql(f"""
+select c.incident_id,
+       case when count(n.base_id) = 0 then 'no similar incidents found' else 'success' end prior_incidents_status,
+       coalesce(string_agg(n.block, chr(10) order by n.distance, n.base_id), '') prior_incidents
+from candidates c left join (select *, {_LOG_BLOCK} block from near_logs where distance <= 0.5) n
+  on c.incident_id = n.incident_id
+group by c.incident_id""")
+
 _REPORT = _bm25(INTERNAL_DOCS, INCIDENT_QUESTIONS, 10) + f""",
 answers as (
   select r.query_id, string_agg(d.title, chr(10) order by r.rank) answer,

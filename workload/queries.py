@@ -506,6 +506,17 @@ def format_prior_incidents(spark, sf):
     return blocks.withColumn("prior_incidents", F.array_join("prior_incidents", "\n"))
 
 
+def prior_incidents(spark, sf):
+    """The whole similar-incident step: event log, embedding, nearest logs, text blocks."""
+    cases = embedding.embed_texts(
+        measured(spark, sf).select("incident_id", "events"), "incident_id", "events", out="events_embeddings"
+    )
+    unknown = F.lit(None).cast("string")
+    known = cut_lineage(cases).withColumns({c: unknown for c in ("final_analysis", "cause", "resolution")})
+    found = rca.prior_incidents(known, known, likely=0.4, exclude_self=True)
+    return found.withColumn("prior_incidents", F.array_join("prior_incidents", "\n"))
+
+
 # --- documents and report --------------------------------------------------------------------
 
 
@@ -611,7 +622,7 @@ match_rules collect_rule_tools gate_tools cell_trace_stats outcome_share securit
 uplink_rssi uplink_configuration rssi_out_of_range config_deviation analyze_incidents
 classify_severity suggest_actions split_actions actions_toolset issue_adjustments
 embed_events nonempty_embeddings vector_topk distance_cutoff match_label vector_topk_lsh
-format_prior_incidents
+format_prior_incidents prior_incidents
 search_rules snippets spell_correct expand_query internal_docs external_docs extract_references
 grounding_gate append_section general_info_section trace_section build_report
 """.split()
