@@ -416,7 +416,7 @@ def near_duplicates(
         )
         found = (
             dealt.join(sets.select("key", "n", "sketch"), "key")
-            .groupBy("sig", "i", "j").applyInArrow(partial(_in_blocks, bands=bands), "a long, b long")
+            .groupBy("sig", "i", "j").applyInArrow(lambda table: _in_blocks(table, bands), "a long, b long")
         )
         links = scratch.keep(links.union(verified(found)), "all-links")
         roots = scratch.keep(components(links, scratch), "all-roots")

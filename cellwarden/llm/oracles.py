@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-WORDS = f"list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+WORDS = f"list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 def component_cte(docs: str, name: str = "component") -> str:
@@ -14,7 +14,7 @@ def component_cte(docs: str, name: str = "component") -> str:
 words as (select doc_id, {WORDS} as w from {docs}),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s from words
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s from words
 ),
 grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
 links as (
