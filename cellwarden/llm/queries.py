@@ -4,17 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwarden.llm import ngram_join
+from cellwarden.llm import mixing, ngram_join, token_files, url_rules
+from cellwarden.llm.tables import new_path
+
+#: Host, path and verdict of the listed URL rules.
+URL_RULES = [
+    ("org", "/", url_rules.ALLOW),
+    ("example.org", "/es/", url_rules.BLOCK),
+    ("example.org", "/en/1", url_rules.BLOCK),
+    ("com", "/fr/", url_rules.ALLOW),
+    ("com", "/de/", url_rules.BLOCK),
+]
+#: Parts of the mixture; sources without a weight share one part.
+SOURCE_WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src4": 2, "src5": 2, "src8": 2}
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, SOURCE_WEIGHTS, block=64, other_weight=8).drop("text")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=3, den=4)
 
 
 QUERIES = {
+    "op3_url_filters": op3_url_filters,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_token_files": op8_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
