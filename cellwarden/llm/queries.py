@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwarden.llm import mixing, ngram_join, token_files, url_rules
+from cellwarden.llm import block_topk, metric_join, mixing, ngram_join, token_files, url_rules
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -46,9 +50,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=3, den=4)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), bound=0.93)
+
+
 QUERIES = {
+    "op2_exact_topk": op2_exact_topk,
     "op3_url_filters": op3_url_filters,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
