@@ -301,21 +301,27 @@ def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 
 def _in_blocks(table: pa.Table, bands: partenum.Bands) -> pa.Table:
-    """Pairs of two blocks of one large group that are in different components and may link by their sketches."""
-    side = table.column("side").to_numpy()
-    key, root, n = (table.column(c).to_numpy() for c in ("key", "root", "n"))
+    """Pairs of a block of minor members (side 0) and a block of any (side 1) of one group, in different components, that their sketches let link."""
+    side, key, root, n = (table.column(c).to_numpy() for c in ("side", "key", "root", "n"))
+    minor = table.column("minor").to_numpy()
     raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch").combine_chunks()]
-    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    left = np.flatnonzero(side == 0)
-    right = left if same else np.flatnonzero(side == 1)
+    long = np.array([len(r) for r in raw])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a, b = [], []
-    for x in left:
-        may = right[(root[right] != root[x]) & (np.abs(n[right] - n[x]) <= bands.differ(n[right] + n[x]))]
-        for y in may[key[may] > key[x]] if same else may:
-            size = min(len(raw[x]), len(raw[y]))
-            if np.bitwise_count(fold(raw[x], size) ^ fold(raw[y], size)).sum() <= bands.differ(n[x] + n[y]):
-                a.append(key[x])
-                b.append(key[y])
+    for size in np.unique(long[left]).tolist():
+        # Both sides folded to the shorter sketch, once for each length.
+        for other in np.unique(long[right]).tolist():
+            width = min(size, other)
+            ys = right[long[right] == other]
+            folded = np.stack([fold(raw[y], width) for y in ys])
+            for x in left[long[left] == size]:
+                most = bands.differ(n[ys] + n[x])
+                may = (root[ys] != root[x]) & (np.abs(n[ys] - n[x]) <= most) & (~minor[ys] | (key[ys] > key[x]))
+                if may.any():
+                    apart = np.bitwise_count(folded[may] ^ fold(raw[x], width)).sum(axis=1, dtype=np.int64)
+                    some = ys[may][apart <= most[may]]
+                    a.extend([key[x]] * len(some))
+                    b.extend(key[some].tolist())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -394,25 +400,35 @@ def near_duplicates(
     placed = member.join(roots.toDF("key", "root"), "key", "left").select(
         "sig", "key", F.coalesce("root", "key").alias("root")
     )
+    by_root = placed.groupBy("sig", "root").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("key") % 1_000_000_007).alias("whom")
+    )
     open_groups = (
-        placed.groupBy("sig")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"),
-             F.sum(F.xxhash64("key") % 1_000_000_007).alias("whom"))
-        .where("low < high")
-        .groupBy("members", "whom", "low", "high").agg(F.min("sig").alias("sig"))
+        by_root.groupBy("sig")
+        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), F.sum("whom").alias("whom"),
+             F.count("*").alias("roots"))
+        .where("roots > 1")
+        .groupBy("members", "whom", "main").agg(F.min("sig").alias("sig"))
+        .select(
+            "sig", F.col("main.root").alias("main"),
+            F.ceil((F.col("members") - F.col("main.n")) / BLOCK).cast("int").alias("few"),
+            F.ceil(F.col("members") / BLOCK).cast("int").alias("all"),
+        )
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = scratch.keep(
-        placed.join(open_groups.select("sig", "members"), "sig")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")),
-        "open",
+        placed.join(open_groups, "sig").withColumn("minor", F.col("root") != F.col("main")), "open"
     )
     if rest.head(1):
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = rest.withColumn("other", other).select(
-            "sig", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+        # Members outside a group's largest component meet all members; those inside it need not meet each other.
+        own = F.xxhash64("key")
+        each_block = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("all")).otherwise(F.col("few")) - 1)
+        sides = rest.withColumn(
+            "side", F.explode(F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+        ).withColumn("other", F.explode(each_block))
+        dealt = sides.select(
+            "sig", "key", "root", "minor", "side",
+            F.when(F.col("side") == 0, F.pmod(own, F.col("few")).cast("int")).otherwise(F.col("other")).alias("i"),
+            F.when(F.col("side") == 0, F.col("other")).otherwise(F.pmod(own, F.col("all")).cast("int")).alias("j"),
         )
         found = (
             dealt.join(sets.select("key", "n", "sketch"), "key")
