@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellwarden.llm import block_topk, metric_join, mixing, ngram_join, token_files, url_rules
+from cellwarden.llm import block_topk, metric_join, mixing, ngram_join, piece_codec, token_files, toxicity, url_rules
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -24,6 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(column: str) -> Column:
+    """crc32 of an id as text, modulo 5; of an empty text for a null id."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on labelled documents outside the held-out fifth, at most 2,000 of each class."""
+    known = labels.where((remainder("doc_id") != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    joined = docs.select("doc_id", "text").join(known, "doc_id")
+    return toxicity.train(joined, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=2000, marks=128)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -32,6 +53,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, SOURCE_WEIGHTS, block=64, other_weight=8).drop("text")
@@ -55,8 +82,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
     "op3_url_filters": op3_url_filters,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
