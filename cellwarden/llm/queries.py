@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.llm import block_topk, metric_join, mixing, ngram_join, piece_codec, token_files, toxicity, url_rules
+from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, token_files, toxicity, url_rules
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -53,6 +53,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id") != 1)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
     "op3_url_filters": op3_url_filters,
+    "op4_class_lm": op4_class_lm,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
