@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -111,3 +112,41 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in the order they are met, where each is first met, and the number of each value among them."""
+    number, found = pd.factorize(values)
+    first = np.zeros(len(found), np.int64)
+    first[number[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return np.asarray(found), first, number
+
+
+class Memory:
+    """Arrays remembered by a 64-bit key, ``most`` of them, as sorted keys and one array of all values."""
+
+    def __init__(self, dtype: type, most: int = 1 << 19):
+        self.dtype, self.most = dtype, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, U64)
+        self.starts, self.sizes = np.zeros((2, 0), np.int64)
+        self.store = np.zeros(0, self.dtype)
+
+    def lookup(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of each key's values, and the array they lie in; ``make(places)`` gives the sizes and values of new keys."""
+        if len(self.keys) > self.most:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        fresh = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(fresh):
+            sizes, values = make(fresh)
+            starts = len(self.store) + np.cumsum(sizes) - sizes
+            self.store = np.concatenate([self.store, values])
+            order = np.argsort(joined := np.append(self.keys, keys[fresh]), kind="stable")
+            self.keys = joined[order]
+            self.starts = np.append(self.starts, starts)[order]
+            self.sizes = np.append(self.sizes, sizes)[order]
+            at = np.searchsorted(self.keys, keys)
+        return self.starts[at], self.sizes[at], self.store

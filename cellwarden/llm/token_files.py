@@ -5,10 +5,10 @@ writes one row per document. ORC stores the ids with its integer run-length enco
 and greatest values for every ``rows_per_index`` rows of a stripe, and a Bloom filter of document ids, so a
 reader of few documents skips whole stripes, and readers of all documents split a file by stripes.
 
-Encoding: the tokenizer cuts a text where a single space stands between two other characters, and
-never joins over such a place. The text's pieces between these places are found by array operations, and each distinct
-piece of a batch is encoded once by the library; ids are then gathered for all pieces. The result equals that of
-whole texts.
+Encoding: the tokenizer cuts every text before white space, and between letters, digits and signs, except
+after an apostrophe. The pieces between such places of ASCII and Latin characters are found by array
+operations, and each distinct piece is encoded once by the library; ids are then gathered for all pieces. The result
+equals that of whole texts.
 
 Defined results: a null text is an empty one and has only the end id. Rows without a document
 id come first. Rows with one id follow each other in the order of a hash of their texts. An empty
@@ -21,18 +21,26 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.llm.textbatch import chunks, hashes, ragged
+from cellwarden.llm.textbatch import Memory, chunks, distinct, hashes, ragged
 
 _SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
 _loaded: dict[str, tuple] = {}
-#: Pieces whose ids a Python worker remembers, over all its tasks.
-REMEMBERED = 1 << 19
+
+# Kinds of bytes: no cut is made beside those of kind 0.
+_OTHER, _LETTER, _DIGIT, _SIGN, _BLANK = range(5)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_APOSTROPHE = 0x27
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,46 +58,48 @@ def _tokenizer(path: str):
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True
-        _loaded[path] = (made, _byte_letters(), {})
+        _loaded[path] = (made, _byte_letters(), Memory(np.int32))
     return _loaded[path]
 
 
-def _piece_ids(tokenizer, letters: dict[int, str], pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of each piece. A word of plain letters is one unit for the model; all others go the whole way."""
-    out: list = [None] * len(pieces)
+def _piece_ids(tokenizer, letters: dict[int, str], pieces: list[bytes], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each piece, and all ids. A plain piece, letters with or without a space before
+    them, is one unit for the model; all others go the whole way."""
+    model, out = tokenizer.model, [None] * len(pieces)
     rest = []
-    model = tokenizer.model
-    for i, piece in enumerate(pieces):
-        if piece[:1] == b" " and piece[1:].isalpha():
-            out[i] = np.array([t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))], np.int32)
+    for i, (piece, one) in enumerate(zip(pieces, plain)):
+        if one:
+            out[i] = [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
         else:
             rest.append(i)
     for k in range(0, len(rest), 4096):
         some = rest[k : k + 4096]
         for i, made in zip(some, tokenizer.encode_batch([pieces[i].decode() for i in some], add_special_tokens=False)):
-            out[i] = np.array(made.ids, np.int32)
-    return out
+            out[i] = made.ids
+    sizes = np.fromiter(map(len, out), np.int64, len(out))
+    return sizes, np.fromiter(chain.from_iterable(out), np.int32, int(sizes.sum()))
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at texts, and at single spaces between two bytes that are no white space.
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte. Both bytes of U+00C0 to U+023F are letters, but for the signs U+00D7 and U+00F7."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8)) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
 
-    Bytes from 128 on may belong to wide white space; no cut is made beside them unless a letter
-    follows, which is told from the lead byte.
-    """
-    if len(data) < 3:
-        return np.unique(offsets[:-1])
-    plain = (data > 0x20) & (data < 0x7F)
-    # UTF-8 of U+00C0 to U+024F: letters only, but for two signs that are no white space either.
-    lead = (data >= 0xC3) & (data <= 0xC8)
-    tail = np.zeros(len(data), bool)
-    tail[1:] = lead[:-1]
-    inner = data[1:-1] == 0x20
-    space = np.flatnonzero(inner & (plain | tail)[:-2] & (plain | lead)[2:]) + 1
-    # Neighbours must be of the same text.
-    text = np.searchsorted(offsets, space, "right") - 1
-    space = space[(space > offsets[text]) & (space + 1 < offsets[text + 1])]
-    return np.union1d(offsets[:-1][np.diff(offsets) > 0], space)
+
+def _cuts(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at texts, before white space, and where the kind changes but to letters after an
+    apostrophe or white space, or to anything after white space."""
+    begin = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        before, after = kind[:-1], kind[1:]
+        change = (before != after) & (before != _OTHER) & (after != _OTHER) & (before != _BLANK)
+        change &= (after != _LETTER) | (data[:-1] != _APOSTROPHE)
+        begin[1:-1] = change
+    begin[offsets[:-1]] = True
+    return np.flatnonzero(begin[:-1])
 
 
 def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -97,22 +107,24 @@ def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     tokenizer, letters, known = _tokenizer(path)
     first = 0
     for batch in batches:
-        for row, data, offsets in chunks(batch.column(1), 8 << 20):
-            starts = _cuts(data, offsets)
+        for row, data, offsets in chunks(batch.column(1)):
+            kind = _kinds(data)
+            starts = _cuts(data, kind, offsets)
             ends = np.append(starts[1:], len(data))
-            keys, at, piece = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+            keys, at, piece = distinct(hashes(data, starts, ends))
+            at_start, at_end = starts[at], ends[at]
+            odd = np.append(0, np.cumsum(kind != _LETTER))  # bytes that are no letters
+            plain = odd[at_end] - odd[at_start] == (data[at_start] == 0x20) if len(at) else np.zeros(0, bool)
+            plain &= at_end - at_start > (data[at_start] == 0x20) if len(at) else plain
             raw = data.tobytes()
-            fresh = [i for i, k in enumerate(keys.tolist()) if k not in known]
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(range(len(keys)))
-            pieces = [raw[starts[at[i]] : ends[at[i]]] for i in fresh]
-            known.update(zip(keys[fresh].tolist(), _piece_ids(tokenizer, letters, pieces)))
-            parts = [known[k] for k in keys.tolist()]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            store = np.concatenate([*parts, np.zeros(0, np.int32)])
+
+            def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                cut = [raw[a:b] for a, b in zip(at_start[places].tolist(), at_end[places].tolist())]
+                return _piece_ids(tokenizer, letters, cut, plain[places].tolist())
+
+            begins, sizes, store = known.lookup(keys, make)
             each = sizes[piece]
-            ids = store[ragged((np.cumsum(sizes) - sizes)[piece], each)]
+            ids = store[ragged(begins[piece], each)]
             texts_n = len(offsets) - 1
             owner = np.searchsorted(offsets, starts, "right") - 1
             lengths = np.bincount(owner, weights=each, minlength=texts_n).astype(np.int64)
