@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.textbatch import U64, _grown, _BASE, chunks, mix, ragged
+from cellwarden.llm.textbatch import _BASE, U64, Memory, _grown, chunks, distinct, mix, ragged
 
 SIGN = 0x2581
 #: Stands for a piece sign that is part of the text; no code point.
 OWN_SIGN = 0x110000
-REMEMBERED = 1 << 19
 #: Characters searched together.
 AREA = 1 << 18
 
@@ -118,12 +117,12 @@ def best_paths(units: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarra
     return ids[order], np.bincount(row, minlength=rows)
 
 
-_loaded: dict[str, tuple[Pieces, dict]] = {}
+_loaded: dict[str, tuple[Pieces, Memory]] = {}
 
 
-def load(path: str) -> tuple[Pieces, dict]:
+def load(path: str) -> tuple[Pieces, Memory]:
     if path not in _loaded:
-        _loaded[path] = (Pieces(path), {})
+        _loaded[path] = (Pieces(path), Memory(np.int32))
     return _loaded[path]
 
 
@@ -164,7 +163,7 @@ def encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     """Replace the second column, the text, by its ids."""
     pieces, known = load(path)
     for batch in batches:
-        for row, data, offsets in chunks(batch.column(1), 4 << 20):
+        for row, data, offsets in chunks(batch.column(1)):
             texts = len(offsets) - 1
             flat = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
             heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # first character of each text
@@ -183,16 +182,14 @@ def encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             np.cumsum(mix(flat.astype(U64) + U64(1)) * _grown("up", _BASE, len(flat)), out=sums[1:])
             down = _grown("down", pow(_BASE, -1, 1 << 64), len(flat))
             hashes = mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(U64))
-            keys, at, unit = np.unique(hashes, return_index=True, return_inverse=True)
-            fresh = [i for i, k in enumerate(keys.tolist()) if k not in known]
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(range(len(keys)))
-            known.update(zip(keys[fresh].tolist(), unit_ids(flat, starts[at[fresh]], lengths[at[fresh]], pieces)))
-            parts = [known[k] for k in keys.tolist()]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            store = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)
-            ids = store[ragged((np.cumsum(sizes) - sizes)[unit], sizes[unit])]
+            keys, at, unit = distinct(hashes)
+
+            def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                parts = unit_ids(flat, starts[at[places]], lengths[at[places]], pieces)
+                return np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+
+            begin, sizes, store = known.lookup(keys, make)
+            ids = store[ragged(begin[unit], sizes[unit])]
             owner = full[np.searchsorted(begins, starts, "right") - 1] if len(full) else np.zeros(0, np.int64)
             counts = np.bincount(owner, weights=sizes[unit], minlength=texts).astype(np.int64)
             places = np.append(0, np.cumsum(counts)).astype(np.int32)
