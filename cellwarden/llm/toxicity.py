@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwarden.llm.tables import Scratch
-from cellwarden.llm.textbatch import _SPACE, chunks, hashes, lower, ragged, spans
+from cellwarden.llm.textbatch import _SPACE, Memory, chunks, distinct, hashes, lower, ragged, spans
 
 SPAN = 5
 DECAY = 0.7
@@ -47,7 +47,6 @@ WORDS = 32
 #: Letters, digits, four kinds of other bytes, and the front of a word.
 LETTERS = 41
 FRONT = 40
-REMEMBERED = 1 << 19
 
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(26)
@@ -200,7 +199,7 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
             data, starts, ends, text, new = word_spans(lower(raw), offsets)
             if not len(starts):
                 continue
-            keys, at, word = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+            _, at, word = distinct(hashes(data, starts, ends))
             each = per_word(data, starts[at], (ends - starts)[at], marks.kernel, width)
             first = np.flatnonzero(new)
             found, sentence = once_each(word, new)
@@ -214,19 +213,19 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Weights (the last one a constant) of a squared-hinge machine, by Newton steps; y is -1 or 1."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1])
+    """Weights of a squared-hinge machine, by Newton steps; y is -1 or 1, and the last column of x is 1."""
+    w = np.zeros(x.shape[1])
+    ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     inside = None
     for _ in range(steps):
-        now = y * (z @ w) < 1
+        now = y * (x @ w) < 1
         if inside is not None and (now == inside).all():
             break
         inside = now
-        part = z[now] * cost[now][:, None]
-        w = np.linalg.solve(ridge + part.T @ z[now], part.T @ y[now])
+        z = x[now].astype(float)
+        part = z * cost[now][:, None]
+        w = np.linalg.solve(ridge + part.T @ z, part.T @ y[now])
     return w
 
 
@@ -293,29 +292,36 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     sent = spark.sparkContext.broadcast((landmarks.row_of, landmarks.rows))
     made = (
         picked.select("text", "toxic", "key").mapInArrow(partial(_sentences, landmarks=sent), "key string, toxic long, sums binary")
-        .toPandas()
+        .toArrow().combine_chunks()
     )
-    sums = np.frombuffer(b"".join(made["sums"]), np.float32).reshape(len(made), -1).astype(float)
     own = np.concatenate(
         [landmarks.kernel(_CODE[np.frombuffer(w, np.uint8)][None, :]) for w in chosen]
     ).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = sums @ root
-    text_of, toxic = made["key"].astype("category").cat.codes.to_numpy(), made["toxic"].to_numpy()
+    x = np.ones((made.num_rows, root.shape[1] + 1), np.float32)
+    for k, part in enumerate(made["sums"].chunks):
+        first = sum(map(len, made["sums"].chunks[:k]))
+        sums = np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(len(part), -1)
+        x[first : first + len(part), :-1] = sums @ root.astype(np.float32)
+        del sums
+    text_of = made["key"].combine_chunks().dictionary_encode()
+    text_of = text_of.chunk(0).indices.to_numpy() if isinstance(text_of, pa.ChunkedArray) else text_of.indices.to_numpy()
+    toxic = made["toxic"].to_numpy()
+    del made
     bad = toxic == 1
     each = np.bincount(text_of, minlength=text_of.max() + 1 if len(text_of) else 0)
     cost = np.where(bad, 1.0 / each[text_of], 1.0 / max(1, (~bad).sum()) * max(1, len(np.unique(text_of[bad]))))
     w = fit_linear(x, np.where(bad, 1.0, -1.0), cost)
     for _ in range(5):
-        margin = x @ w[:-1] + w[-1]
+        margin = x @ w
         top = np.lexsort((-margin, text_of))
         first = top[np.append(True, np.diff(text_of[top]) != 0)]
         witness = first[bad[first]]
         use = np.append(np.flatnonzero(~bad), witness)
         w = fit_linear(x[use], np.where(bad[use], 1.0, -1.0), np.ones(len(use)))
-    margin = x @ w[:-1] + w[-1]
+    margin = x @ w
     top = np.full(len(each), -np.inf)
     np.maximum.at(top, text_of, margin)
     label_of = np.zeros(len(each))
@@ -325,7 +331,7 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), slope, offset)
 
 
-_remembered: dict[str, dict[int, float]] = {}
+_remembered: dict[str, Memory] = {}
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.
     fitted = Model(marks and Landmarks(*marks), *numbers)
     if name not in _remembered:
         _remembered.clear()  # a worker may serve several models one after another
-    known = _remembered.setdefault(name, {})
+    known = _remembered.setdefault(name, Memory(np.float32))
     for batch in batches:
         margins = np.full(batch.num_rows, fitted.constant)
         if fitted.landmarks is not None:
@@ -342,17 +348,18 @@ def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.
                 data, starts, ends, text, new = word_spans(lower(raw), offsets)
                 if not len(starts):
                     continue
-                keys, at, word = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-                fresh = np.array([i for i, k in enumerate(keys.tolist()) if k not in known], np.int64)
-                if len(known) + len(fresh) > REMEMBERED:
-                    known.clear()
-                    fresh = np.arange(len(keys))
-                made = per_word(
-                    data, starts[at[fresh]], (ends - starts)[at[fresh]],
-                    lambda letters: (fitted.landmarks.kernel(letters) @ fitted.weights)[:, None], 1,
-                )
-                known.update(zip(keys[fresh].tolist(), made[:, 0].tolist()))
-                each = np.fromiter(map(known.__getitem__, keys.tolist()), float, len(keys))
+                keys, at, word = distinct(hashes(data, starts, ends))
+                begin, length = starts[at], (ends - starts)[at]
+
+                def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    numbers = per_word(
+                        data, begin[places], length[places],
+                        lambda letters: (fitted.landmarks.kernel(letters) @ fitted.weights)[:, None], 1,
+                    )
+                    return np.ones(len(places), np.int64), numbers[:, 0]
+
+                at, _, store = known.lookup(keys, make)
+                each = store[at].astype(float)
                 first = np.flatnonzero(new)
                 found, sentence = once_each(word, new)
                 sums = np.bincount(sentence, weights=each[found]) + fitted.constant
