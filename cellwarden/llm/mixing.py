@@ -20,11 +20,15 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwarden.llm.tables import fresh
+
+NAMES = ("block", "slot", "position")
+
 
 def period(weights: Mapping[int, int]) -> dict[int, list[int]]:
     """Slots of each class in one period of sum(weights) slots, by earliest deadline first."""
@@ -80,7 +84,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     text_col: str = "text",
-    names: tuple[str, str, str] = ("block", "slot", "position"),
+    names: Sequence[str] = NAMES,
 ) -> DataFrame:
     """``docs`` with the number of the block in its class, the block's slot and the row's position in the mixture.
 
@@ -93,12 +97,16 @@ def mix(
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = {s: i for i, s in enumerate(sorted(weights))}
     own_weights = {i: weights[s] for s, i in order.items()} | {len(order): other_weight}
-    source, key = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
+    # The row as one column, so that no name of it clashes with those made here.
+    rows_ = docs.select(
+        F.struct("*").alias("row_"), F.col(f"`{source_col}`").alias("source_"), F.col(f"`{id_col}`").alias("id_"),
+        F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("text_"),
+    )
     of_class: Column = F.lit(len(order))
     for s, i in order.items():
-        of_class = F.when(source == s, i).otherwise(of_class)
-    by_hash = F.when(key.isNull(), F.xxhash64(F.lit(1), F.col(f"`{text_col}`"))).otherwise(F.xxhash64(F.lit(0), key))
-    marked = docs.withColumn("class_", of_class).withColumn("hash_", by_hash)
+        of_class = F.when(F.col("source_") == s, i).otherwise(of_class)
+    by_hash = F.when(F.col("id_").isNull(), F.col("text_")).otherwise(F.xxhash64(F.lit(0), F.col("id_")))
+    marked = rows_.select("row_", "id_", of_class.alias("class_"), by_hash.alias("hash_"))
     marked = marked.withColumn("bucket_", F.pmod("hash_", F.lit(buckets)).cast("int"))
     counted = marked.groupBy("class_", "bucket_").agg(F.count("*").alias("n")).collect()  # buckets x classes at most
 
@@ -114,18 +122,18 @@ def mix(
         "phases_ array<struct<first:long,end:long,begin:long,slots:long,taken:array<int>>>",
     )  # buckets x classes rows, each with the slots of a period per phase: bounded by the parameters
     missing = [(last[c], block - rows[c] % block) for c in last if rows[c] % block]
-    inside = Window.partitionBy("class_", "bucket_").orderBy("hash_", F.col(f"`{id_col}`"))
-    slot, number = F.col(f"`{names[1]}`"), F.col(f"`{names[0]}`")
+    inside = Window.partitionBy("class_", "bucket_").orderBy("hash_", "id_")
+    slot, number = F.col("slot_"), F.col("block_")
     ranked = (
         marked.withColumn("rank_", F.row_number().over(inside))
         .join(F.broadcast(lookup), ["class_", "bucket_"])
         .withColumn("rank_", (F.col("rank_") - 1 + F.col("before_")).cast("long"))
-        .withColumn(names[0], F.floor(F.col("rank_") / block))
+        .withColumn("block_", F.floor(F.col("rank_") / block))
         .withColumn("phase_", F.element_at(F.filter("phases_", lambda p: p["end"] > number), 1))
         .withColumn("step_", number - F.col("phase_.first"))
         .withColumn("each_", F.size("phase_.taken"))
         .withColumn(
-            names[1],
+            "slot_",
             (
                 F.col("phase_.begin")
                 + F.floor(F.col("step_") / F.col("each_")) * F.col("phase_.slots")
@@ -138,12 +146,16 @@ def mix(
     for at, short in missing:
         moved = moved + F.when(slot > at, short).otherwise(0)
     position = (slot * block + F.col("rank_") % block - moved).cast("long")
-    return ranked.withColumn(names[2], position).select(
-        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{n}`") for n in names]
-    )
+    own = mixture_columns(docs, names)
+    return ranked.select("row_.*", number.alias(own[0]), slot.alias(own[1]), position.alias(own[2]))
+
+
+def mixture_columns(docs: DataFrame, names: Sequence[str] = NAMES) -> list[str]:
+    """Names of the block, the slot and the position that ``mix`` adds; changed where ``docs`` has such a column."""
+    return [fresh(n, docs.columns) for n in names]
 
 
 def in_order(mixed: DataFrame, position: str = "position") -> DataFrame:
     """Rows sorted by position over all partitions, so that files written from them follow the mixture."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, position).sortWithinPartitions(position)
+    return mixed.repartitionByRange(parts, F.col(f"`{position}`")).sortWithinPartitions(F.col(f"`{position}`"))

@@ -160,10 +160,10 @@ def _with_bytes(ids: np.ndarray, unit: np.ndarray, pieces: Pieces) -> np.ndarray
 
 
 def encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Replace the second column, the text, by its ids."""
+    """Replace the last column, the text, by its ids."""
     pieces, known = load(path)
     for batch in batches:
-        for row, data, offsets in chunks(batch.column(1)):
+        for row, data, offsets in chunks(batch.column(batch.num_columns - 1)):
             texts = len(offsets) - 1
             flat = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
             heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # first character of each text
@@ -194,8 +194,8 @@ def encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             counts = np.bincount(owner, weights=sizes[unit], minlength=texts).astype(np.int64)
             places = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, texts), pa.ListArray.from_arrays(pa.array(places), pa.array(ids))],
-                names=[batch.schema.names[0], "ids"],
+                [*(c.slice(row, texts) for c in batch.columns[:-1]), pa.ListArray.from_arrays(pa.array(places), pa.array(ids))],
+                names=[*batch.schema.names[:-1], "ids"],
             )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, token_files, toxicity, url_rules
+from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, secrets, token_files, toxicity, url_rules
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -57,6 +57,13 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id") != 1)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = secrets.dictionary(docs)
+    trees = secrets.fit(secrets.labelled_findings(docs, known))
+    return secrets.find(docs, known, trees).withColumn("is_secret", F.col("probability") >= 0.5)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +97,7 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op3_url_filters": op3_url_filters,
     "op4_class_lm": op4_class_lm,
+    "op5_secret_scans": op5_secret_scans,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,

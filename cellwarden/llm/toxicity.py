@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwarden.llm.tables import Scratch
 from cellwarden.llm.textbatch import _SPACE, Memory, chunks, distinct, hashes, lower, ragged, spans
@@ -252,6 +253,11 @@ class Model:
     slope: float
     offset: float
 
+    def plain(self) -> tuple:
+        """The same as arrays and numbers, which tasks can read without this package."""
+        marks = self.landmarks and (self.landmarks.row_of, self.landmarks.rows)
+        return marks, self.weights, self.constant, self.slope, self.offset
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
@@ -373,9 +379,16 @@ def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and ``score`` (the probability of the toxic class) of every row."""
-    marks = model.landmarks and (model.landmarks.row_of, model.landmarks.rows)
-    sent = docs.sparkSession.sparkContext.broadcast((marks, model.weights, model.constant, model.slope, model.offset))
+    sent = docs.sparkSession.sparkContext.broadcast(model.plain())
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{text_col}`").alias("text_"))
     name = uuid.uuid4().hex
     made = rows.mapInArrow(partial(_scores, model=sent, name=name), "id_ long, score double")
     return made.withColumnRenamed("id_", id_col)
+
+
+def with_scores(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with the score as a last column ``name``, which must not be one of its columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.plain())
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    rows = docs.select("*", F.col(f"`{text_col}`").alias("score"))
+    return rows.mapInArrow(partial(_scores, model=sent, name=uuid.uuid4().hex), schema).toDF(*docs.columns, name)
