@@ -31,10 +31,10 @@ def remainder(column: str) -> Column:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    """Fitted on labelled documents outside the held-out fifth, at most 1,500 of each class."""
+    """Fitted on labelled documents outside the held-out fifth, at most 1,000 of each class."""
     known = labels.where((remainder("doc_id") != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     joined = docs.select("doc_id", "text").join(known, "doc_id")
-    return toxicity.train(joined, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=1500, marks=128)
+    return toxicity.train(joined, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=1000, marks=128)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ word a number, a sentence their sum, and a text the greatest of its sentences.
 Words are white-space separated; ASCII signs inside them do not count, single letters in a row are one word, and
 words of more than ``LONGEST`` bytes are cut into overlapping windows. Sentences end at line ends, at ``.!?`` before white space and after ``WORDS`` words.
 
-Training takes at most ``sample`` labelled texts of each class, those with the smallest hash of their id. A
-toxic text's label belongs to one sentence of it, not known in advance: the machine is fitted, each toxic text's highest
-sentence is taken as its example, and this is repeated. A logistic curve on the texts' scores, weighted to the classes' shares
+Training takes at most ``sample`` labelled texts of each class, those with the smallest hash of their id, and once more with a
+character inserted in each word: the toxic ones and a quarter of the others. A
+toxic text's label belongs to some sentences of it, not known in advance: the machine is fitted, each toxic text's highest
+sentence, and those that score above nearly all sentences of other texts, are taken as its examples, and this is repeated. A logistic curve on the texts' scores, weighted to the classes' shares
 among all labelled rows, gives the probability. Only landmark words, the sample's sentence features (numbers)
 and the fitted numbers pass through the driver.
 
@@ -32,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +41,14 @@ from pyspark.sql import types as T
 from cellwarden.llm.tables import Scratch
 from cellwarden.llm.textbatch import _SPACE, Memory, chunks, distinct, hashes, lower, ragged, spans
 
-SPAN = 5
-DECAY = 0.7
-POWER = 2
+SPAN = 7
+DECAY = 0.9
+POWER = 4
 LONGEST = 24
 #: Words of a sentence; a longer one is cut.
 WORDS = 32
+#: A toxic text's sentence is an example if it scores above this share of the sentences of other texts.
+CLEAR = 1.0
 #: Letters, digits, four kinds of other bytes, and the front of a word.
 LETTERS = 41
 FRONT = 40
@@ -200,17 +204,36 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
             data, starts, ends, text, new = word_spans(lower(raw), offsets)
             if not len(starts):
                 continue
-            _, at, word = distinct(hashes(data, starts, ends))
+            keys, at, word = distinct(hashes(data, starts, ends))
             each = per_word(data, starts[at], (ends - starts)[at], marks.kernel, width)
             first = np.flatnonzero(new)
             found, sentence = once_each(word, new)
             sums = np.add.reduceat(each[found], np.flatnonzero(np.append(True, np.diff(sentence) != 0)), axis=0)
             ids, label = batch.column(2), batch.column(1)
+            toxic = label.to_numpy()[row + text[first]]
             own = pa.array(row + text[first])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(own), label.take(own).cast(pa.int64()), pa.array([s.tobytes() for s in sums], pa.binary())],
-                names=["key", "toxic", "sums"],
-            )
+            yield sentence_rows(ids.take(own), label.take(own), sums)
+            # The same sentences with a character inserted in each word: all toxic texts, and a quarter of the others.
+            each = per_word(*with_insertions(data, starts[at], (ends - starts)[at], keys), marks.kernel, width)
+            sums = np.add.reduceat(each[found], np.flatnonzero(np.append(True, np.diff(sentence) != 0)), axis=0)
+            some = np.flatnonzero((toxic == 1) | ((row + text[first]) % 4 == 0))
+            own = pa.array(row + text[first[some]])
+            yield sentence_rows(pc.binary_join_element_wise(ids.take(own), "inserted", "/"), label.take(own), sums[some])
+
+
+def sentence_rows(keys: pa.Array, labels: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+    values = pa.array([s.tobytes() for s in sums], pa.binary())
+    return pa.RecordBatch.from_arrays([keys, labels.cast(pa.int64()), values], names=["key", "toxic", "sums"])
+
+
+def with_insertions(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with one letter or digit inserted, chosen by the word's hash; short and full ones as they are."""
+    flat = data[ragged(starts, lengths)]
+    begin = np.cumsum(lengths) - lengths
+    long = (lengths >= 4) & (lengths < LONGEST)
+    at = begin + 1 + (keys % np.maximum(lengths - 1, 1).astype(np.uint64)).astype(np.int64)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)[((keys >> np.uint64(32)) % np.uint64(36)).astype(int)]
+    return np.insert(flat, at[long], letters[long]), begin + np.cumsum(long) - long, lengths + long
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -262,7 +285,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 2000, marks: int = 128) -> Model:
+def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 1000, marks: int = 128) -> Model:
     """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class."""
     spark = texts.sparkSession
     rows = texts.select(text.alias("text"), label.cast("long").alias("toxic"), key.cast("string").alias("key"))
@@ -324,8 +347,9 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
         margin = x @ w
         top = np.lexsort((-margin, text_of))
         first = top[np.append(True, np.diff(text_of[top]) != 0)]
-        witness = first[bad[first]]
-        use = np.append(np.flatnonzero(~bad), witness)
+        telling = bad & (margin > np.quantile(margin[~bad], CLEAR))
+        telling[first] |= bad[first]
+        use = np.flatnonzero(~bad | telling)
         w = fit_linear(x[use], np.where(bad[use], 1.0, -1.0), np.ones(len(use)))
     margin = x @ w
     top = np.full(len(each), -np.inf)
