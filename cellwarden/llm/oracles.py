@@ -28,6 +28,36 @@ reached(a, b) as (select a, b from links union select r.a, l.b from reached r jo
 )"""
 
 
+#: Vectors without null or non-finite components, as doubles.
+_VECTORS = """
+select vec_id, label, cast(embedding as double[]) as v from embeddings
+where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+TOP_K = f"""
+with v as ({_VECTORS}),
+w as (select vec_id, list_transform(v, lambda x: floor(256 * x)) as w from v),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score
+  from w q join w c on q.vec_id <> c.vec_id and len(q.w) = len(c.w) where q.vec_id % 50 = 0
+),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 5"""
+
+NEAR_VECTORS = f"""
+with recursive v as (select * from ({_VECTORS}) where label is not null and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+counted as (select a, count(*) as n from links group by a),
+least_of as (select a, min(b) as b from reached group by a)
+select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(b, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(b, e.vec_id)) as kept
+from embeddings e left join counted c on c.a = e.vec_id left join least_of l on l.a = e.vec_id"""
+
 ORACLES = {
+    "op2_exact_topk": TOP_K,
     "op9_ngram_jaccard_join": f"with recursive {component_cte('documents')} select * from component",
+    "op10_embedding_near_dedup": NEAR_VECTORS,
 }
