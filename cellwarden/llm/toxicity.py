@@ -364,8 +364,8 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
 _remembered: dict[str, Memory] = {}
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
-    """Add the score of the last column, the text, in its place."""
+def _scores(batches: Iterator[pa.RecordBatch], model, name: str, column: str) -> Iterator[pa.RecordBatch]:
+    """Put the score, as ``column``, in the place of the last column, the text. ``name`` is that of the model."""
     marks, *numbers = model.value
     fitted = Model(marks and Landmarks(*marks), *numbers)
     if name not in _remembered:
@@ -398,7 +398,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.
                 some = np.isfinite(best)
                 margins[row : row + len(best)][some] = best[some]
         score = pa.array(fitted.probability(margins))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], column])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,13 +406,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{text_col}`").alias("text_"))
     name = uuid.uuid4().hex
-    made = rows.mapInArrow(partial(_scores, model=sent, name=name), "id_ long, score double")
+    made = rows.mapInArrow(partial(_scores, model=sent, name=name, column="score"), "id_ long, score double")
     return made.withColumnRenamed("id_", id_col)
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the score as a last column ``name``, which must not be one of its columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    rows = docs.select("*", F.col(f"`{text_col}`").alias("score"))
-    return rows.mapInArrow(partial(_scores, model=sent, name=uuid.uuid4().hex), schema).toDF(*docs.columns, name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    rows = docs.select("*", F.col(f"`{text_col}`").alias(name))
+    return rows.mapInArrow(partial(_scores, model=sent, name=uuid.uuid4().hex, column=name), schema)
