@@ -32,6 +32,7 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -162,6 +163,10 @@ def once_each(word: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key % width, key // width
 
 
+#: Rows handled at a time while fitting.
+STRIP = 8192
+
+
 def per_word(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, made, width: int) -> np.ndarray:
     """``made(letters)`` of each word, words of one length together; zeros for words without a triple."""
     out = np.zeros((len(starts), width), np.float32)
@@ -237,19 +242,25 @@ def with_insertions(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Weights of a squared-hinge machine, by Newton steps; y is -1 or 1, and the last column of x is 1."""
+    """Weights of a squared-hinge machine, by Newton steps; y is -1 or 1, the last column of x is 1, rows without cost play no part."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     inside = None
     for _ in range(steps):
-        now = y * (x @ w) < 1
+        now = (y * (x @ w.astype(np.float32)) < 1) & (cost > 0)
         if inside is not None and (now == inside).all():
             break
         inside = now
-        z = x[now].astype(float)
-        part = z * cost[now][:, None]
-        w = np.linalg.solve(ridge + part.T @ z, part.T @ y[now])
+        square, right = ridge.copy(), np.zeros(x.shape[1])
+        inner = np.flatnonzero(now)
+        for k in range(0, len(inner), STRIP):  # no copy of all rows in double precision
+            some = inner[k : k + STRIP]
+            z = x[some].astype(float)
+            part = z * cost[some][:, None]
+            square += part.T @ z
+            right += part.T @ y[some]
+        w = np.linalg.solve(square, right)
     return w
 
 
@@ -321,7 +332,7 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     sent = spark.sparkContext.broadcast((landmarks.row_of, landmarks.rows))
     made = (
         picked.select("text", "toxic", "key").mapInArrow(partial(_sentences, landmarks=sent), "key string, toxic long, sums binary")
-        .toArrow().combine_chunks()
+        .toArrow()
     )
     own = np.concatenate(
         [landmarks.kernel(_CODE[np.frombuffer(w, np.uint8)][None, :]) for w in chosen]
@@ -330,13 +341,14 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     x = np.ones((made.num_rows, root.shape[1] + 1), np.float32)
-    for k, part in enumerate(made["sums"].chunks):
-        first = sum(map(len, made["sums"].chunks[:k]))
-        sums = np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(len(part), -1)
-        x[first : first + len(part), :-1] = sums @ root.astype(np.float32)
-        del sums
-    text_of = made["key"].combine_chunks().dictionary_encode()
-    text_of = text_of.chunk(0).indices.to_numpy() if isinstance(text_of, pa.ChunkedArray) else text_of.indices.to_numpy()
+    root32, row = root.astype(np.float32), 0
+    for part in made["sums"].chunks:
+        sums = np.frombuffer(part.buffers()[2], np.float32)[part.offset * len(chosen) : (part.offset + len(part)) * len(chosen)]
+        for k in range(0, len(part), STRIP):
+            strip = sums.reshape(len(part), -1)[k : k + STRIP] @ root32
+            x[row : row + len(strip), :-1] = strip
+            row += len(strip)
+    text_of = pd.factorize(made["key"].to_numpy())[0]
     toxic = made["toxic"].to_numpy()
     del made
     bad = toxic == 1
@@ -344,14 +356,13 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     cost = np.where(bad, 1.0 / each[text_of], 1.0 / max(1, (~bad).sum()) * max(1, len(np.unique(text_of[bad]))))
     w = fit_linear(x, np.where(bad, 1.0, -1.0), cost)
     for _ in range(5):
-        margin = x @ w
+        margin = x @ w.astype(np.float32)
         top = np.lexsort((-margin, text_of))
         first = top[np.append(True, np.diff(text_of[top]) != 0)]
         telling = bad & (margin > np.quantile(margin[~bad], CLEAR))
         telling[first] |= bad[first]
-        use = np.flatnonzero(~bad | telling)
-        w = fit_linear(x[use], np.where(bad[use], 1.0, -1.0), np.ones(len(use)))
-    margin = x @ w
+        w = fit_linear(x, np.where(bad, 1.0, -1.0), (~bad | telling).astype(float))
+    margin = x @ w.astype(np.float32)
     top = np.full(len(each), -np.inf)
     np.maximum.at(top, text_of, margin)
     label_of = np.zeros(len(each))
