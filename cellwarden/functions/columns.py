@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
@@ -21,6 +22,16 @@ def ratio_kpi(numerators: list[str], denominators: list[str], scale: float) -> C
     return F.try_divide(top, bottom) * F.lit(scale)
 
 
+OPERATORS = ("lt", "le", "gt", "ge", "outside")
+
+
+def known_operators(names: Iterable[str]) -> None:
+    """Stop at an operator that no condition knows; it would never hold and so hide its rule."""
+    unknown = sorted(set(names) - set(OPERATORS))
+    if unknown:
+        raise ValueError(f"unknown operators: {', '.join(map(str, unknown))}")
+
+
 def compares(op: Column, value: Column, threshold: Column, high: Column | None = None) -> Column:
     """Evaluate a condition whose operator is data: lt, le, gt, ge or outside(threshold, high)."""
     test = (

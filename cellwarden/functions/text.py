@@ -1,4 +1,4 @@
-"""Text columns: tokens, HTML to text, snippets, deletion variants and hashed term buckets."""
+"""Text columns: tokens, HTML to text, snippets, deletion variants."""
 
 from __future__ import annotations
 
@@ -30,8 +30,9 @@ def html_title(html: Column) -> Column:
 
 
 def first_hit(text: Column, terms: Column) -> Column:
-    """Position (from 1) of the first occurrence of any of the tokens ``terms``; 0 if none."""
-    return F.regexp_instr(F.lower(text), F.array_join(terms, "|"))
+    """Position (from 1) of the first whole token that is one of ``terms``; 0 if none, or without terms."""
+    whole = F.concat(F.lit("(?<![a-z0-9])(?:"), F.array_join(terms, "|"), F.lit(")(?![a-z0-9])"))
+    return F.when(F.size(terms) > 0, F.regexp_instr(F.lower(text), whole)).otherwise(0)
 
 
 def snippet(text: Column, place: Column, width: int) -> Column:
@@ -61,8 +62,3 @@ def deletion_variants(term: Column, max_dist: int) -> Column:
     for _ in range(max_dist):
         variants = F.array_distinct(F.flatten(F.transform(variants, one_deletion)))
     return variants
-
-
-def term_bucket(token: Column, dim: int) -> Column:
-    """Stable bucket of a token in 0..dim-1, from the first 32 bits of its MD5 value."""
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")

@@ -8,6 +8,8 @@ METRICS = ("euclidean", "cosine")
 DISTANCE_DIGITS = 9
 # Scores held at a time (32 MB).
 SCORE_CELLS = 4_000_000
+# Numbers of pairs measured again at a time (32 MB a side).
+PAIR_NUMBERS = 4_000_000
 
 
 def pair_distances(base: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
@@ -42,12 +44,20 @@ def _chunk_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_s
         kth = np.partition(scores, k - 1, axis=1)[:, k - 1]
         near &= scores <= (kth + 1e-9 * np.abs(kth) + rounding)[:, None]
     q, b = np.nonzero(near)
-    exact = pair_distances(base[b], query[q], metric)
-    # At most k rows leave per query.
-    order = nearest_first(q, exact, base_ids[b])
-    q, b, exact = q[order], b[order], exact[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
-    return q[keep], b[keep], exact[keep]
+    # Any number of rows may tie at the k-th score, so pairs are measured in slices, and after each
+    # slice only the k best of every query stay.
+    step = max(1, PAIR_NUMBERS // max(1, base.shape[1]))
+    best_q, best_b, best_d = q[:0], b[:0], np.empty(0)
+    for start in range(0, len(q), step):
+        part_q, part_b = q[start : start + step], b[start : start + step]
+        distance = pair_distances(base[part_b], query[part_q], metric)
+        best_q, best_b = np.concatenate([best_q, part_q]), np.concatenate([best_b, part_b])
+        best_d = np.concatenate([best_d, distance])
+        order = nearest_first(best_q, best_d, base_ids[best_b])
+        best_q, best_b, best_d = best_q[order], best_b[order], best_d[order]
+        keep = np.arange(len(best_q)) - np.searchsorted(best_q, best_q, side="left") < k
+        best_q, best_b, best_d = best_q[keep], best_b[keep], best_d[keep]
+    return best_q, best_b, best_d
 
 
 def local_topk(base_ids, base, query_ids, query, k: int, metric: str, exclude_self: bool):

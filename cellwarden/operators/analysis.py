@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.functions.columns import compares
+from cellwarden.functions.columns import compares, known_operators
 from cellwarden.operators.detection import SEVERITY_ORDER
 
 
@@ -70,6 +70,7 @@ def analyze_incidents(
     The conditions are a Python sequence, so they become one projection over the case columns:
     no join and no shuffle, whatever the number of cases.
     """
+    known_operators(c.op for c in conditions)
     kpis = F.col("kpi_missed.kpi")
 
     def finding(c: Condition) -> Column:

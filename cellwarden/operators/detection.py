@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwarden.functions.columns import compares, ratio_kpi
+from cellwarden.functions.columns import compares, known_operators, ratio_kpi
 from cellwarden.scale import literal_rows, with_global_rank
 from cellwarden.schemas import ERAB_ATTEMPTS, ERAB_RELEASES, ERAB_SUCCESSES
 
@@ -42,6 +42,10 @@ _META = pa.schema(
 
 
 def kpi_meta(spark: SparkSession, rules: Sequence[KpiRule] = KPI_RULES) -> DataFrame:
+    """The watched KPIs as a relation; each KPI once, as an incident is one cell's series of one KPI."""
+    known_operators(r.op for r in rules)
+    if len({r.kpi for r in rules}) < len(rules):
+        raise ValueError("a KPI has more than one rule; detect with one rule each")
     return literal_rows(spark, rules, _META)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.functions.text import term_bucket, tokens
+from cellwarden.functions.text import TOKEN
 
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -26,26 +29,28 @@ def embed_with_model(df: DataFrame, text_col: str, embedder: Embedder, out: str
     return df.withColumn(out, model(F.col(text_col)))
 
 
-def embed_texts(
-    df: DataFrame, id_col: str, text_col: str, dim: int = 64, out: str = "embedding"
-) -> DataFrame:
+def embed_texts(df: DataFrame, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
     """Default embedder: hashed term counts of the whole text, scaled to unit length.
 
-    The counts combine inside the task that holds the text, so at most ``dim`` rows per text
-    are shuffled. A text without any token has no embedding (NULL). ``id_col`` must be unique.
+    A token's bucket comes from the first 32 bits of its MD5 value. One pass over the texts, without a shuffle or an id; a text
+    without any token has no embedding (NULL).
     """
-    counts = (
-        df.select(id_col, F.explode(tokens(F.col(text_col))).alias("_token"))
-        .groupBy(id_col, term_bucket(F.col("_token"), dim).alias("_bucket"))
-        .agg(F.count("*").cast("double").alias("_n"))
-    )
-    sparse = counts.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bucket", "_n"))).alias("_counts"),
-        F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("_counts", i), F.lit(0.0)) / F.col("_norm"),
-    )
-    vectors = sparse.select(id_col, dense.alias(out))
-    return df.drop(out).join(vectors, id_col, "left")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        token = re.compile(TOKEN)
+        buckets: dict[str, int] = {}
+        for texts in batches:
+            vectors: list[np.ndarray | None] = []
+            for text in texts:
+                found = token.findall(text) if text else []
+                if len(buckets) > 1_000_000:
+                    buckets.clear()
+                for t in found:
+                    if t not in buckets:
+                        buckets[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                counts = np.bincount([buckets[t] for t in found], minlength=dim).astype(float) if found else None
+                vectors.append(None if counts is None else counts / np.sqrt((counts * counts).sum()))
+            yield pd.Series(vectors, index=texts.index, dtype=object)
+
+    embed = F.pandas_udf(run, "array<double>")
+    return df.withColumn(out, embed(F.lower(F.col(text_col))))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,19 +33,28 @@ BASE_BLOCK = 20_000
 QUERY_BLOCK = 2_000
 
 
+def _comparable(vector: Column) -> Column:
+    """Whether a vector has components, all of them finite numbers; a NULL one is not."""
+    inf = F.lit(math.inf)
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
+    return F.coalesce((F.size(vector) > 0) & sound, F.lit(False))
+
+
 def nonempty_embeddings(df: DataFrame, vector_col: str = "events_embeddings") -> DataFrame:
     return df.where(F.size(vector_col) > 0)
 
 
 def _narrow(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    return nonempty_embeddings(df, vector_col).select(
-        F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
-    )
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return rows.where(_comparable(F.col("vector")))
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    lengths = vectors.value_lengths()
+    if len(vectors) and (lengths.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py()):
+        raise ValueError("vectors of different lengths cannot be compared")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
@@ -186,7 +196,8 @@ def vector_topk(
 ) -> DataFrame:
     """(query_id, base_id, distance, rank) of the k nearest base vectors of every query.
 
-    Rows without an embedding are left out on both sides; ties (to nine digits) go to the smaller id. ``exact``
+    Vectors that are NULL, empty or hold NULL or non-finite components are left out on both sides, and
+    so are base vectors of another length than the queries', which must have one length. Ties (to nine digits) go to the smaller id. ``exact``
     measures every base vector: against a broadcast query matrix while the counted queries fit
     the bound, else block by block. ``lsh`` compares only vectors that share a random-projection
     bucket in one of ``tables`` hash tables and may miss neighbours.
@@ -196,8 +207,13 @@ def vector_topk(
     base_rows = _narrow(base, id_col, vector_col)
     query_rows = _narrow(queries, id_col, vector_col)
     size = query_rows.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
+        F.count("*").alias("n"),
+        F.coalesce(F.min(F.size("vector")), F.lit(0)).alias("least"),
+        F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"),
     ).first()
+    if size["least"] != size["dim"]:
+        raise ValueError(f"queries have vectors of {size['least']} to {size['dim']} numbers")
+    base_rows = base_rows.where(F.size("vector") == size["dim"])
     if not size["n"] or (method == "exact" and size["n"] * size["dim"] <= max_query_numbers):
         near = _against_matrix(base_rows, query_rows, k, metric, exclude_self)
     elif method == "exact":

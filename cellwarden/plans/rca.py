@@ -123,7 +123,7 @@ def analyse_incidents(
     """
     incidents = cut_lineage(incidents)
     cases = analysed_cases(measured_cases(incidents, rules, traces, performance, cell_config))
-    cases = cut_lineage(embed_texts(cases, "incident_id", "events", dim, "events_embeddings"))
+    cases = cut_lineage(embed_texts(cases, "events", dim, "events_embeddings"))
     similar = prior_incidents(cases, known, cutoff=cutoff, likely=likely)
     internal = retrieve_docs(cases, documents)
     external = retrieve_pages(cases, pages, allow)

@@ -47,16 +47,6 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores for a file scan that has fewer splits than the cluster has cores.
-
-    Such a table is small, so moving it is cheap; a large table has more splits and stays as it
-    is. Only for plain scans: asking other frames for their partitions would run them.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys with more rows than a fair shuffle partition; never more keys than partitions.
 

@@ -141,3 +141,10 @@ def test_prioritize_orders_by_severity_then_overshoot_then_id(spark):
 
     expected = {f"i{n:03d}": p for p, n in enumerate(sorted(range(200), key=key), start=1)}
     assert found == expected
+
+
+def test_rules_that_would_go_wrong_are_refused(spark):
+    rule = d.KpiRule("erab_success_rate", "lt", 97.0, "low")
+    for rules in ([rule, rule._replace(threshold=95.0)], [rule._replace(op="eq")]):
+        with pytest.raises(ValueError):
+            d.kpi_meta(spark, rules)

@@ -159,3 +159,11 @@ def test_retrieval_answers_each_incident_and_respects_the_allow_list(spark):
     external = {r.incident_id: r for r in documents.retrieve_pages(incidents, pages, allow).collect()}
     assert [(r.url, r.title) for r in external["i"].references] == [("http://a/", "A")]
     assert external["k"].search_result == documents.NO_EXTERNAL
+
+
+def test_snippets_start_at_whole_words(spark):
+    docs = spark.createDataFrame([(1, "retainability was poor when the cell failed in may")], "doc_id int, text string")
+    asked = spark.createDataFrame([("q", "in"), ("none", "!?")], "query_id string, query string")
+    results = spark.createDataFrame([("q", 1, 1), ("none", 1, 1)], "query_id string, doc_id int, rank int")
+    found = {r.query_id: r.snippet for r in search.snippets(results, docs, asked, 10).collect()}
+    assert found == {"q": "iled in ma", "none": None}

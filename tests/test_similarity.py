@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from cellwarden.functions import vectors
 from cellwarden.operators import embedding, similarity
 from tests.conftest import rows
 
@@ -129,7 +130,7 @@ def test_prior_incident_blocks(spark):
 def test_hashed_embedding(spark):
     texts = [("a", "Call drop, call DROP 7"), ("b", "..."), ("c", None), ("d", "word " * 3000)]
     df = spark.createDataFrame(texts, "id string, text string")
-    found = {r.id: r.embedding for r in embedding.embed_texts(df, "id", "text", 16).collect()}
+    found = {r.id: r.embedding for r in embedding.embed_texts(df, "text", 16).collect()}
     assert found["b"] is None and found["c"] is None
     for key, text in (("a", texts[0][1]), ("d", texts[3][1])):
         expected = np.zeros(16)
@@ -145,3 +146,26 @@ def test_external_model(spark):
 
     df = spark.createDataFrame([("abc",), (None,)], "text string")
     assert rows(embedding.embed_with_model(df, "text", model), "embedding") == sorted([([3.0, 1.0],), (None,)], key=str)
+
+
+def test_unsound_vectors_are_absent_and_lengths_are_checked(spark):
+    schema = "incident_id string, events_embeddings array<double>"
+    inf, nan = float("inf"), float("nan")
+    sound = [(f"b{i}", [float(i), 1.0, 0.0]) for i in range(10)]
+    unsound = [("n", [nan, 1.0, 0.0]), ("i", [1.0, -inf, 0.0]), ("e", [1.0, None, 0.0]), ("z", None), ("y", []), ("long", [0.0] * 6)]
+    base = spark.createDataFrame(sound + unsound, schema)
+    asked = spark.createDataFrame([("q", [0.2, 1.0, 0.0]), ("bad", [nan, 0.0, 0.0])], schema)
+    for options in ({}, {"max_query_numbers": 0, "base_block": 4, "query_block": 1}):
+        found = similarity.vector_topk(base, asked, 5, **options).orderBy("rank").collect()
+        assert [(r.query_id, r.base_id) for r in found] == [("q", f"b{i}") for i in range(5)]
+    uneven = spark.createDataFrame([("q", [1.0, 2.0]), ("r", [1.0])], schema)
+    with pytest.raises(ValueError, match="1 to 2 numbers"):
+        similarity.vector_topk(base, uneven)
+
+
+def test_many_ties_are_measured_in_slices(monkeypatch):
+    monkeypatch.setattr(vectors, "PAIR_NUMBERS", 64)
+    base, ids = np.ones((5000, 8)), np.arange(5000)[::-1]
+    base[17] = 1.5
+    q, b, d = vectors.local_topk(ids, base, np.array([1, 2]), np.ones((2, 8)), 4, "euclidean", False)
+    assert q.tolist() == [0] * 4 + [1] * 4 and ids[b].tolist() == [0, 1, 2, 3] * 2 and not d.any()

@@ -454,7 +454,7 @@ from ranked r join docs d on r.doc_id = d.doc_id"""),
         """
 select query_id, doc_id, rank, substr(text, cast(greatest(1, place - 40) as bigint), 80) snippet
 from (select r.query_id, r.doc_id, r.rank, any_value(d.text) as text,
-             min(case when position(t.term in lower(d.text)) > 0 then position(t.term in lower(d.text)) end) place
+             min(nullif(position(concat(' ', t.term, ' ') in concat(' ', regexp_replace(lower(d.text), '[^a-z0-9]', ' ', 'g'), ' ')), 0)) place
       from ranked r join docs d on r.doc_id = d.doc_id join terms t on t.query_id = r.query_id
       group by r.query_id, r.doc_id, r.rank)""",
     ),
@@ -469,7 +469,8 @@ best as (select *, row_number() over (partition by term order by distance, df de
 select a.term, b.found corrected, cast(b.distance as integer) distance from asked a left join best b on a.term = b.term""",
     "expand_query": """
 with terms as (select distinct p_partkey query_id, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) term from part),
-synonyms as (select distinct split_part(p_name, ' ', 1) term, split_part(p_name, ' ', 2) related from part)
+words as (select list_filter(string_split(p_name, ' '), lambda w: w <> '') w from part),
+synonyms as (select distinct w[i] term, w[i + 1] related from words, unnest(range(1, len(w))) u(i))
 select query_id, term from terms
 union select t.query_id, s.related from terms t join synonyms s on t.term = s.term""",
     "internal_docs": _retrieval(INTERNAL_DOCS, INTERNAL_REFERENCE, "d.title", NO_INTERNAL),
@@ -480,8 +481,10 @@ union all
 select case_id, case when url is null then 0 else 1 end, concat('{DOCUMENT_PREFIX}', doc_id), source
 from chunks where doc_id is not null"""),
     "grounding_gate": sql(f"""
-select case_id, case when url is not null then concat('answer ', case_id) else {_quoted(NO_INTERNAL)} end answer,
-       case when url is not null then 1 else 0 end n_references from chunks"""),
+select coalesce(case_id, p_partkey) case_id,
+       case when url is not null or doc_id is not null then concat('answer ', case_id) else {_quoted(NO_INTERNAL)} end answer,
+       cast(case when url is not null then 1 else 0 end + case when doc_id is not null then 1 else 0 end as integer) n_references
+from chunks full join part on case_id = p_partkey"""),
     "append_section": """
 select conv_id, turn, concat(case when turn > 0 and text <> '' then concat(text, chr(10), chr(10)) else '' end,
        '**Role**', chr(10), role) events from conversations""",

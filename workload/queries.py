@@ -461,7 +461,7 @@ def issue_adjustments(spark, sf):
 
 def embed_events(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    embedded = embedding.embed_texts(docs, "doc_id", "text")
+    embedded = embedding.embed_texts(docs, "text")
     exploded = embedded.select("doc_id", F.posexplode_outer("embedding").alias("dim", "weight"))
     return plain(exploded.where("weight is null or weight <> 0"))
 
@@ -509,7 +509,7 @@ def format_prior_incidents(spark, sf):
 def prior_incidents(spark, sf):
     """The whole similar-incident step: event log, embedding, nearest logs, text blocks."""
     cases = embedding.embed_texts(
-        measured(spark, sf).select("incident_id", "events"), "incident_id", "events", out="events_embeddings"
+        measured(spark, sf).select("incident_id", "events"), "events", out="events_embeddings"
     )
     unknown = F.lit(None).cast("string")
     known = cut_lineage(cases).withColumns({c: unknown for c in ("final_analysis", "cause", "resolution")})
@@ -547,9 +547,10 @@ def spell_correct(spark, sf):
 def expand_query(spark, sf):
     parts = table(spark, sf, "part")
     terms = search.query_terms(parts.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")))
-    words = F.split("p_name", " ")
-    synonyms = parts.select(F.get(words, F.lit(0)).alias("term"), F.get(words, F.lit(1)).alias("related"))
-    return search.expand_query(terms, synonyms.where("related is not null"))
+    words = F.filter(F.split("p_name", " "), lambda w: w != "")
+    pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("term"),
+                         F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("related"))
+    return search.expand_query(terms, parts.select(F.inline(pairs)))
 
 
 def _references_text(col: str = "references"):
@@ -580,7 +581,9 @@ def extract_references(spark, sf):
 
 
 def grounding_gate(spark, sf):
-    chunks = answer_chunks(spark, sf).withColumn("chunks", F.slice("chunks", 1, 2))
+    """Part keys beyond the documents and pages are answers without any chunk."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"))
+    chunks = answer_chunks(spark, sf).join(parts, "case_id", "full")
     cases = chunks.withColumn("references", documents.extract_references(F.col("chunks")))
     answer = F.concat(F.lit("answer "), F.col("case_id").cast("string"))
     gated = documents.grounding_gate(answer, F.col("references"), documents.NO_INTERNAL)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwarden.scale import spread
 from cellwarden.schemas import ERAB_ATTEMPTS, ERAB_RELEASES, ERAB_SUCCESSES
 
 
@@ -44,9 +43,9 @@ from events
 
 CELL_CONFIG = f"""
 select {ENODEB} enodeb_id, {CELL} cell_id,
-       cast(-120 + max(event_id) % 13 as double) pZeroNominalPucch,
+       cast(case when min(event_id) % 7 > 0 then -120 + max(event_id) % 13 end as double) pZeroNominalPucch,
        cast(-106 + min(event_id) % 14 as double) pZeroNominalPusch
-from events where event_type <> 'view' group by user_id
+from events group by user_id
 """
 
 # Nations play the rules: which KPIs they name depends on the region.
@@ -74,12 +73,8 @@ INPUTS = {
 }
 
 
-TEXTS = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXTS else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
