@@ -409,15 +409,15 @@ def near_duplicates(
              F.count("*").alias("roots"))
         .where("roots > 1")
         .groupBy("members", "whom", "main").agg(F.min("sig").alias("sig"))
-        .select(
-            "sig", F.col("main.root").alias("main"),
-            F.ceil((F.col("members") - F.col("main.n")) / BLOCK).cast("int").alias("few"),
-            F.ceil(F.col("members") / BLOCK).cast("int").alias("all"),
-        )
+        .select("sig", F.col("main.root").alias("main"))
     )
-    rest = scratch.keep(
-        placed.join(open_groups, "sig").withColumn("minor", F.col("root") != F.col("main")), "open"
+    # The groups around one component are handled as one, as they have nearly the same members.
+    around = scratch.keep(placed.join(open_groups, "sig").select("main", "key", "root").distinct(), "around")
+    minor = F.col("root") != F.col("main")
+    sizes = around.groupBy("main").agg(
+        F.ceil(F.sum(minor.cast("int")) / BLOCK).cast("int").alias("few"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all")
     )
+    rest = scratch.keep(around.join(sizes, "main").withColumn("minor", minor), "open")
     if rest.head(1):
         # Members outside a group's largest component meet all members; those inside it need not meet each other.
         own = F.xxhash64("key")
@@ -426,13 +426,13 @@ def near_duplicates(
             "side", F.explode(F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
         ).withColumn("other", F.explode(each_block))
         dealt = sides.select(
-            "sig", "key", "root", "minor", "side",
+            "main", "key", "root", "minor", "side",
             F.when(F.col("side") == 0, F.pmod(own, F.col("few")).cast("int")).otherwise(F.col("other")).alias("i"),
             F.when(F.col("side") == 0, F.col("other")).otherwise(F.pmod(own, F.col("all")).cast("int")).alias("j"),
         )
         found = (
             dealt.join(sets.select("key", "n", "sketch"), "key")
-            .groupBy("sig", "i", "j").applyInArrow(lambda table: _in_blocks(table, bands), "a long, b long")
+            .groupBy("main", "i", "j").applyInArrow(lambda table: _in_blocks(table, bands), "a long, b long")
         )
         links = scratch.keep(links.union(verified(found)), "all-links")
         roots = scratch.keep(components(links, scratch), "all-roots")
