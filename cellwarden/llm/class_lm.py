@@ -151,7 +151,8 @@ def best_class(after: np.ndarray, ahead: np.ndarray, own: float, now: int, pairs
     after, ahead = after.copy(), ahead.copy()
     after[now] -= own
     ahead[now] -= own
-    rows, columns = rest.sum(axis=1), rest.sum(axis=0)
+    # The word's neighbours keep their places as first or second of a pair, wherever it goes.
+    rows, columns = rest.sum(axis=1) + ahead, rest.sum(axis=0) + after
     b = np.arange(movable)
     down, across = rest[:movable], rest[:, :movable].T
     right = xlogx(down + after) - xlogx(down)

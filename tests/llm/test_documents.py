@@ -183,7 +183,7 @@ def test_toxicity_learns_words_and_their_variants(spark):
         w = [plain[k] for k in rng.integers(0, len(plain), 30)]
         toxic = i % 3 == 0
         if toxic:
-            w[int(rng.integers(0, 30))] = bad[i % len(bad)]
+            w[int(rng.integers(0, 30))] = bad[i // 3 % len(bad)]
         rows.append((i, " ".join(w[:15]) + ". " + " ".join(w[15:]), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(df, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=200, marks=32)
