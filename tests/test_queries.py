@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_file.queries(), entry_file.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +52,7 @@ def test_query(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry_file.entry(spark).count() > 0
+    assert QUERIES.items() <= entry_file.queries().items() and ORACLES.items() <= entry_file.oracle_sql().items()
 
 
 def test_every_query_but_the_approximate_one_has_sql():
