@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, secrets, token_files, toxicity, url_rules
+from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, secrets, tables, token_files, toxicity, url_rules
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -33,8 +33,12 @@ def remainder(column: str) -> Column:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on labelled documents outside the held-out fifth, at most 1,000 of each class."""
     known = labels.where((remainder("doc_id") != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    joined = docs.select("doc_id", "text").join(known, "doc_id")
-    return toxicity.train(joined, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=1000, marks=128)
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("toxic = 0").orderBy(*order).limit(1000).union(known.where("toxic = 1").orderBy(*order).limit(1000))
+    # 2,000 rows of two numbers at most, so the texts need no shuffle.
+    joined = tables.Scratch(docs.sparkSession).keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    return toxicity.train(joined, F.col("text"), F.col("toxic"), F.col("doc_id"), sample=1000, marks=128, totals=totals)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

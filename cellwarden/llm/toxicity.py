@@ -26,7 +26,7 @@ of the classes, every score is the share of toxic rows (0 without any labelled r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
@@ -296,8 +296,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 1000, marks: int = 128) -> Model:
-    """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class."""
+def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 1000, marks: int = 128, totals: Mapping[int, int] | None = None) -> Model:
+    """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class.
+
+    ``totals`` tells the labelled rows of each class if ``texts`` is a sample of them already.
+    """
     spark = texts.sparkSession
     rows = texts.select(text.alias("text"), label.cast("long").alias("toxic"), key.cast("string").alias("key"))
     rows = rows.where(F.col("toxic").isin(0, 1))
@@ -313,6 +316,8 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     picked = scratch.keep(picked.repartition(parts, "key", F.xxhash64("text")), "labelled")
     taken = {c: min(sample, n) for c, n in counts.items()}
+    if totals:
+        none, some = totals.get(0, none), totals.get(1, some)
     words = (
         picked.select("text", "toxic").mapInArrow(_words, "word binary, toxic long")
         .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
