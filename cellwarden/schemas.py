@@ -4,91 +4,199 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# --- Fixed values: column names of the input tables, in table order. -------------------------
-_RRC_CAUSES = ["", "_Em", "_Hpa", "_Mod", "_Mos", "_Mta"]
-_RRC_REESTABLISH_CAUSES = ["", "_Dta", "_Em", "_Hpa", "_Mod", "_Mos", "_Mta"]
-
-ERAB_ATTEMPTS = [f"ERAB_EstabInitAttNbr_QCI{i}" for i in range(1, 10)]
-ERAB_SUCCESSES = [f"ERAB_EstabInitSuccNbr_QCI{i}" for i in range(1, 10)]
-ERAB_RELEASES = [f"ERAB_RelActNbr_QCI{i}" for i in range(1, 10)]
-
-PERFORMANCE_TEXT_COUNTERS = [
-    "ERAB_EstabAddAttNbr_QCI",
-    "ERAB_EstabAddSuccNbr_QCI",
-    "ERAB_SessionTimeQCI_QCI",
+# --- Fixed values: names and types of the columns of the input tables, in table order. ------
+ERAB_ATTEMPTS = [
+    "ERAB_EstabInitAttNbr_QCI1",
+    "ERAB_EstabInitAttNbr_QCI2",
+    "ERAB_EstabInitAttNbr_QCI3",
+    "ERAB_EstabInitAttNbr_QCI4",
+    "ERAB_EstabInitAttNbr_QCI5",
+    "ERAB_EstabInitAttNbr_QCI6",
+    "ERAB_EstabInitAttNbr_QCI7",
+    "ERAB_EstabInitAttNbr_QCI8",
+    "ERAB_EstabInitAttNbr_QCI9",
+]
+ERAB_SUCCESSES = [
+    "ERAB_EstabInitSuccNbr_QCI1",
+    "ERAB_EstabInitSuccNbr_QCI2",
+    "ERAB_EstabInitSuccNbr_QCI3",
+    "ERAB_EstabInitSuccNbr_QCI4",
+    "ERAB_EstabInitSuccNbr_QCI5",
+    "ERAB_EstabInitSuccNbr_QCI6",
+    "ERAB_EstabInitSuccNbr_QCI7",
+    "ERAB_EstabInitSuccNbr_QCI8",
+    "ERAB_EstabInitSuccNbr_QCI9",
+]
+ERAB_RELEASES = [
+    "ERAB_RelActNbr_QCI1",
+    "ERAB_RelActNbr_QCI2",
+    "ERAB_RelActNbr_QCI3",
+    "ERAB_RelActNbr_QCI4",
+    "ERAB_RelActNbr_QCI5",
+    "ERAB_RelActNbr_QCI6",
+    "ERAB_RelActNbr_QCI7",
+    "ERAB_RelActNbr_QCI8",
+    "ERAB_RelActNbr_QCI9",
 ]
-PERFORMANCE_COUNTERS = (
-    [f"RRC_ConnEstabAtt{c}" for c in _RRC_CAUSES]
-    + [f"RRC_ConnReEstabAtt{c}" for c in _RRC_REESTABLISH_CAUSES]
-    + [f"RRC_ConnEstabSucc{c}" for c in _RRC_CAUSES]
-    + ["RRC_ConnMax"]
-    + [f"S1SIG_ConnEstabAtt{c}" for c in _RRC_CAUSES]
-    + [f"S1SIG_ConnEstabSucc{c}" for c in _RRC_CAUSES]
-    + ERAB_ATTEMPTS
-    + ERAB_SUCCESSES
-    + PERFORMANCE_TEXT_COUNTERS
-    + ERAB_RELEASES
-    + ["ERAB_SessionTimeUE", "UL_RSSI"]
-)
-
-# name followed by s(tring), t(imestamp), i(nteger) or f(loat)
-CELL_TRACE_COLUMNS = """
-procedure_type s, starttime t, endtime t, imsi s, imeisv s, msisdn s,
-start_enodeb_id s, start_cell_id s, start_mme s, end_enodeb_id s, end_cell_id s, end_mme s,
-gummei s, bearer_id i, qci i, pdcp_bitrate_dl f, pdcp_volume_dl f, pdcp_bitrate_ul f,
-pdcp_volume_ul f, sgw_bytes_sent_dl f, sgw_pkts_sent_dl i, sgw_bytes_recvd_ul f,
-sgw_pkts_recvd_ul i, rrc_conn_setup_timestamp_start t, rrc_conn_setup_rrc_result s,
-rrc_conn_setup_rrc_establ_cause i, rrc_conn_setup_duration f,
-s1_sig_conn_setup_timestamp_start t, s1_sig_conn_setup_sig_conn_result s,
-s1_sig_conn_setup_rrc_establ_cause s, s1_sig_conn_setup_duration i,
-initial_ctxt_setup_timestamp_start t, initial_ctxt_setup_initial_ctxt_result s,
-initial_ctxt_setup_erab_result_array s, initial_ctxt_setup_duration i,
-initial_ctxt_setup_erab_qci_array s, initial_ctxt_setup_3gpp_cause_group i,
-initial_ctxt_setup_3gpp_cause i, ue_capability_timestamp t, ue_capability_cap_category i,
-erab_setup_timestamp_start t, erab_setup_erab_result_array s, erab_setup_erab_qci_array s,
-erab_setup_duration i, rrc_conn_reestablish_timestamp_start t,
-rrc_conn_reestablish_reestab_result s, rrc_conn_reestablish_duration i,
-rrc_conn_reestablish_reestab_cause s, erabrelease_starttime t, erabrelease_release_result s,
-erabrelease_duration i, erabrelease_s1_release_cause s, erabrelease_internal_release_cause i,
-erabrelease_erab_req_qci_array s, erabrelease_erab_req_3gpp_cause_group_array s,
-erabrelease_erab_req_3gpp_cause_array s, enb_uectxtrelease_starttime t,
-enb_uectxtrelease_duration i, enb_uectxtrelease_triggering_node i,
-enb_uectxtrelease_ue_release_cause i, enb_uectxtrelease_internal_release_cause i,
-enb_uectxtrelease_3gpp_cause_group i, enb_uectxtrelease_3gpp_cause i,
-enb_uectxtrelease_erab_release_req_qci_array s, uemeasment_sample_meastime t,
-uemeasment_sample_power_headroom f, uemeasment_sample_power_headroom_prb_used i,
-uemeasment_sample_last_pusch_num_prb i, uemeasment_sample_last_pusch_sinr f,
-uemeasment_sample_last_pusch_power_per_prb f, uetrafficrep_sample_meastime t,
-uetrafficrep_sample_thp_pdcpvol_trunk_dl f, uetrafficrep_sample_thp_time_dl i,
-uetrafficrep_sample_thp_pdcpvol_trunk_ul f, uetrafficrep_sample_thp_time_ul i,
-uerbtrafficrep_sample_meastime t, uerbtrafficrep_sample_bearer_id i,
-uerbtrafficrep_sample_erab_id i, uerbtrafficrep_sample_bearer_type s,
-uerbtrafficrep_sample_drb_pdcp_ackvol_dl f, uerbtrafficrep_sample_drb_pdcp_transvol_dl f,
-uerbtrafficrep_sample_drb_pdcp_recvol_ul f
-"""
-# --- End of fixed values. --------------------------------------------------------------------
-
-_KINDS = {"s": T.StringType(), "t": T.TimestampType(), "i": T.LongType(), "f": T.DoubleType()}
-
-
-def _trace_fields() -> list[T.StructField]:
-    pairs = [entry.split() for entry in CELL_TRACE_COLUMNS.replace("\n", " ").split(",")]
-    return [T.StructField(name, _KINDS[kind]) for name, kind in pairs]
-
-
 PERFORMANCE = T.StructType(
     [
         T.StructField("enodeb_id", T.StringType(), False),
         T.StructField("cell_id", T.StringType(), False),
         T.StructField("measurement_end", T.TimestampType(), False),
-    ]
-    + [
-        T.StructField(c, T.StringType() if c in PERFORMANCE_TEXT_COUNTERS else T.LongType())
-        for c in PERFORMANCE_COUNTERS
+        T.StructField("RRC_ConnEstabAtt", T.LongType()),
+        T.StructField("RRC_ConnEstabAtt_Em", T.LongType()),
+        T.StructField("RRC_ConnEstabAtt_Hpa", T.LongType()),
+        T.StructField("RRC_ConnEstabAtt_Mod", T.LongType()),
+        T.StructField("RRC_ConnEstabAtt_Mos", T.LongType()),
+        T.StructField("RRC_ConnEstabAtt_Mta", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Dta", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Em", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Hpa", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Mod", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Mos", T.LongType()),
+        T.StructField("RRC_ConnReEstabAtt_Mta", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc_Em", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc_Hpa", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc_Mod", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc_Mos", T.LongType()),
+        T.StructField("RRC_ConnEstabSucc_Mta", T.LongType()),
+        T.StructField("RRC_ConnMax", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt_Em", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt_Hpa", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt_Mod", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt_Mos", T.LongType()),
+        T.StructField("S1SIG_ConnEstabAtt_Mta", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc_Em", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc_Hpa", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc_Mod", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc_Mos", T.LongType()),
+        T.StructField("S1SIG_ConnEstabSucc_Mta", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI1", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI2", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI3", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI4", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI5", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI6", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI7", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI8", T.LongType()),
+        T.StructField("ERAB_EstabInitAttNbr_QCI9", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI1", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI2", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI3", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI4", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI5", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI6", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI7", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI8", T.LongType()),
+        T.StructField("ERAB_EstabInitSuccNbr_QCI9", T.LongType()),
+        T.StructField("ERAB_EstabAddAttNbr_QCI", T.StringType()),
+        T.StructField("ERAB_EstabAddSuccNbr_QCI", T.StringType()),
+        T.StructField("ERAB_SessionTimeQCI_QCI", T.StringType()),
+        T.StructField("ERAB_RelActNbr_QCI1", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI2", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI3", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI4", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI5", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI6", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI7", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI8", T.LongType()),
+        T.StructField("ERAB_RelActNbr_QCI9", T.LongType()),
+        T.StructField("ERAB_SessionTimeUE", T.LongType()),
+        T.StructField("UL_RSSI", T.LongType()),
     ]
 )
 
-CELL_TRACES = T.StructType(_trace_fields())
+CELL_TRACES = T.StructType(
+    [
+        T.StructField("procedure_type", T.StringType()),
+        T.StructField("starttime", T.TimestampType()),
+        T.StructField("endtime", T.TimestampType()),
+        T.StructField("imsi", T.StringType()),
+        T.StructField("imeisv", T.StringType()),
+        T.StructField("msisdn", T.StringType()),
+        T.StructField("start_enodeb_id", T.StringType()),
+        T.StructField("start_cell_id", T.StringType()),
+        T.StructField("start_mme", T.StringType()),
+        T.StructField("end_enodeb_id", T.StringType()),
+        T.StructField("end_cell_id", T.StringType()),
+        T.StructField("end_mme", T.StringType()),
+        T.StructField("gummei", T.StringType()),
+        T.StructField("bearer_id", T.LongType()),
+        T.StructField("qci", T.LongType()),
+        T.StructField("pdcp_bitrate_dl", T.DoubleType()),
+        T.StructField("pdcp_volume_dl", T.DoubleType()),
+        T.StructField("pdcp_bitrate_ul", T.DoubleType()),
+        T.StructField("pdcp_volume_ul", T.DoubleType()),
+        T.StructField("sgw_bytes_sent_dl", T.DoubleType()),
+        T.StructField("sgw_pkts_sent_dl", T.LongType()),
+        T.StructField("sgw_bytes_recvd_ul", T.DoubleType()),
+        T.StructField("sgw_pkts_recvd_ul", T.LongType()),
+        T.StructField("rrc_conn_setup_timestamp_start", T.TimestampType()),
+        T.StructField("rrc_conn_setup_rrc_result", T.StringType()),
+        T.StructField("rrc_conn_setup_rrc_establ_cause", T.LongType()),
+        T.StructField("rrc_conn_setup_duration", T.DoubleType()),
+        T.StructField("s1_sig_conn_setup_timestamp_start", T.TimestampType()),
+        T.StructField("s1_sig_conn_setup_sig_conn_result", T.StringType()),
+        T.StructField("s1_sig_conn_setup_rrc_establ_cause", T.StringType()),
+        T.StructField("s1_sig_conn_setup_duration", T.LongType()),
+        T.StructField("initial_ctxt_setup_timestamp_start", T.TimestampType()),
+        T.StructField("initial_ctxt_setup_initial_ctxt_result", T.StringType()),
+        T.StructField("initial_ctxt_setup_erab_result_array", T.StringType()),
+        T.StructField("initial_ctxt_setup_duration", T.LongType()),
+        T.StructField("initial_ctxt_setup_erab_qci_array", T.StringType()),
+        T.StructField("initial_ctxt_setup_3gpp_cause_group", T.LongType()),
+        T.StructField("initial_ctxt_setup_3gpp_cause", T.LongType()),
+        T.StructField("ue_capability_timestamp", T.TimestampType()),
+        T.StructField("ue_capability_cap_category", T.LongType()),
+        T.StructField("erab_setup_timestamp_start", T.TimestampType()),
+        T.StructField("erab_setup_erab_result_array", T.StringType()),
+        T.StructField("erab_setup_erab_qci_array", T.StringType()),
+        T.StructField("erab_setup_duration", T.LongType()),
+        T.StructField("rrc_conn_reestablish_timestamp_start", T.TimestampType()),
+        T.StructField("rrc_conn_reestablish_reestab_result", T.StringType()),
+        T.StructField("rrc_conn_reestablish_duration", T.LongType()),
+        T.StructField("rrc_conn_reestablish_reestab_cause", T.StringType()),
+        T.StructField("erabrelease_starttime", T.TimestampType()),
+        T.StructField("erabrelease_release_result", T.StringType()),
+        T.StructField("erabrelease_duration", T.LongType()),
+        T.StructField("erabrelease_s1_release_cause", T.StringType()),
+        T.StructField("erabrelease_internal_release_cause", T.LongType()),
+        T.StructField("erabrelease_erab_req_qci_array", T.StringType()),
+        T.StructField("erabrelease_erab_req_3gpp_cause_group_array", T.StringType()),
+        T.StructField("erabrelease_erab_req_3gpp_cause_array", T.StringType()),
+        T.StructField("enb_uectxtrelease_starttime", T.TimestampType()),
+        T.StructField("enb_uectxtrelease_duration", T.LongType()),
+        T.StructField("enb_uectxtrelease_triggering_node", T.LongType()),
+        T.StructField("enb_uectxtrelease_ue_release_cause", T.LongType()),
+        T.StructField("enb_uectxtrelease_internal_release_cause", T.LongType()),
+        T.StructField("enb_uectxtrelease_3gpp_cause_group", T.LongType()),
+        T.StructField("enb_uectxtrelease_3gpp_cause", T.LongType()),
+        T.StructField("enb_uectxtrelease_erab_release_req_qci_array", T.StringType()),
+        T.StructField("uemeasment_sample_meastime", T.TimestampType()),
+        T.StructField("uemeasment_sample_power_headroom", T.DoubleType()),
+        T.StructField("uemeasment_sample_power_headroom_prb_used", T.LongType()),
+        T.StructField("uemeasment_sample_last_pusch_num_prb", T.LongType()),
+        T.StructField("uemeasment_sample_last_pusch_sinr", T.DoubleType()),
+        T.StructField("uemeasment_sample_last_pusch_power_per_prb", T.DoubleType()),
+        T.StructField("uetrafficrep_sample_meastime", T.TimestampType()),
+        T.StructField("uetrafficrep_sample_thp_pdcpvol_trunk_dl", T.DoubleType()),
+        T.StructField("uetrafficrep_sample_thp_time_dl", T.LongType()),
+        T.StructField("uetrafficrep_sample_thp_pdcpvol_trunk_ul", T.DoubleType()),
+        T.StructField("uetrafficrep_sample_thp_time_ul", T.LongType()),
+        T.StructField("uerbtrafficrep_sample_meastime", T.TimestampType()),
+        T.StructField("uerbtrafficrep_sample_bearer_id", T.LongType()),
+        T.StructField("uerbtrafficrep_sample_erab_id", T.LongType()),
+        T.StructField("uerbtrafficrep_sample_bearer_type", T.StringType()),
+        T.StructField("uerbtrafficrep_sample_drb_pdcp_ackvol_dl", T.DoubleType()),
+        T.StructField("uerbtrafficrep_sample_drb_pdcp_transvol_dl", T.DoubleType()),
+        T.StructField("uerbtrafficrep_sample_drb_pdcp_recvol_ul", T.DoubleType()),
+    ]
+)
+# --- End of fixed values. --------------------------------------------------------------------
 
 MISSED_KPI = T.StructType(
     [T.StructField("kpi", T.StringType(), False), T.StructField("value", T.DoubleType(), False)]
