@@ -381,6 +381,7 @@ def near_duplicates(
             .select("a", "b", "na", "nb", "sa", "sb")
         )
         possible = scratch.keep(joined.mapInArrow(partial(_bounded, bands=bands), "a long, b long"), "possible")
+        release(spark)
         wanted = possible.select("a").union(possible.select("b")).distinct()
         keyed = each.where("key_ <> 0").select(F.col("id_"), F.col("key_").alias("key")).join(wanted.toDF("key"), "key")
         # One text for each wanted set; a set that only documents without an id have is found by them.
@@ -388,11 +389,15 @@ def near_duplicates(
         texts = source.join(one, source["id_"].eqNullSafe(one["id_"])).select("key", "text_")
         made = texts.mapInArrow(partial(_sets, n=n), "key long, grams binary")
         made = scratch.keep(made, "wanted")
-        return scratch.keep(
+        release(spark)
+        found = scratch.keep(
             possible.join(made.toDF("a", "ga"), "a").join(made.toDF("b", "gb"), "b")
             .select("a", "b", "ga", "gb").mapInArrow(partial(_linked, num=num, den=den), "a long, b long").distinct(),
             "links",
         )
+        scratch.drop(possible, made)
+        release(spark)
+        return found
 
     links = verified(pairs.union(star))
     roots = scratch.keep(components(links, scratch), "roots")
