@@ -84,7 +84,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "tokens")
     docs = table(spark, sf_dir, "documents")
-    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True)
     return token_files.digests(token_files.read_tokens(spark, path))
 
 

@@ -7,8 +7,11 @@ reader of few documents skips whole stripes, and readers of all documents split
 
 Encoding: the tokenizer cuts every text before white space, and between letters, digits and signs, except
 after an apostrophe. The pieces between such places of ASCII and Latin characters are found by array
-operations, and each distinct piece is encoded once by the library; ids are then gathered for all pieces. The result
-equals that of whole texts.
+operations, and each distinct piece is encoded once by the library; ids are then gathered for all pieces. Texts are cut
+around each occurrence of an added token's content, and that is a piece of its own. Where an added token asks for more than its
+content (white space beside it, whole words), a text that holds it is one piece. The result equals that of whole texts.
+With ``special`` the contents of special tokens in a text give their ids, as in a plain call of the library; without, they are
+text like any other (the library's ``encode_special_tokens``).
 
 Defined results: a null text is an empty one and has only the end id. Rows without a document
 id come first. Rows with one id follow each other in the order of a hash of their texts. An empty
@@ -18,6 +21,7 @@ table gives an empty folder of files. Further columns play no part.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from cellwarden.llm.textbatch import Memory, chunks, distinct, hashes, ragged
 
 _SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, bool], tuple] = {}
 
 # Kinds of bytes: no cut is made beside those of kind 0.
 _OTHER, _LETTER, _DIGIT, _SIGN, _BLANK = range(5)
@@ -50,25 +54,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file, its letters for bytes, and the ids of pieces met so far."""
-    if path not in _loaded:
+def _tokenizer(path: str, special: bool):
+    """The tokenizer of a file, its letters for bytes, the ids of pieces met so far, and a pattern of the added tokens
+    (None without any) with whether a text is cut around them."""
+    if (path, special) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        _loaded[path] = (made, _byte_letters(), Memory(np.int32))
-    return _loaded[path]
+        made.encode_special_tokens = not special
+        added = [t for t in made.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
+        # The library takes the first, and of these the longest.
+        contents = sorted({t.content.encode() for t in added}, key=len, reverse=True)
+        pattern = re.compile(b"|".join(map(re.escape, contents))) if contents else None
+        cut = not any(t.lstrip or t.rstrip or t.single_word for t in added) and len({t.normalized for t in added}) < 2
+        _loaded[path, special] = (made, _byte_letters(), Memory(np.int32), pattern, cut)
+    return _loaded[path, special]
 
 
-def _piece_ids(tokenizer, letters: dict[int, str], pieces: list[bytes], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+def _piece_ids(tokenizer, letters: dict[int, str], pieces: list[bytes], plain: list[bool], added) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each piece, and all ids. A plain piece, letters with or without a space before
-    them, is one unit for the model; all others go the whole way."""
+    them, is one unit for the model; all others, and added tokens, go the whole way."""
     model, out = tokenizer.model, [None] * len(pieces)
     rest = []
     for i, (piece, one) in enumerate(zip(pieces, plain)):
-        if one:
+        if one and not (added and added.search(piece)):
             out[i] = [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
         else:
             rest.append(i)
@@ -89,38 +99,47 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     return kind
 
 
-def _cuts(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _cuts(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray, raw: bytes, added, around: bool) -> np.ndarray:
     """Where pieces begin: at texts, before white space, and where the kind changes but to letters after an
-    apostrophe or white space, or to anything after white space."""
+    apostrophe or white space, or to anything after white space; at and after added tokens, or nowhere in a text that holds one."""
     begin = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         before, after = kind[:-1], kind[1:]
         change = (before != after) & (before != _OTHER) & (after != _OTHER) & (before != _BLANK)
         change &= (after != _LETTER) | (data[:-1] != _APOSTROPHE)
         begin[1:-1] = change
+    at = 0
+    while added and (met := added.search(raw, at)):
+        t = int(np.searchsorted(offsets, met.start(), "right")) - 1
+        low, at = offsets[t : t + 2].tolist()
+        inside = [m.span() for m in added.finditer(raw, low, at)]  # none that crosses the end of a text
+        if inside and not around:
+            begin[low:at] = False
+        for a, b in inside if around else []:
+            begin[a:b] = False
+            begin[[a, b]] = True
     begin[offsets[:-1]] = True
     return np.flatnonzero(begin[:-1])
 
 
-def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool = False) -> Iterator[pa.RecordBatch]:
     """Ids of each text with the end id, and how many ids of this partition come before."""
-    tokenizer, letters, known = _tokenizer(path)
+    tokenizer, letters, known, added, around = _tokenizer(path, special)
     first = 0
     for batch in batches:
         for row, data, offsets in chunks(batch.column(1)):
-            kind = _kinds(data)
-            starts = _cuts(data, kind, offsets)
+            kind, raw = _kinds(data), data.tobytes()
+            starts = _cuts(data, kind, offsets, raw, added, around)
             ends = np.append(starts[1:], len(data))
             keys, at, piece = distinct(hashes(data, starts, ends))
             at_start, at_end = starts[at], ends[at]
             odd = np.append(0, np.cumsum(kind != _LETTER))  # bytes that are no letters
             plain = odd[at_end] - odd[at_start] == (data[at_start] == 0x20) if len(at) else np.zeros(0, bool)
             plain &= at_end - at_start > (data[at_start] == 0x20) if len(at) else plain
-            raw = data.tobytes()
 
             def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 cut = [raw[a:b] for a, b in zip(at_start[places].tolist(), at_end[places].tolist())]
-                return _piece_ids(tokenizer, letters, cut, plain[places].tolist())
+                return _piece_ids(tokenizer, letters, cut, plain[places].tolist(), added)
 
             begins, sizes, store = known.lookup(keys, make)
             each = sizes[piece]
@@ -153,15 +172,19 @@ def write_tokens(
     text_col: str = "text",
     rows_per_index: int = 1000,
     stripe_bytes: int = 32 << 20,
+    special: bool = False,
 ) -> None:
-    """Write the ids of all texts below ``path``; files and rows are in ascending order of the document id."""
+    """Write the ids of all texts below ``path``; files and rows are in ascending order of the document id.
+
+    ``special``: contents of special tokens in a text give their ids, as in a plain call of the library.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     (
         rows.repartitionByRange(parts, "doc_id")
         .sortWithinPartitions(*order)
-        .mapInArrow(partial(encode, path=tokenizer, end_id=end_id), _SCHEMA)
+        .mapInArrow(partial(encode, path=tokenizer, end_id=end_id, special=special), _SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.row.index.stride", rows_per_index)
         .option("orc.stripe.size", stripe_bytes)

@@ -439,3 +439,33 @@ def test_token_digests(spark, texts):
         r = found[d]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_token_query_matches_added_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    end = "<|endoftext|>"
+    rows = [(1, f"a {end} b"), (2, f"{end}{end}"), (3, f"it's {end}'s  {end}  \n{end}"), (4, "<|endoftext|"), (5, ">" + LONG), (6, f"é{end}١x")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op8_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for d, t in rows:
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (found[d]["start"], found[d]["n_tokens"], found[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_added_tokens_of_all_kinds_are_matched_as_by_the_library(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for n, more in enumerate([[AddedToken("foo", normalized=False), AddedToken("foobar", normalized=False)], [AddedToken("foo", single_word=True, lstrip=True)]]):
+        tokenizer = Tokenizer.from_file(BPE)
+        tokenizer.add_tokens(more)
+        tokenizer.save(f"{tmp_path}/{n}.json")
+        sample = ["a foo b", "foobarfoo", "fo", "o foox", "xfoo", "bar foob", "", "a  foo<|endoftext|> é"]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sample))), pa.array(sample)], names=["doc_id", "text"])
+        for special in (True, False):
+            tokenizer.encode_special_tokens = not special
+            got = next(token_files.encode(iter([batch]), f"{tmp_path}/{n}.json", 2, special)).column(3).to_pylist()
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in sample]
