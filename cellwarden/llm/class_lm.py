@@ -4,11 +4,13 @@ Text is lower-cased (A-Z only) and cut into white-space separated words, followe
 belongs to one class. The model's probability of a token is that of its class after the class before it,
 times that of the word in its class; the first token follows the end token's class.
 
-Classes. Words that make up at least ``SHARE`` of the training tokens (so 1 / ``SHARE`` words at most, whatever the corpus) are
-assigned by exchange clustering: each step evaluates, for a quarter of the words, the exact change of the class bigram
-likelihood for a move to each class with the counts of the step before, and makes the best moves;
-a step that lowers the likelihood is undone. Other words, seen or not, belong to a class given by their last two
-bytes. The end token has a class of its own.
+Classes. Every word that occurs at least ``LEAST`` times is clustered, whatever the size of the corpus. First, words that also make up
+at least ``SHARE`` of the training tokens (1 / ``SHARE`` words at most) make the classes by exchange: each step evaluates,
+for a quarter of the words, the exact change of the class bigram likelihood for a move to each class with the counts of the step
+before, and makes the best moves; a step that lowers the likelihood is undone. Then each further word joins the class
+with the best gain in likelihood when its own bigrams are added to these class bigrams; its neighbours count in the classes of the
+exchange, or in those of their endings. Words met once stand for the unseen ones: both belong to a class given by their
+last two bytes. The end token has a class of its own.
 
 Probabilities. ``P(class | before) = (N(before, class) + PRIOR * P(class)) / (N(before) + PRIOR)``, with
 ``P(class) = (N(class) + 0.5) / (N + 0.5 * classes)``; ``P(word | class) = (c + 0.5) / (N(class) + 0.5 * (V(class) + 1))``
@@ -17,9 +19,10 @@ whole training corpus. The base score takes all words as one class without a wor
 
 How it runs. Words are counted per slab of a task, then by a shuffle of hashes and numbers. Class bigrams of clustered words are a
 table with a row per word, of at most as many neighbours as there are clustered words and classes; the steps of the
-clustering read it without a shuffle and give the driver one class per clustered word. The last pass has the clustered
-words' numbers at hand; the other words of each text meet their counts by a join on the hash and are
-summed per text.
+exchange read it without a shuffle and give the driver one class per word of the exchange. Further words' bigrams meet by a shuffle
+of hashes and numbers, and their classes stay a table. A pass over the texts has the classes of the exchange's words at hand; each
+other word meets its class and count by a join on the hash, once per slab of texts, and the texts' classes, a byte per
+token, are written. Class bigrams and scores are made from these.
 
 Defined results: a null or empty text is its end token alone. Each row gives one row, repeated rows and rows
 without an id too. Without training rows N is 0 and every count is 0. Further columns play no part.
@@ -40,14 +43,17 @@ from pyspark.sql import functions as F
 from cellwarden.llm.tables import Scratch, release
 from cellwarden.llm.textbatch import U64, chunks, hashes, lower, mix, words
 
+LEAST = 2
 SHARE = 5e-5
 CLASSES = 64
 ENDINGS = 32
 PRIOR = 10.0
 STEPS = 12
 SLAB = 2 << 20
-#: Bits of a word's count in a text beside the text's number; a higher count is dealt over rows.
-COUNT_BITS = 16
+#: Tokens of a slab of texts whose words meet their classes together.
+CODED = 1 << 20
+#: Words whose gains are computed at a time.
+GAINS = 4096
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,53 +231,187 @@ def cluster(near: DataFrame, words_n: int, counts: np.ndarray) -> tuple[np.ndarr
     return classes, pairs
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Rows (key, word, text): one per text with its sums, and one per text and other word with ``key`` = text's number and count."""
-    frequent, log_count, log_class, log_step, classes = model.value
-    end = len(frequent) + ENDINGS
-    base = TaskContext.get().partitionId() << 27
-    done = 0
-    empty = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()),
-                       ("counts", pa.float64()), ("others", pa.float64())])
+def _placed(batches: Iterator[pa.RecordBatch], frequent, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(word, place, n) of the words outside the exchange, for each slab: ``place`` is the class before times the number of classes and the class after."""
+    often = frequent.value
+    end, width = len(often) + ENDINGS, int(classes.max()) + 1
+    slab, held = [], 0
+
+    def rows() -> pa.RecordBatch:
+        word, place = (np.concatenate(c) for c in zip(*slab))
+        order = np.lexsort((place, word))
+        word, place = word[order], place[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(word)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(word[first].view(np.int64)), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int64))],
+            names=["word", "place", "n"],
+        )
+
+    for batch in batches:
+        for _, data, offsets in chunks(batch.column(0)):
+            found, text, ending = tokens(lower(data), offsets)
+            before, token, of = sequence(numbered(found, ending, often), text, len(offsets) - 1, end)
+            rest = np.flatnonzero((token >= len(often)) & (token < end))  # an end token follows each text, so there is a next one
+            # A token's place among all words: end tokens of the texts before it are left out.
+            slab.append((found[rest - of[rest]], classes[before[rest]] * width + classes[token[rest + 1]]))
+            held += len(rest)
+            if held >= SLAB:
+                yield rows()
+                slab, held = [], 0
+    if held:
+        yield rows()
+
+
+def gains(after: np.ndarray, ahead: np.ndarray, pairs: np.ndarray, movable: int) -> np.ndarray:
+    """Gain in likelihood (row per word) when a word's tokens are added to each of the first ``movable`` classes.
+
+    ``after[w, c]`` and ``ahead[w, c]``: tokens of class c after and before word w, ``pairs``: class bigrams without it.
+    The word's neighbours keep their places as second or first of a pair.
+    """
+    total = np.zeros((len(after), movable))
+    for counts, near in ((after, pairs[:movable]), (ahead, pairs[:, :movable].T)):
+        w, c = np.nonzero(counts)
+        n = counts[w, c]
+        # Few counts differ: one row of gains for each class and count.
+        kinds, which = np.unique(c * (int(n.max(initial=0)) + 1) + n.astype(np.int64), return_inverse=True)
+        cls, times = np.divmod(kinds, int(n.max(initial=0)) + 1)
+        each = xlogx(near[:, cls] + times) - xlogx(near[:, cls])
+        starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else w
+        if len(w):
+            total[w[starts]] += np.add.reduceat(each.T[which], starts, axis=0)
+    b = np.arange(movable)
+    own, x, y = pairs[b, b], after[:, :movable], ahead[:, :movable]
+    total += xlogx(own + x + y) - xlogx(own + x) - xlogx(own + y) + xlogx(own)
+    rows, columns = pairs.sum(axis=1)[:movable], pairs.sum(axis=0)[:movable]
+    # The neighbours keep the classes' other totals; the word adds its tokens to both totals of its own class.
+    times = after.sum(axis=1, keepdims=True)
+    return total - (xlogx(rows + times) - xlogx(rows)) - (xlogx(columns + times) - xlogx(columns))
+
+
+def _assigned(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class of each word from its ``near`` places."""
+    width = len(pairs)
+    for batch in batches:
+        for at in range(0, batch.num_rows, GAINS):
+            part = batch.slice(at, GAINS)
+            near = part.column(1)
+            values, sizes = near.flatten(), np.diff(near.offsets.to_numpy())
+            w, n = np.repeat(np.arange(part.num_rows), sizes), values.field("n").to_numpy()
+            before, after = np.divmod(values.field("place").to_numpy().astype(np.int64), width)
+            counts = [np.bincount(w * width + c, weights=n, minlength=part.num_rows * width).reshape(-1, width) for c in (after, before)]
+            best = gains(*counts, pairs, CLASSES).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["word", "cls"])
+
+
+_TEXT = "doc_id:array<long>,training:array<boolean>,sizes:array<int>,codes:binary"
+
+
+def _coded(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
+    """Rows (key, at, word, ending, text): one per slab with its texts' codes, and one per slab and word outside the exchange.
+
+    A code is the word's number in the exchange, ``len(frequent)`` for the end token, or beyond it the number ``at`` of the word in the slab.
+    """
+    often = frequent.value
+    key = TaskContext.get().partitionId() << 32
+    slab, held = [], 0
+
+    def rows() -> pa.RecordBatch:
+        ids, training = (pa.concat_arrays(c) for c in list(zip(*slab))[:2])
+        sizes, codes, rest, rw, re = (np.concatenate(c) for c in list(zip(*slab))[2:])
+        word, first, at = np.unique(rw, return_index=True, return_inverse=True)
+        codes[rest] = len(often) + 1 + at
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        whole = pa.StructArray.from_arrays(
+            [one(ids), one(training), one(pa.array(sizes.astype(np.int32))), pa.array([codes.astype("<i4").tobytes()], pa.binary())],
+            names=["doc_id", "training", "sizes", "codes"],
+        )
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(word) + 1, key)),
+                pa.array(np.arange(-1, len(word), dtype=np.int32)),
+                pa.array(np.append(mix(np.array([key], U64)), word).view(np.int64)),  # the slab's own row: at is below 0
+                pa.array(np.append(0, re[first]).astype(np.int32)),
+                pa.concat_arrays([whole, pa.nulls(len(word), whole.type)]),
+            ],
+            names=["key", "at", "word", "ending", "text"],
+        )
+
     for batch in batches:
         for row, data, offsets in chunks(batch.column(2)):
             texts = len(offsets) - 1
             found, text, ending = tokens(lower(data), offsets)
-            number = numbered(found, ending, frequent)
-            before, token, of = sequence(number, text, texts, end)
-            cls = classes[token]
-            others = np.bincount(of, weights=log_step[classes[before], cls] - log_class[cls], minlength=texts)
-            known = (token < len(frequent)) | (token == end)
-            # log_count holds the end token in its last place.
-            at = np.where(token == end, len(frequent), np.minimum(token, max(len(frequent) - 1, 0)))
-            counts = np.bincount(of, weights=np.where(known, log_count[at], 0), minlength=texts)
-            seen = np.bincount(of, weights=known & ((token != end) | (log_count[-1] > math.log10(0.5))), minlength=texts)
-            rare = number >= len(frequent)
-            order = np.lexsort((found[rare], text[rare]))
-            rw, rt = found[rare][order], text[rare][order]
-            new = np.ones(len(rw), bool)
-            new[1:] = (rw[1:] != rw[:-1]) | (rt[1:] != rt[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rw)))
-            rw, rt = rw[first], rt[first]
-            top = (1 << COUNT_BITS) - 1
-            while (times > top).any():
-                much = times > top
-                rw, rt = np.append(rw, rw[much]), np.append(rt, rt[much])
-                times = np.append(np.where(much, times - top, times), np.full(int(much.sum()), top))
-            place = base + done + np.arange(texts)
-            key = np.append(place << COUNT_BITS, (place[rt] << COUNT_BITS) | times)
-            word = np.append(mix(place.astype(U64)), rw).view(np.int64)  # a text's own row meets no word
-            sums = pa.StructArray.from_arrays(
-                [batch.column(0).slice(row, texts), batch.column(1).slice(row, texts),
-                 pa.array(np.bincount(of, minlength=texts).astype(np.int64)), pa.array(seen.astype(np.int64)),
-                 pa.array(counts), pa.array(others)],
-                fields=list(empty),
-            )
+            # Words outside the exchange have a number beyond that of the end token for now.
+            number = numbered(found, np.ones(len(found), np.int64), often)
+            _, token, of = sequence(number, text, texts, len(often))
+            rest = np.flatnonzero(token > len(often))
+            mine = rest - of[rest]  # their places without the end tokens of texts before
+            slab.append((batch.column(0).slice(row, texts), batch.column(1).slice(row, texts), np.bincount(of, minlength=texts), token,
+                         rest + held, found[mine], ending[mine]))
+            held += len(token)
+            if held >= CODED:
+                yield rows()
+                slab, held, key = [], 0, key + 1
+    if held:
+        yield rows()
+
+
+def _resolved(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """Each text's classes, a byte per token, its known tokens and the sum of its tokens' logarithmic counts."""
+    classes, log_count = model.value  # of the exchange's words, and of the end token last
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text, found = batch.column(0)[i], batch.column(1)[i].values
+            codes = np.frombuffer(text["codes"].as_py(), "<i4")
+            sizes = text["sizes"].values.to_numpy()
+            cls, log = np.append(classes, np.zeros(len(found), np.int64)), np.append(log_count, np.zeros(len(found)))
+            at = len(classes) + found.field("at").to_numpy()
+            cls[at], log[at] = found.field("cls").to_numpy(), np.log10(found.field("c").to_numpy() + 0.5)
+            starts = np.cumsum(sizes) - sizes  # every text has its end token
+            made, stops = cls[codes].astype(np.uint8), np.append(starts, len(codes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(word), pa.concat_arrays([sums, pa.nulls(len(rt), empty)])], names=["key", "word", "text"]
+                [
+                    text["doc_id"].values,
+                    text["training"].values,
+                    pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(made)]),
+                    pa.array(np.add.reduceat((log > math.log10(0.5))[codes].astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(log[codes], starts)),
+                ],
+                names=["doc_id", "training", "classes", "known", "counts"],
             )
-            done += texts
+
+
+def _sequences(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes before and of each token, and the token's text."""
+    sizes = np.array([len(v.as_py()) for v in column], np.int64)
+    token = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).astype(np.int64)
+    return np.append(width - 1, token[:-1]), token, np.repeat(np.arange(len(sizes)), sizes)  # texts end with the end token
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Class bigrams of the texts of one task."""
+    pairs = np.zeros(width * width)
+    for batch in batches:
+        before, token, _ = _sequences(batch.column(0), width)
+        if len(token):
+            pairs += np.bincount(before * width + token, minlength=width * width)
+    yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["pairs"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], log_step: np.ndarray, log_class: np.ndarray, log_base: float) -> Iterator[pa.RecordBatch]:
+    width = len(log_class)
+    for batch in batches:
+        texts = batch.num_rows
+        before, token, of = _sequences(batch.column(2), width)
+        n = np.bincount(of, minlength=texts)
+        others = np.bincount(of, weights=log_step[before, token] - log_class[token], minlength=texts) if len(of) else np.zeros(texts)
+        counts = batch.column(4).to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), batch.column(3), pa.array(counts - n * log_base), pa.array(counts + others)],
+            names=["doc_id", "training", "n_tokens", "n_known", "base_score", "score"],
+        )
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +435,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     # At most 1 / SHARE words have that share of the tokens.
-    top = counts.where(F.col("word").isNotNull() & (F.col("n") >= SHARE * n)).toPandas() if n else None
+    in_exchange = (F.col("n") >= SHARE * n) & (F.col("n") >= LEAST)
+    top = counts.where(F.col("word").isNotNull() & in_exchange).toPandas() if n else None
     if top is None or not len(top):
         frequent, numbers = np.zeros(0, U64), np.zeros(0, np.int64)
     else:
@@ -316,41 +457,59 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         .groupBy("word").agg(F.collect_list("e").alias("near")),
         "near",
     )
+    scratch.drop(pairs)
     classes, bigrams = cluster(near, len(frequent), numbers)
+    scratch.drop(near)
     width = CLASSES + ENDINGS + 1
+    others = counts.where(F.col("word").isNotNull() & ~in_exchange)
+    placed = learn.mapInArrow(partial(_placed, frequent=sent, classes=classes), "word long, place int, n long")
+    often = others.where(F.col("n") >= LEAST).select("word")
+    assigned = (
+        placed.repartition("word").groupBy("word", "place").agg(F.sum("n").alias("n"))
+        .groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("near"))
+        .join(often, "word", "left_semi")
+        .mapInArrow(partial(_assigned, pairs=bigrams), "word long, cls int")
+    )
+    of_ending = F.col("ending").cast("int") + CLASSES
+    known = scratch.keep(
+        others.join(assigned, "word", "left").select("word", F.col("n").alias("c"), F.coalesce("cls", of_ending).alias("cls")), "classes"
+    )
+    release(spark)
     # Tokens and distinct words of each class.
     in_class, distinct = np.zeros(width), np.zeros(width)
     np.add.at(in_class, classes[: len(frequent)], numbers)
     np.add.at(distinct, classes[: len(frequent)], 1)
-    rest = counts.where(F.col("word").isNotNull() & (F.col("n") < SHARE * n)).groupBy("ending")
-    for r in rest.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ENDINGS rows
-        in_class[CLASSES + r["ending"]] += r["n"]
-        distinct[CLASSES + r["ending"]] += r["v"]
+    for r in known.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row per class
+        in_class[r["cls"]] += r["n"]
+        distinct[r["cls"]] += r["v"]
     in_class[-1], distinct[-1] = ends, 1 if ends else 0
+    at_hand = np.append(classes[: len(frequent)], width - 1), np.log10(np.append(numbers, ends) + 0.5)
+    model = spark.sparkContext.broadcast(at_hand)
+    met = F.struct("at", F.coalesce("cls", of_ending).alias("cls"), F.coalesce("c", F.lit(0)).alias("c"))
+    coded = scratch.keep(
+        rows.mapInArrow(
+            partial(_coded, frequent=sent),
+            f"key long, at int, word long, ending int, text struct<{_TEXT}>",
+        )
+        .join(known, "word", "left")
+        .groupBy("key")
+        .agg(F.first("text", ignorenulls=True).alias("text"), F.collect_list(F.when(F.col("at") >= 0, met)).alias("near"))
+        .select("text", "near")
+        .mapInArrow(partial(_resolved, model=model), "doc_id long, training boolean, classes binary, known long, counts double"),
+        "coded",
+    )
+    release(spark)
+    parts = coded.where("training").select("classes").mapInArrow(partial(_class_pairs, width=width), "pairs binary").collect()  # a small matrix per task
+    bigrams = sum((np.frombuffer(bytes(r["pairs"])).reshape(width, width) for r in parts), np.zeros((width, width)))
     share = (in_class + 0.5) / (n + 0.5 * width)
     log_step = np.log10((bigrams + PRIOR * share) / (bigrams.sum(axis=1, keepdims=True) + PRIOR))
     log_class = np.log10(in_class + 0.5 * (distinct + 1))
-    log_count = np.log10(np.append(numbers, ends) + 0.5)
-    model = spark.sparkContext.broadcast((frequent, log_count, log_class, log_step, classes))
-    made = rows.select("id_", ~F.col("training_"), "text_").mapInArrow(
-        partial(_scored, model=model),
-        "key long, word long, text struct<doc_id:long,held_out:boolean,n:long,known:long,counts:double,others:double>",
-    )
-    known = counts.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
-    times = F.col("key").bitwiseAND((1 << COUNT_BITS) - 1)
     log_base = math.log10(n + 0.5 * (v + 1)) if n + v else math.log10(0.5)
-    summed = (
-        made.join(known, "word", "left")
-        .groupBy(F.shiftright("key", COUNT_BITS).alias("row"))
-        .agg(
-            F.max("text").alias("text"),
-            F.coalesce(F.sum(F.when(F.col("c") > 0, times)), F.lit(0)).alias("known"),
-            F.coalesce(F.sum(F.when(F.col("text").isNull(), times * F.log10(F.coalesce("c", F.lit(0)) + 0.5))), F.lit(0.0)).alias("counts"),
-        )
-    )
-    all_counts = F.col("text.counts") + F.col("counts")
-    return summed.select(
-        F.col("text.doc_id").alias(id_col), F.col("text.held_out").alias("held_out"), F.col("text.n").alias("n_tokens"),
-        (F.col("text.known") + F.col("known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (all_counts - F.col("text.n") * log_base).alias("base_score"), (all_counts + F.col("text.others")).alias("score"),
+    made = coded.mapInArrow(
+        partial(_scored, log_step=log_step, log_class=log_class, log_base=log_base),
+        "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double",
+    )
+    return made.select(
+        F.col("doc_id").alias(id_col), (~F.col("training")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -281,6 +281,45 @@ def test_exchange_gain_is_the_change_of_likelihood(monkeypatch):
         assert to == int(np.argmax(values)) and math.isclose(gain, max(values), abs_tol=1e-6)
 
 
+def test_words_below_the_share_are_clustered_too(spark, monkeypatch):
+    """A word far below the share of the exchange gets the class of the words in its place, whatever its ending."""
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    rng = np.random.default_rng(5)
+    first, second = [f"a{i}x" for i in range(6)], [f"b{i}y" for i in range(6)]
+    lines = [" ".join(w for _ in range(20) for w in (rng.choice(first), rng.choice(second))) for _ in range(200)]
+    for i in range(8):  # words of both places, three times each, with one ending
+        for _ in range(3):
+            lines.append(f"q{i}zz {rng.choice(second)} {rng.choice(first)} r{i}zz")
+    rows = [*enumerate(lines), (10_000, "a0x b0y q1zz b1y"), (10_001, "a0x q1zz b0y b1y")]
+    monkeypatch.setattr(class_lm, "SHARE", 5e-3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in class_lm.score(df, F.col("doc_id") < 10_000).collect()}
+    assert found[10_000]["n_known"] == found[10_001]["n_known"] == 5
+    # The same words: only the classes tell that a rare word stands for a first word.
+    assert found[10_000]["score"] > found[10_001]["score"] + 2
+
+
+def test_gain_of_a_further_word_is_the_change_of_likelihood():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 30, (6, 6)).astype(float)
+    after, ahead = rng.integers(0, 3, (2, 5, 6)).astype(float)
+    ahead[:, 0] += np.maximum(after.sum(axis=1) - ahead.sum(axis=1), 0)
+    after[:, 0] += np.maximum(ahead.sum(axis=1) - after.sum(axis=1), 0)
+    found = class_lm.gains(after, ahead, pairs, 4)
+    for w in range(5):
+        values = []
+        for c in range(4):
+            more = pairs.copy()
+            more[c] += after[w]
+            more[:, c] += ahead[w]
+            values.append(class_lm.xlogx(more).sum() - class_lm.xlogx(pairs).sum())
+            for axis, near in ((0, after[w]), (1, ahead[w])):
+                totals = pairs.sum(axis=axis)
+                own = totals + np.where(np.arange(6) == c, after[w].sum(), 0)
+                values[-1] -= (class_lm.xlogx(own) - class_lm.xlogx(totals)).sum()
+        assert np.allclose(found[w], values)
+
+
 # --- secrets
 
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
