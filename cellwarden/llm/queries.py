@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.llm import block_topk, class_lm, metric_join, mixing, ngram_join, piece_codec, secrets, tables, token_files, toxicity, url_rules
+from cellwarden.llm import (
+    block_topk,
+    class_lm,
+    compression_quality,
+    fill_middle,
+    merkle,
+    metric_join,
+    mixing,
+    ngram_join,
+    piece_codec,
+    secrets,
+    tables,
+    token_files,
+    toxicity,
+    url_rules,
+)
 from cellwarden.llm.tables import new_path
 
 #: Host, path and verdict of the listed URL rules.
@@ -96,6 +111,59 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), bound=0.93)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> compression_quality.Model:
+    """Fitted on labelled documents outside the held-out fifth, at most 4,000 of each class."""
+    known = labels.where((remainder("doc_id") != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("quality = 0").orderBy(*order).limit(4000).union(known.where("quality = 1").orderBy(*order).limit(4000))
+    # 8,000 rows of two numbers at most, so the texts need no shuffle.
+    scratch = tables.Scratch(docs.sparkSession)
+    joined = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    model = compression_quality.train(joined, F.col("text"), F.col("quality"), F.col("doc_id"), sample=4000, blocks=8000, totals=totals)
+    scratch.drop(joined)
+    return model
+
+
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return compression_quality.score(docs, model).select(
+        "doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def document_leaves(docs: DataFrame) -> DataFrame:
+    """Leaves of documents in groups by language; the item is the id and the leaf to fold, of a tampered text where 3 divides the id's CRC-32."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    plain = merkle.leaf([F.col(c) for c in [*fields, "text"]])
+    tampered = merkle.leaf([*map(F.col, fields), F.translate("text", upper, lower)])
+    # An id that is null has no CRC-32 and stays as it is.
+    start = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, tampered)
+    rows = docs.select(merkle.group_key(F.col("lang")).alias("group_"), F.col("doc_id").cast("long").alias("doc_id"), plain.alias("digest"), start.alias("start"))
+    return rows.select("group_", "doc_id", "digest", F.struct("doc_id", "start").alias("item"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(document_leaves(table(spark, sf_dir, "documents")), ["doc_id", "digest"])
+    start = F.coalesce("item.start", "digest")
+    rows = made.proofs().select(
+        F.col("item.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), merkle.folded(start, F.col("path")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
@@ -107,4 +175,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_compression_quality": op11_compression_quality,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_middle": op13_fill_middle,
 }
