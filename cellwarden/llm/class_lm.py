@@ -4,8 +4,8 @@ Text is lower-cased (A-Z only) and cut into white-space separated words, followe
 belongs to one class. The model's probability of a token is that of its class after the class before it,
 times that of the word in its class; the first token follows the end token's class.
 
-Classes. Every word that occurs at least ``LEAST`` times is clustered, whatever the size of the corpus. First, words that also make up
-at least ``SHARE`` of the training tokens (1 / ``SHARE`` words at most) make the classes by exchange: each step evaluates,
+Classes. Every word that occurs at least ``LEAST`` times is clustered, whatever the size of the corpus. First, the commonest words
+(all from the least count on that at most ``EXCHANGED`` words reach) make the classes by exchange: each step evaluates,
 for a quarter of the words, the exact change of the class bigram likelihood for a move to each class with the counts of the step
 before, and makes the best moves; a step that lowers the likelihood is undone. Then each further word joins the class
 with the best gain in likelihood when its own bigrams are added to these class bigrams; its neighbours count in the classes of the
@@ -17,12 +17,13 @@ Probabilities. ``P(class | before) = (N(before, class) + PRIOR * P(class)) / (N(
 with the word's count c and the class's distinct words V, so half a count is left for all unseen words. Counts are those of the
 whole training corpus. The base score takes all words as one class without a word before.
 
-How it runs. Words are counted per slab of a task, then by a shuffle of hashes and numbers. Class bigrams of clustered words are a
-table with a row per word, of at most as many neighbours as there are clustered words and classes; the steps of the
+How it runs. Words are counted per slab of a task, then by a shuffle of hashes and numbers. Class bigrams of the exchange's words are a
+table with a row per word, of at most as many neighbours as there are such words and classes; the steps of the
 exchange read it without a shuffle and give the driver one class per word of the exchange. Further words' bigrams meet by a shuffle
-of hashes and numbers, and their classes stay a table. A pass over the texts has the classes of the exchange's words at hand; each
-other word meets its class and count by a join on the hash, once per slab of texts, and the texts' classes, a byte per
-token, are written. Class bigrams and scores are made from these.
+of hashes and numbers, and their classes stay a table. A pass over the texts has the classes and counts of at most ``AT_HAND`` of the commonest words;
+each rarer word meets its class and count by a join on the hash, once per slab of texts. Slabs, a byte per token, and their rare
+words are brought together by number and streamed, so a task holds one slab. Class bigrams and scores are made from the classes of the
+texts. Words are told apart by 64-bit hashes: two among a billion distinct words share one with a probability of 3 %.
 
 Defined results: a null or empty text is its end token alone. Each row gives one row, repeated rows and rows
 without an id too. Without training rows N is 0 and every count is 0. Further columns play no part.
@@ -44,7 +45,10 @@ from cellwarden.llm.tables import Scratch, release
 from cellwarden.llm.textbatch import U64, chunks, hashes, lower, mix, words
 
 LEAST = 2
-SHARE = 5e-5
+#: Words of the exchange, at most.
+EXCHANGED = 20_000
+#: Words whose classes and counts a pass over the texts has at hand, at most.
+AT_HAND = 1 << 19
 CLASSES = 64
 ENDINGS = 32
 PRIOR = 10.0
@@ -184,6 +188,20 @@ def _neighbours(batch: pa.RecordBatch, classes: np.ndarray) -> Iterator[tuple[in
         yield word, after, ahead, float(n[(side == 1) & (other == word)].sum())
 
 
+def _counts(pairs: np.ndarray) -> pa.RecordBatch:
+    """A matrix of whole numbers as rows (pair, n) of its places and values other than 0."""
+    places = np.flatnonzero(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(pairs.ravel()[places].astype(np.int64))], names=["pair", "n"])
+
+
+def summed(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of the tasks' matrices; one number for each pair of classes reaches the driver."""
+    pairs = np.zeros(width * width)
+    for r in parts.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    return pairs.reshape(width, width)
+
+
 def _matrix(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Class bigrams of the words of one task."""
     width = int(classes.max()) + 1
@@ -191,7 +209,7 @@ def _matrix(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[
     for batch in batches:
         for word, after, _, _ in _neighbours(batch, classes):
             pairs[classes[word]] += after
-    yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["pairs"])
+    yield _counts(pairs)
 
 
 def _moves(batches: Iterator[pa.RecordBatch], classes: np.ndarray, pairs: np.ndarray, words_n: int, step: int) -> Iterator[pa.RecordBatch]:
@@ -212,9 +230,7 @@ def cluster(near: DataFrame, words_n: int, counts: np.ndarray) -> tuple[np.ndarr
     classes = np.append(rank % CLASSES, CLASSES + np.arange(ENDINGS + 1))
 
     def bigrams(of: np.ndarray) -> np.ndarray:
-        width = CLASSES + ENDINGS + 1
-        parts = near.mapInArrow(partial(_matrix, classes=of), "pairs binary").collect()  # a small matrix per task
-        return sum((np.frombuffer(bytes(r["pairs"])).reshape(width, width) for r in parts), np.zeros((width, width)))
+        return summed(near.mapInArrow(partial(_matrix, classes=of), "pair int, n long"), CLASSES + ENDINGS + 1)
 
     pairs = bigrams(classes)
     value = likelihood(pairs)
@@ -306,50 +322,65 @@ def _assigned(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["word", "cls"])
 
 
-_TEXT = "doc_id:array<long>,training:array<boolean>,sizes:array<int>,codes:binary"
+#: A slab of texts: classes are a byte per token; the token at ``places[i]`` is the rare word ``at[i]`` of the slab.
+_SLAB = "doc_id:array<long>,training:array<boolean>,sizes:array<int>,classes:binary,places:array<int>,at:array<int>,known:array<int>,counts:array<double>"
+
 
+def _list(values: pa.Array) -> pa.ListArray:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _coded(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
-    """Rows (key, at, word, ending, text): one per slab with its texts' codes, and one per slab and word outside the exchange.
 
-    A code is the word's number in the exchange, ``len(frequent)`` for the end token, or beyond it the number ``at`` of the word in the slab.
+def _coded(batches: Iterator[pa.RecordBatch], hand, end: tuple[int, float]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, at, word, ending, slab): one per slab of texts, with ``at`` -1, and one per slab and word that is not at hand.
+
+    ``hand`` holds the sorted hashes of words, their classes and logarithmic counts; ``end`` the end token's.
     """
-    often = frequent.value
-    key = TaskContext.get().partitionId() << 32
+    often, of_word, log_count = hand.value
+    of_word, log_count = np.append(of_word, end[0]), np.append(log_count, end[1])
+    number_of_end, key = len(often), TaskContext.get().partitionId() << 32
     slab, held = [], 0
 
     def rows() -> pa.RecordBatch:
         ids, training = (pa.concat_arrays(c) for c in list(zip(*slab))[:2])
-        sizes, codes, rest, rw, re = (np.concatenate(c) for c in list(zip(*slab))[2:])
+        sizes, classes, rest, rw, re, known, counts = (np.concatenate(c) for c in list(zip(*slab))[2:])
         word, first, at = np.unique(rw, return_index=True, return_inverse=True)
-        codes[rest] = len(often) + 1 + at
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        numbers = [_list(pa.array(c.astype(np.int32))) for c in (rest, at, known)]
         whole = pa.StructArray.from_arrays(
-            [one(ids), one(training), one(pa.array(sizes.astype(np.int32))), pa.array([codes.astype("<i4").tobytes()], pa.binary())],
-            names=["doc_id", "training", "sizes", "codes"],
-        )
+            [_list(ids), _list(training), _list(pa.array(sizes.astype(np.int32))), pa.array([classes.tobytes()], pa.binary()),
+             *numbers, _list(pa.array(counts))],
+            names=["doc_id", "training", "sizes", "classes", "places", "at", "known", "counts"],
+        )
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(word) + 1, key)),
                 pa.array(np.arange(-1, len(word), dtype=np.int32)),
-                pa.array(np.append(mix(np.array([key], U64)), word).view(np.int64)),  # the slab's own row: at is below 0
+                pa.array(np.append(U64(0), word).view(np.int64)),
                 pa.array(np.append(0, re[first]).astype(np.int32)),
                 pa.concat_arrays([whole, pa.nulls(len(word), whole.type)]),
             ],
-            names=["key", "at", "word", "ending", "text"],
+            names=["key", "at", "word", "ending", "slab"],
         )
 
     for batch in batches:
         for row, data, offsets in chunks(batch.column(2)):
             texts = len(offsets) - 1
             found, text, ending = tokens(lower(data), offsets)
-            # Words outside the exchange have a number beyond that of the end token for now.
+            # Words that are not at hand have a number beyond that of the end token for now.
             number = numbered(found, np.ones(len(found), np.int64), often)
-            _, token, of = sequence(number, text, texts, len(often))
-            rest = np.flatnonzero(token > len(often))
+            _, token, of = sequence(number, text, texts, number_of_end)
+            rest = np.flatnonzero(token > number_of_end)
             mine = rest - of[rest]  # their places without the end tokens of texts before
-            slab.append((batch.column(0).slice(row, texts), batch.column(1).slice(row, texts), np.bincount(of, minlength=texts), token,
-                         rest + held, found[mine], ending[mine]))
+            token[rest] = number_of_end
+            logs = log_count[token]
+            logs[rest] = 0
+            met = logs > math.log10(0.5)
+            met[rest] = False
+            slab.append((
+                batch.column(0).slice(row, texts), batch.column(1).slice(row, texts), np.bincount(of, minlength=texts),
+                of_word[token].astype(np.uint8), rest + held, found[mine], ending[mine],
+                np.bincount(of[met], minlength=texts), np.bincount(of, weights=logs, minlength=texts),
+            ))
             held += len(token)
             if held >= CODED:
                 yield rows()
@@ -358,29 +389,51 @@ def _coded(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBat
         yield rows()
 
 
-def _resolved(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Each text's classes, a byte per token, its known tokens and the sum of its tokens' logarithmic counts."""
-    classes, log_count = model.value  # of the exchange's words, and of the end token last
+def _finished(slab: dict, at: np.ndarray, cls: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Texts of a slab, whose rare words have got their classes and counts."""
+    sizes = slab["sizes"].values.to_numpy()
+    starts = np.cumsum(sizes) - sizes  # every text has its end token
+    classes = np.frombuffer(slab["classes"].as_py(), np.uint8).copy()
+    places, word = slab["places"].values.to_numpy(), slab["at"].values.to_numpy()
+    number = np.zeros(len(at) + 1, np.int64)
+    number[at] = np.arange(len(at))
+    classes[places] = cls[number[word]]
+    text = np.searchsorted(starts, places, "right") - 1
+    known = slab["known"].values.to_numpy() + np.bincount(text, weights=count[number[word]] > 0, minlength=len(sizes))
+    counts = slab["counts"].values.to_numpy() + np.bincount(text, weights=np.log10(count[number[word]] + 0.5), minlength=len(sizes))
+    stops = np.append(starts, len(classes)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            slab["doc_id"].values, slab["training"].values,
+            pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(classes)]),
+            pa.array(known.astype(np.int64)), pa.array(counts),
+        ],
+        names=["doc_id", "training", "classes", "known", "counts"],
+    )
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's classes, a byte per token, its known tokens and the sum of its tokens' logarithmic counts.
+
+    Rows are sorted by slab, each slab's own row before its words.
+    """
+    slab, words_of = None, []
+
+    def finish() -> pa.RecordBatch:
+        return _finished(slab, *(np.concatenate([w[i] for w in words_of] or [np.zeros(0, np.int64)]) for i in range(3)))
+
     for batch in batches:
-        for i in range(batch.num_rows):
-            text, found = batch.column(0)[i], batch.column(1)[i].values
-            codes = np.frombuffer(text["codes"].as_py(), "<i4")
-            sizes = text["sizes"].values.to_numpy()
-            cls, log = np.append(classes, np.zeros(len(found), np.int64)), np.append(log_count, np.zeros(len(found)))
-            at = len(classes) + found.field("at").to_numpy()
-            cls[at], log[at] = found.field("cls").to_numpy(), np.log10(found.field("c").to_numpy() + 0.5)
-            starts = np.cumsum(sizes) - sizes  # every text has its end token
-            made, stops = cls[codes].astype(np.uint8), np.append(starts, len(codes)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    text["doc_id"].values,
-                    text["training"].values,
-                    pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(made)]),
-                    pa.array(np.add.reduceat((log > math.log10(0.5))[codes].astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log[codes], starts)),
-                ],
-                names=["doc_id", "training", "classes", "known", "counts"],
-            )
+        at = batch.column(0).to_numpy()
+        edges = np.append(np.flatnonzero(at < 0), len(at)).tolist()
+        for low, high, new in zip([0, *edges[:-1]], edges, [False] + [True] * (len(edges) - 1)):
+            if new:
+                if slab is not None:
+                    yield finish()
+                slab, words_of = batch.column(3)[low], []
+                low += 1
+            words_of.append(tuple(batch.column(i).slice(low, high - low).to_numpy() for i in range(3)))
+    if slab is not None:
+        yield finish()
 
 
 def _sequences(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,12 +445,12 @@ def _sequences(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _class_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Class bigrams of the texts of one task."""
-    pairs = np.zeros(width * width)
+    pairs = np.zeros(width * width, np.int64)
     for batch in batches:
         before, token, _ = _sequences(batch.column(0), width)
         if len(token):
             pairs += np.bincount(before * width + token, minlength=width * width)
-    yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["pairs"])
+    yield _counts(pairs)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], log_step: np.ndarray, log_class: np.ndarray, log_base: float) -> Iterator[pa.RecordBatch]:
@@ -434,8 +487,21 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     release(spark)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    # At most 1 / SHARE words have that share of the tokens.
-    in_exchange = (F.col("n") >= SHARE * n) & (F.col("n") >= LEAST)
+    bucket = F.floor(4 * F.log2("n"))
+    some_word = F.col("word").isNotNull() & (F.col("n") >= LEAST)
+    sizes = sorted(((r["b"], r["c"]) for r in counts.where(some_word).groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True)
+
+    def bucket_of(most: int) -> int:
+        """The least bucket from which on there are at most ``most`` words; a bucket is a quarter of an octave of counts."""
+        least, taken = 1 << 20, 0
+        for b, c in sizes:  # some hundred buckets at most
+            taken += c
+            if taken > most:
+                break
+            least = b
+        return least
+
+    in_exchange = F.coalesce((F.col("n") >= LEAST) & (bucket >= bucket_of(EXCHANGED)), F.lit(False))
     top = counts.where(F.col("word").isNotNull() & in_exchange).toPandas() if n else None
     if top is None or not len(top):
         frequent, numbers = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -463,11 +529,11 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     width = CLASSES + ENDINGS + 1
     others = counts.where(F.col("word").isNotNull() & ~in_exchange)
     placed = learn.mapInArrow(partial(_placed, frequent=sent, classes=classes), "word long, place int, n long")
-    often = others.where(F.col("n") >= LEAST).select("word")
+    further = others.where(F.col("n") >= LEAST).select("word")
     assigned = (
         placed.repartition("word").groupBy("word", "place").agg(F.sum("n").alias("n"))
         .groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("near"))
-        .join(often, "word", "left_semi")
+        .join(further, "word", "left_semi")
         .mapInArrow(partial(_assigned, pairs=bigrams), "word long, cls int")
     )
     of_ending = F.col("ending").cast("int") + CLASSES
@@ -483,29 +549,39 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         in_class[r["cls"]] += r["n"]
         distinct[r["cls"]] += r["v"]
     in_class[-1], distinct[-1] = ends, 1 if ends else 0
-    at_hand = np.append(classes[: len(frequent)], width - 1), np.log10(np.append(numbers, ends) + 0.5)
-    model = spark.sparkContext.broadcast(at_hand)
-    met = F.struct("at", F.coalesce("cls", of_ending).alias("cls"), F.coalesce("c", F.lit(0)).alias("c"))
+    often = known.where((F.col("c") >= LEAST) & (F.floor(4 * F.log2("c")) >= bucket_of(AT_HAND))).toPandas()
+    words_at_hand = np.append(frequent, often["word"].to_numpy(np.int64).view(U64))
+    order = np.argsort(words_at_hand)
+    hand = (
+        words_at_hand[order], np.append(classes[: len(frequent)], often["cls"].to_numpy(np.int64)).astype(np.int32)[order],
+        np.log10(np.append(numbers, often["c"].to_numpy(np.int64)) + 0.5)[order],
+    )
     coded = scratch.keep(
         rows.mapInArrow(
-            partial(_coded, frequent=sent),
-            f"key long, at int, word long, ending int, text struct<{_TEXT}>",
-        )
-        .join(known, "word", "left")
-        .groupBy("key")
-        .agg(F.first("text", ignorenulls=True).alias("text"), F.collect_list(F.when(F.col("at") >= 0, met)).alias("near"))
-        .select("text", "near")
-        .mapInArrow(partial(_resolved, model=model), "doc_id long, training boolean, classes binary, known long, counts double"),
+            partial(_coded, hand=spark.sparkContext.broadcast(hand), end=(width - 1, math.log10(ends + 0.5))),
+            f"key long, at int, word long, ending int, slab struct<{_SLAB}>",
+        ),
+        "slabs",
+    )
+    met = (
+        coded.where("at >= 0").select("key", "at", "word", "ending").join(known, "word", "left")
+        .select("key", "at", F.coalesce("cls", of_ending).alias("cls"), F.coalesce("c", F.lit(0)).alias("c"), F.lit(None).alias("slab"))
+    )
+    none = F.lit(None)
+    both = coded.where("at < 0").select("key", "at", none.cast("int").alias("cls"), none.cast("long").alias("c"), "slab").union(met)
+    resolved = scratch.keep(
+        both.repartition("key").sortWithinPartitions("key", "at").select("at", "cls", "c", "slab")
+        .mapInArrow(_resolved, "doc_id long, training boolean, classes binary, known long, counts double"),
         "coded",
     )
+    scratch.drop(coded, known, counts)
     release(spark)
-    parts = coded.where("training").select("classes").mapInArrow(partial(_class_pairs, width=width), "pairs binary").collect()  # a small matrix per task
-    bigrams = sum((np.frombuffer(bytes(r["pairs"])).reshape(width, width) for r in parts), np.zeros((width, width)))
+    bigrams = summed(resolved.where("training").select("classes").mapInArrow(partial(_class_pairs, width=width), "pair int, n long"), width)
     share = (in_class + 0.5) / (n + 0.5 * width)
     log_step = np.log10((bigrams + PRIOR * share) / (bigrams.sum(axis=1, keepdims=True) + PRIOR))
     log_class = np.log10(in_class + 0.5 * (distinct + 1))
     log_base = math.log10(n + 0.5 * (v + 1)) if n + v else math.log10(0.5)
-    made = coded.mapInArrow(
+    made = resolved.mapInArrow(
         partial(_scored, log_step=log_step, log_class=log_class, log_base=log_base),
         "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double",
     )

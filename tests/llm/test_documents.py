@@ -282,7 +282,7 @@ def test_exchange_gain_is_the_change_of_likelihood(monkeypatch):
 
 
 def test_words_below_the_share_are_clustered_too(spark, monkeypatch):
-    """A word far below the share of the exchange gets the class of the words in its place, whatever its ending."""
+    """A word outside the exchange gets the class of the words in its place, whatever its ending."""
     monkeypatch.setattr(class_lm, "CLASSES", 4)
     rng = np.random.default_rng(5)
     first, second = [f"a{i}x" for i in range(6)], [f"b{i}y" for i in range(6)]
@@ -291,9 +291,17 @@ def test_words_below_the_share_are_clustered_too(spark, monkeypatch):
         for _ in range(3):
             lines.append(f"q{i}zz {rng.choice(second)} {rng.choice(first)} r{i}zz")
     rows = [*enumerate(lines), (10_000, "a0x b0y q1zz b1y"), (10_001, "a0x q1zz b0y b1y")]
-    monkeypatch.setattr(class_lm, "SHARE", 5e-3)
+    monkeypatch.setattr(class_lm, "EXCHANGED", 12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r for r in class_lm.score(df, F.col("doc_id") < 10_000).collect()}
+    for hand, coded in ((20, 50), (0, 1)):  # rare words met by the join, over several slabs
+        monkeypatch.setattr(class_lm, "AT_HAND", hand)
+        monkeypatch.setattr(class_lm, "CODED", coded)
+        again = {r["doc_id"]: r for r in class_lm.score(df, F.col("doc_id") < 10_000).collect()}
+        assert found.keys() == again.keys()
+        for d, r in found.items():
+            assert r["n_known"] == again[d]["n_known"] and math.isclose(r["score"], again[d]["score"], abs_tol=1e-9)
+            assert math.isclose(r["base_score"], again[d]["base_score"], abs_tol=1e-9)
     assert found[10_000]["n_known"] == found[10_001]["n_known"] == 5
     # The same words: only the classes tell that a rare word stands for a first word.
     assert found[10_000]["score"] > found[10_001]["score"] + 2
