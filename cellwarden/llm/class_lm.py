@@ -322,8 +322,11 @@ def _assigned(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32))], names=["word", "cls"])
 
 
-#: A slab of texts: classes are a byte per token; the token at ``places[i]`` is the rare word ``at[i]`` of the slab.
-_SLAB = "doc_id:array<long>,training:array<boolean>,sizes:array<int>,classes:binary,places:array<int>,at:array<int>,known:array<int>,counts:array<double>"
+#: A slab of texts, one row of lists: classes are a byte per token; the token at ``places[i]`` is the rare word ``at[i]`` of the slab.
+_SLAB = pa.schema([
+    ("doc_id", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("classes", pa.binary()),
+    ("places", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("counts", pa.list_(pa.float64())),
+])
 
 
 def _list(values: pa.Array) -> pa.ListArray:
@@ -346,10 +349,10 @@ def _coded(batches: Iterator[pa.RecordBatch], hand, end: tuple[int, float]) -> I
         sizes, classes, rest, rw, re, known, counts = (np.concatenate(c) for c in list(zip(*slab))[2:])
         word, first, at = np.unique(rw, return_index=True, return_inverse=True)
         numbers = [_list(pa.array(c.astype(np.int32))) for c in (rest, at, known)]
-        whole = pa.StructArray.from_arrays(
+        whole = pa.RecordBatch.from_arrays(
             [_list(ids), _list(training), _list(pa.array(sizes.astype(np.int32))), pa.array([classes.tobytes()], pa.binary()),
              *numbers, _list(pa.array(counts))],
-            names=["doc_id", "training", "sizes", "classes", "places", "at", "known", "counts"],
+            schema=_SLAB,
         )
         return pa.RecordBatch.from_arrays(
             [
@@ -357,7 +360,7 @@ def _coded(batches: Iterator[pa.RecordBatch], hand, end: tuple[int, float]) -> I
                 pa.array(np.arange(-1, len(word), dtype=np.int32)),
                 pa.array(np.append(U64(0), word).view(np.int64)),
                 pa.array(np.append(0, re[first]).astype(np.int32)),
-                pa.concat_arrays([whole, pa.nulls(len(word), whole.type)]),
+                pa.array([whole.serialize().to_pybytes(), *[None] * len(word)], pa.binary()),
             ],
             names=["key", "at", "word", "ending", "slab"],
         )
@@ -389,8 +392,9 @@ def _coded(batches: Iterator[pa.RecordBatch], hand, end: tuple[int, float]) -> I
         yield rows()
 
 
-def _finished(slab: dict, at: np.ndarray, cls: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+def _finished(made: bytes, at: np.ndarray, cls: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """Texts of a slab, whose rare words have got their classes and counts."""
+    slab = pa.ipc.read_record_batch(pa.py_buffer(made), _SLAB).to_struct_array()[0]
     sizes = slab["sizes"].values.to_numpy()
     starts = np.cumsum(sizes) - sizes  # every text has its end token
     classes = np.frombuffer(slab["classes"].as_py(), np.uint8).copy()
@@ -429,7 +433,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if new:
                 if slab is not None:
                     yield finish()
-                slab, words_of = batch.column(3)[low], []
+                slab, words_of = batch.column(3)[low].as_py(), []
                 low += 1
             words_of.append(tuple(batch.column(i).slice(low, high - low).to_numpy() for i in range(3)))
     if slab is not None:
@@ -559,7 +563,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     coded = scratch.keep(
         rows.mapInArrow(
             partial(_coded, hand=spark.sparkContext.broadcast(hand), end=(width - 1, math.log10(ends + 0.5))),
-            f"key long, at int, word long, ending int, slab struct<{_SLAB}>",
+            "key long, at int, word long, ending int, slab binary",
         ),
         "slabs",
     )
