@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,18 +166,15 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "op1_toxicity": op1_toxicity,
-    "op2_exact_topk": op2_exact_topk,
-    "op3_url_filters": op3_url_filters,
-    "op4_class_lm": op4_class_lm,
-    "op5_secret_scans": op5_secret_scans,
-    "op6_sentencepiece": op6_sentencepiece,
-    "op7_source_mixing": op7_source_mixing,
-    "op8_token_files": op8_token_files,
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
-    "op10_embedding_near_dedup": op10_embedding_near_dedup,
-    "op11_compression_quality": op11_compression_quality,
-    "op12_merkle_manifest": op12_merkle_manifest,
-    "op13_fill_middle": op13_fill_middle,
-}
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tables.bounded_batches(spark), sf_dir)
+
+    return run
+
+
+_ALL = (
+    op1_toxicity, op2_exact_topk, op3_url_filters, op4_class_lm, op5_secret_scans, op6_sentencepiece, op7_source_mixing, op8_token_files,
+    op9_ngram_jaccard_join, op10_embedding_near_dedup, op11_compression_quality, op12_merkle_manifest, op13_fill_middle,
+)
+QUERIES = {query.__name__: _prepared(query) for query in _ALL}

@@ -24,6 +24,16 @@ def fresh(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+#: Bytes of an Arrow batch, or one row.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches end at ``BATCH_BYTES``: texts differ in length, and a task holds several copies of a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 class Scratch:
     """Tables of one call, written to the shared folder; ``drop`` deletes those that are done with."""
 

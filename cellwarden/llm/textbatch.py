@@ -123,10 +123,10 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Memory:
-    """Arrays remembered by a 64-bit key, ``most`` of them, as sorted keys and one array of all values."""
+    """Arrays remembered by a 64-bit key, ``most`` of them with ``room`` values, as sorted keys and one array of all values."""
 
-    def __init__(self, dtype: type, most: int = 1 << 19):
-        self.dtype, self.most = dtype, most
+    def __init__(self, dtype: type, most: int = 1 << 19, room: int = 1 << 22):
+        self.dtype, self.most, self.room = dtype, most, room
         self.clear()
 
     def clear(self) -> None:
@@ -136,7 +136,7 @@ class Memory:
 
     def lookup(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and size of each key's values, and the array they lie in; ``make(places)`` gives the sizes and values of new keys."""
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or len(self.store) > self.room:
             self.clear()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         fresh = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))

@@ -171,7 +171,7 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     rows_per_index: int = 1000,
-    stripe_bytes: int = 32 << 20,
+    stripe_bytes: int = 8 << 20,
     special: bool = False,
 ) -> None:
     """Write the ids of all texts below ``path``; files and rows are in ascending order of the document id.
@@ -180,9 +180,10 @@ def write_tokens(
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # The hash parts the rows of one id, and those without an id, as well.
     order = ["doc_id", F.xxhash64("text"), "text"]
     (
-        rows.repartitionByRange(parts, "doc_id")
+        rows.repartitionByRange(parts, *order[:2])
         .sortWithinPartitions(*order)
         .mapInArrow(partial(encode, path=tokenizer, end_id=end_id, special=special), _SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")

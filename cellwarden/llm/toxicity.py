@@ -26,6 +26,7 @@ of the classes, every score is the share of toxic rows (0 without any labelled r
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import partial
@@ -205,6 +206,8 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
     marks = Landmarks(*landmarks.value)
     width = marks.rows.shape[1]
     for batch in batches:
+        # By the key, so that the examples do not depend on the partitions.
+        quarter = np.array([zlib.crc32((k or "").encode()) % 4 == 0 for k in batch.column(2).to_pylist()], bool)
         for row, raw, offsets in chunks(batch.column(0)):
             data, starts, ends, text, new = word_spans(lower(raw), offsets)
             if not len(starts):
@@ -221,7 +224,7 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
             # The same sentences with a character inserted in each word: all toxic texts, and a quarter of the others.
             each = per_word(*with_insertions(data, starts[at], (ends - starts)[at], keys), marks.kernel, width)
             sums = np.add.reduceat(each[found], np.flatnonzero(np.append(True, np.diff(sentence) != 0)), axis=0)
-            some = np.flatnonzero((toxic == 1) | ((row + text[first]) % 4 == 0))
+            some = np.flatnonzero((toxic == 1) | quarter[row + text[first]])
             own = pa.array(row + text[first[some]])
             yield sentence_rows(pc.binary_join_element_wise(ids.take(own), "inserted", "/"), label.take(own), sums[some])
 
@@ -296,9 +299,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 1000, marks: int = 128, totals: Mapping[int, int] | None = None) -> Model:
-    """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class.
+def train(
+    texts: DataFrame, text: Column, label: Column, key: Column, sample: int = 1000, marks: int = 128,
+    totals: Mapping[int, int] | None = None, sentences: int = 1_000_000,
+) -> Model:
+    """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class, ``sentences`` about their sentences.
 
+    Of texts with more sentences than that, those with the smallest hashes are taken, so the driver holds 512 bytes for each of ``sentences`` at most.
     ``totals`` tells the labelled rows of each class if ``texts`` is a sample of them already.
     """
     spark = texts.sparkSession
@@ -335,10 +342,14 @@ def train(texts: DataFrame, text: Column, label: Column, key: Column, sample: in
         return Model(None, np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     landmarks = Landmarks.of(chosen)
     sent = spark.sparkContext.broadcast((landmarks.row_of, landmarks.rows))
-    made = (
-        picked.select("text", "toxic", "key").mapInArrow(partial(_sentences, landmarks=sent), "key string, toxic long, sums binary")
-        .toArrow()
-    )
+    made = scratch.keep(
+        picked.select("text", "toxic", "key").mapInArrow(partial(_sentences, landmarks=sent), "key string, toxic long, sums binary"), "sentences"
+    )
+    number = made.count()
+    if number > sentences:
+        made = made.where(F.pmod(F.xxhash64("key", "sums"), F.lit(number)) < sentences)
+    # In an order of its own, so that sums do not depend on the partitions.
+    made = made.orderBy("key", "sums").toArrow()
     own = np.concatenate(
         [landmarks.kernel(_CODE[np.frombuffer(w, np.uint8)][None, :]) for w in chosen]
     ).astype(float)
