@@ -5,14 +5,15 @@ duplicates the document with the smallest id stays. ``secrets``: secrets in the
 stay. ``mixing``: rows are put in the order of the mixture of sources, over all files. ``tokens``: each text
 becomes token ids, with its place in the mixture (number of the file and row in it).
 
-Rows that share an id are one document, of which the row with the smallest hash of its text stays. A row
-without an id counts as larger than all ids, and equal texts without an id as one document. Rows with null texts have a text without
+Rows with the same id and text are one document. Different texts under one id are documents of their own; of those in one
+group the one with the smallest hash of its text stays. A row without an id counts as larger than all ids. Rows with null texts have a text without
 words: they are in no group and keep their null. Empty tables give empty tables. Extra columns are kept up to the
 last stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import public_tokenizers
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from cellwarden.llm import mixing, ngram_join, piece_codec, queries, secrets, tables, toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
@@ -32,16 +35,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, similarity 0.75)."""
-    own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
-    key = F.coalesce(F.col("doc_id").cast("long"), own)
+    """The document with the smallest id of each group of near duplicates (five words, similarity 0.75).
+
+    Rows are told apart by a hash of id and text, so texts that share an id are judged each by itself.
+    """
+    key = F.xxhash64("doc_id", "text").alias("key_")
     groups = ngram_join.near_duplicates(docs.select(key.alias("doc_id"), "text"), n=5, num=3, den=4)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key_")).distinct()
-    rows = docs.select(key.alias("key_"), F.xxhash64("text").alias("hash_"), F.struct("*").alias("row_"))
-    first = Window.partitionBy("key_").orderBy("hash_")
+    groups = groups.select(F.col("doc_id").alias("key_"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("hash"), "key_")
+    least = docs.select(key, "doc_id", "text").select("key_", order.alias("order_")).join(groups, "key_")
+    stay = least.groupBy("component_id").agg(F.min("order_").alias("first_")).select(F.col("first_.key_").alias("key_"))
+    rows = docs.select(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash_"), F.struct("*").alias("row_"))
+    once = Window.partitionBy("key_").orderBy("hash_")
     return (
         rows.join(stay, "key_", "left_semi")
-        .withColumn("number_", F.row_number().over(first)).where("number_ = 1").select("row_.*")
+        .withColumn("number_", F.row_number().over(once)).where("number_ = 1").select("row_.*")
     )
 
 
@@ -75,12 +83,21 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "mix_file", "mix_row")
 
 
+def _prepared(stage: Stage) -> Stage:
+    """The stage, with Arrow batches bounded in bytes."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(tables.bounded_batches(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("secrets", replace_secrets),
-    ("mixing", mix_sources),
-    ("tokens", encode_tokens),
+    ("toxicity", _prepared(drop_toxic)),
+    ("near_duplicates", _prepared(drop_near_duplicates)),
+    ("secrets", _prepared(replace_secrets)),
+    ("mixing", _prepared(mix_sources)),
+    ("tokens", _prepared(encode_tokens)),
 ]
 
 #: SQL cannot express the classifier, the forest and the search; the tests compare with brute force.
