@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwarden.functions.text import html_title, html_to_text
-from cellwarden.operators.search import PAGE_SIZE, text_search
+from cellwarden.operators.search import PAGE_SIZE, passages, query_terms, text_search
+from cellwarden.operators.text_index import TextIndex
 from cellwarden.scale import lookup_join
 from cellwarden.schemas import REFERENCE
 
@@ -49,17 +50,18 @@ def incident_queries(incidents: DataFrame) -> DataFrame:
     return incidents.select("incident_id", words.alias("query"))
 
 
-def _retrieve(incidents: DataFrame, docs: DataFrame, k: int, chunk: Column, answer: Column, empty: str) -> DataFrame:
+def _retrieve(incidents: DataFrame, docs: DataFrame, k: int, chunk: Column, empty: str, index: TextIndex | None) -> DataFrame:
     """Search once per distinct query text, then hand the result to all its incidents.
 
-    Incidents of the same KPI ask the same question, so the search does not grow with them.
+    Incidents of the same KPI ask the same question, so the search does not grow with them. The
+    answer is the best passage of each document found, best document first.
     """
     asked = incident_queries(incidents)
     questions = asked.select("query").distinct().withColumn("query_id", F.sha2("query", 256))
-    found = text_search(docs, questions, k)
-    texts = lookup_join(docs, found, ["doc_id"]).withColumn("chunk", chunk).withColumn("answer", answer)
+    found = passages(text_search(docs, questions, k, index=index), docs, query_terms(questions))
+    texts = lookup_join(docs.drop("text"), found, ["doc_id"]).withColumn("chunk", chunk)
     hits = texts.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk", "answer"))).alias("hits")
+        F.array_sort(F.collect_list(F.struct("rank", "chunk", F.col("passage").alias("answer")))).alias("hits")
     )
     answered = questions.join(hits, "query_id", "left").select(
         "query",
@@ -75,9 +77,13 @@ _CONTEXT = "struct<document_name:string,text:string>"
 
 
 def retrieve_docs(
-    incidents: DataFrame, docs: DataFrame, k: int = PAGE_SIZE, *, id_col: str = "doc_id", title_col: str = "title"
+    incidents: DataFrame, docs: DataFrame, k: int = PAGE_SIZE, *, id_col: str = "doc_id", title_col: str = "title",
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Internal documents per incident: queries, references (best first) and result text."""
+    """Internal documents per incident: queries, references (best first) and the passages found.
+
+    ``index`` is a written index of the documents' texts, if there is one.
+    """
     corpus = docs.select(F.col(id_col).alias("doc_id"), "text", F.col(title_col).alias("_title"))
     chunk = F.struct(
         F.lit(None).cast(_WEB).alias("web"),
@@ -85,7 +91,7 @@ def retrieve_docs(
             F.col("doc_id").cast("string").alias("document_name"), F.col("_title").alias("text")
         ).alias("retrieved_context"),
     )
-    return _retrieve(incidents, corpus, k, chunk, F.col("_title"), NO_INTERNAL)
+    return _retrieve(incidents, corpus, k, chunk, NO_INTERNAL, index)
 
 
 def allowed_pages(pages: DataFrame, allow: DataFrame) -> DataFrame:
@@ -105,4 +111,4 @@ def retrieve_pages(incidents: DataFrame, pages: DataFrame, allow: DataFrame, k:
         F.struct(F.col("url").alias("uri"), F.col("title").alias("title")).alias("web"),
         F.lit(None).cast(_CONTEXT).alias("retrieved_context"),
     )
-    return _retrieve(incidents, allowed_pages(pages, allow), k, chunk, F.col("title"), NO_EXTERNAL)
+    return _retrieve(incidents, allowed_pages(pages, allow), k, chunk, NO_EXTERNAL, None)

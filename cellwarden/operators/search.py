@@ -1,12 +1,14 @@
-"""Ranked text search, spelling correction, query expansion and snippets."""
+"""Ranked text search, spelling correction, query expansion, snippets and passages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwarden.functions.passages import passage
 from cellwarden.functions.text import deletion_variants, first_hit, snippet, tokens
-from cellwarden.scale import BROADCAST_ROWS, lookup_join
+from cellwarden.operators.text_index import TextIndex, scratch_index, search_index
+from cellwarden.scale import lookup_join
 from cellwarden.session import cut_lineage
 
 # Fixed value: results per page of the rule search.
@@ -21,8 +23,6 @@ RULE_TEXT = (
     "vendor",
     "author",
 )
-K1, B = 1.2, 0.75
-SCORE_DIGITS = 6
 
 
 def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
@@ -31,64 +31,6 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
     return queries.select("query_id", terms.alias("term"))
 
 
-def build_postings(
-    docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """(doc_id, length, term, tf) for the asked terms, plus one row with term '' per document.
-
-    The text is read and cut into tokens once; tokens nobody asked for are dropped before the
-    counting shuffle, and all tokens of a text combine in the task that read it. The rows with
-    the empty term carry the lengths of all documents, also of those without any hit.
-    """
-    asked = terms.select("term").distinct()
-    cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_tokens"))
-    rows = cut.select(
-        "doc_id",
-        F.size("_tokens").alias("length"),
-        F.explode(F.array_append("_tokens", F.lit(""))).alias("term"),
-    ).where(F.col("term").isNotNull())
-    marker = F.col("term") == ""
-    asked_rows = terms.count()
-    if asked_rows <= max_rows:
-        keep = asked.withColumn("_asked", F.lit(True))
-        rows = rows.join(F.broadcast(keep), "term", "left").where(marker | F.col("_asked"))
-        return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    # Counting first: the join then meets one row per document and term, salted by document.
-    counted = rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    hits = lookup_join(
-        counted.where(~marker), asked, ["term"], "left_semi", max_rows=max_rows, rows=asked_rows
-    )
-    return counted.where(marker).unionByName(hits)
-
-
-def rank_postings(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """BM25 over written postings: (query_id, doc_id, score, rank), at most ``k`` per query.
-
-    The postings of a document are brought together before they meet the queries, so a score is
-    complete in one task and only the ``k`` best per task and query move again.
-    """
-    lengths = postings.where(F.col("term") == "")
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    n, mean_length = corpus.select("n").scalar(), corpus.select("mean_length").scalar()
-    hits = postings.where(F.col("term") != "")
-    found_in = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # Both tables have at most one row per query term, so one count bounds them.
-    rows = terms.count()
-    weights = lookup_join(terms, found_in, ["term"], rows=rows).select(
-        "query_id", "term", idf.alias("idf")
-    )
-    tf = F.col("tf")
-    damped = tf + K1 * (1.0 - B + B * F.col("length") / mean_length)
-    scored = (
-        lookup_join(hits.repartition("doc_id"), weights, ["term"], rows=rows)
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("idf") * tf * (K1 + 1.0) / damped), SCORE_DIGITS).alias("score"))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def text_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -97,19 +39,21 @@ def text_search(
     id_col: str = "doc_id",
     text_col: str = "text",
     terms: DataFrame | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """The ``k`` best documents of every query (query_id, query).
+    """The ``k`` best documents of every query (query_id, query) by BM25: query_id, doc_id, score, rank.
 
     Equal scores (to six digits) are ordered by document id. ``terms`` replaces the query
-    tokens, for corrected or expanded queries. The postings are written to the shared folder,
-    because scores, document frequencies and corpus statistics all read them; so are the
-    results, which callers count and join.
+    tokens, for corrected or expanded queries. ``index`` is an index of the same documents
+    written before; without it one is written to the shared folder. So are the results, which
+    callers count and join.
     """
     if terms is None:
         terms = query_terms(queries)
     terms = cut_lineage(terms.select("query_id", "term").distinct(), "terms")
-    postings = cut_lineage(build_postings(docs, terms, id_col, text_col), "postings")
-    return cut_lineage(rank_postings(postings, terms, k), "results")
+    if index is None:
+        index = scratch_index(docs, id_col, text_col)
+    return cut_lineage(search_index(index, terms, k), "results")
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -212,3 +156,22 @@ def snippets(
         .withColumn("snippet", snippet(F.col("_text"), F.col("_place"), width))
         .drop("_text", "_terms", "_place")
     )
+
+
+def passages(
+    results: DataFrame, docs: DataFrame, terms: DataFrame, width: int = 30, *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Add the passage of each result: the window of ``width`` tokens with most distinct query terms.
+
+    ``terms`` (query_id, term) are those that were searched, so corrected ones count. Added are ``passage``,
+    ``first_token`` and ``last_token`` (from 0) of the terms' window, and ``distinct_terms``. As with
+    snippets, the results go to the texts.
+    """
+    asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    wanted = lookup_join(results, asked, ["query_id"])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    made = lookup_join(texts, wanted, ["doc_id"]).withColumn("_p", passage(F.col("_text"), F.col("_terms"), width))
+    return made.select(
+        *results.columns, F.col("_p.passage").alias("passage"), F.col("_p.first_token").alias("first_token"),
+        F.col("_p.last_token").alias("last_token"), F.col("_p.distinct_terms").alias("distinct_terms"),
+    )

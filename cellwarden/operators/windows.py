@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwarden.operators.sweep import count_by_hour, sweep_join
 from cellwarden.scale import BROADCAST_ROWS, SALTS, salt_hot_keys
 from cellwarden.sources.layout import DAY
 
@@ -31,7 +32,7 @@ def facts_in_windows(
 
     One pass over the narrow window columns counts them and finds their outer bounds. The
     bounds become constant filters that reach the fact scan. Few windows are broadcast and the
-    facts do not move; otherwise both sides shuffle by cell and day, with hot ones salted.
+    facts do not move; otherwise a sweep over both, sorted by cell and time, finds the pairs.
     """
     start = F.col("start_ts") - F.expr(f"interval {lead}") if lead else F.col("start_ts")
     windows = incidents.select(
@@ -61,36 +62,26 @@ def facts_in_windows(
     if profile["n"] <= max_broadcast_rows:
         return facts.join(F.broadcast(windows), [*same_cell, inside]).drop(*helpers)
 
-    cell_pairs = [(f, f"_w_{f}") for _, f in keys]
-
-    def shuffled(left: DataFrame, right: DataFrame, extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
-        pairs = [*cell_pairs, *extra]
-        left, right = salt_hot_keys(left, right, pairs, salts)
+    counts = count_by_hour(facts, [f for _, f in keys], fact_start, fact_end)
+    result = sweep_join(_until(facts, profile, fact_start), windows, [f for _, f in keys], fact_start, fact_end, counts)
+    if not ordered and counts.where("inverted > 0").limit(1).count():
+        # Facts that end before they start match windows that they overlap; they meet by cell.
+        pairs = [(f, f"_w_{f}") for _, f in keys]
+        left, right = salt_hot_keys(facts.where(F.col(fact_end) < F.col(fact_start)), windows, pairs, salts)
         same = [F.col(f) == F.col(w) for f, w in [*pairs, ("_salt", "_table_salt")]]
-        added = [c for pair in extra for c in pair]
-        return left.join(right, [*same, inside]).drop(*helpers, *added, "_salt", "_table_salt")
-
-    # Closed windows meet forward facts day by day, which keeps long histories of a cell apart.
-    inverted = F.coalesce(F.col(fact_end) < F.col(fact_start), F.lit(False))
-    closed = windows.where(F.col("_w_end").isNotNull())
-    days = F.sequence(F.to_date("_w_start"), F.to_date("_w_end"))
-    daily = (
-        closed.where(F.to_date("_w_start") <= F.to_date("_w_end"))
-        .withColumn("_w_day", F.explode(days))
-    )
-    forward = (facts if ordered else facts.where(~inverted)).withColumn("_day", F.to_date(fact_start))
-    parts = [shuffled(forward, daily, [("_day", "_w_day")])]
-    if profile["open"]:
-        parts.append(shuffled(facts, windows.where(F.col("_w_end").isNull())))
-    if not ordered:
-        # Facts that end before they start may match a window that does not hold their day.
-        parts.append(shuffled(facts.where(inverted), closed))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+        found = left.join(right, [*same, inside]).drop(*helpers, "_salt", "_table_salt")
+        result = result.unionByName(found)
     return result
 
 
+def _until(facts: DataFrame, profile, fact_start: str) -> DataFrame:
+    """The upper bound on the day partition, for facts that do not end before they start."""
+    if profile["open"] or profile["high"] is None or DAY not in facts.columns:
+        return facts
+    to_high = F.timestamp_micros(F.lit(profile["high"])).cast(facts.schema[fact_start].dataType)
+    return facts.where(F.col(DAY) <= F.to_date(to_high))
+
+
 def _prune(facts: DataFrame, fact_start: str, fact_end: str, profile, ordered: bool) -> DataFrame:
     """Constant bounds on the fact times and, where the table has it, on the day partition."""
     if not profile["n"]:

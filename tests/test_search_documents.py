@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwarden.functions.text import html_title, html_to_text
-from cellwarden.operators import documents, search
+from cellwarden.functions.passages import best_window
+from cellwarden.operators import documents, search, text_index
+from cellwarden.session import scratch_path
 from tests.conftest import rows
 
 
@@ -42,16 +44,76 @@ def corpus(seed=4):
     return docs, [(0, "w1 W1 w2 the"), (1, "w29"), (2, "unseen"), (3, "")]
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_bm25_matches_brute_force(spark, bound):
+@pytest.mark.parametrize("block_docs", [3, 1024])
+def test_bm25_matches_brute_force(spark, block_docs):
     docs, asked = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    terms = search.query_terms(spark.createDataFrame(asked, "query_id long, query string"))
-    postings = search.build_postings(d, terms, "doc_id", "text", max_rows=bound)
-    found = search.rank_postings(postings, terms, 10)
-    assert rows(found, "query_id", "doc_id", "score", "rank") == brute_bm25(docs, asked, 10)
-    whole = search.text_search(d, spark.createDataFrame(asked, "query_id long, query string"))
-    assert rows(whole, "query_id", "doc_id", "score", "rank") == brute_bm25(docs, asked, 10)
+    index = text_index.build_index(d, scratch_path(spark, "index"), block_docs=block_docs)
+    for k in (2, 10):
+        whole = search.text_search(d, spark.createDataFrame(asked, "query_id long, query string"), k, index=index)
+        assert rows(whole, "query_id", "doc_id", "score", "rank") == brute_bm25(docs, asked, k)
+
+
+def test_blocks_below_the_floor_are_not_scored(spark, monkeypatch):
+    """Of many blocks only those whose bound reaches the k-th score are visited, and the result is exact."""
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choices([f"w{n}" for n in range(400)], k=rng.randrange(20, 900)))) for i in range(300)]
+    docs += [(1000 + i, "rare other words here") for i in range(4)]
+    asked = [(0, "rare words"), (1, "w1 w2"), (2, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = text_index.build_index(d, scratch_path(spark, "index"), block_docs=4)
+    visited, plain = [], text_index._scored
+
+    def counting(index, visits, *rest):
+        visited.append(visits.count())
+        return plain(index, visits, *rest)
+
+    monkeypatch.setattr(text_index, "_scored", counting)
+    found = search.text_search(d, spark.createDataFrame(asked, "query_id long, query string"), 4, index=index)
+    assert rows(found, "query_id", "doc_id", "score", "rank") == brute_bm25(docs, asked, 4)
+    blocks = index.table("stats").first()["blocks"]
+    assert blocks > 60 and sum(visited) < blocks
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" in joined and "Join" not in joined
+
+
+def test_index_of_odd_documents(spark):
+    for docs in ([], [(1, None), (2, ""), (3, "!!")], [(1, "a"), (1, "a b"), (None, "a")]):
+        d = spark.createDataFrame(docs, "doc_id long, text string")
+        asked = spark.createDataFrame([(0, "a"), (1, None)], "query_id long, query string")
+        found = search.text_search(d, asked, 5).collect()
+        assert {r["query_id"] for r in found} <= {0} and len(found) == (2 if len(docs) == 3 and docs[0][1] == "a" else 0)
+
+
+def brute_window(tokens, wanted, width):
+    best = None
+    for i in range(len(tokens)):
+        for j in range(i, min(len(tokens), i + width)):
+            if tokens[i] in wanted and tokens[j] in wanted:
+                found = (-len(wanted.intersection(tokens[i : j + 1])), j - i, i)
+                best = min(best or found, found)
+    return best and (best[2], best[2] + best[1], -best[0])
+
+
+def test_window_matches_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        tokens = rng.choices("abcdefgh", k=rng.randrange(1, 40))
+        wanted, width = set(rng.sample("abcdxyz", rng.randrange(1, 5))), rng.randrange(1, 12)
+        hits = [(i, t) for i, t in enumerate(tokens) if t in wanted]
+        if hits:
+            assert best_window([i for i, _ in hits], [t for _, t in hits], width) == brute_window(tokens, wanted, width)
+
+
+def test_passage_is_cut_from_the_whole_text(spark):
+    text = "Filler, " * 4000 + "the RSSI (level) of Cell-7 is low; " + "filler " * 50 + "level"
+    docs = spark.createDataFrame([(1, text), (2, "Cell"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(5, "rssi"), (5, "cell"), (5, "low"), (6, "none")], "query_id long, term string")
+    results = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (6, 2, 1), (5, 3, 3)], "query_id long, doc_id long, rank int")
+    found = {(r.query_id, r.doc_id): r for r in search.passages(results, docs, terms, 8).collect()}
+    assert found[5, 1].passage == "RSSI (level) of Cell-7 is low; filler" and found[5, 1].distinct_terms == 3
+    assert (found[5, 1].first_token, found[5, 1].last_token) == (4001, 4007)
+    assert found[5, 2].passage == "Cell" and found[6, 2].passage is None and found[5, 3].passage is None
 
 
 def edit_distance(a, b):

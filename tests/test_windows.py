@@ -1,10 +1,11 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from cellwarden.operators import traces, uplink
+from cellwarden.operators import sweep, traces, uplink
 from cellwarden.operators.windows import facts_in_windows
 from cellwarden.sources import layout
 from cellwarden.session import scratch_path
@@ -60,6 +61,51 @@ def test_windows_match_brute_force(spark, open_windows, bound):
     assert sorted(tuple(r) for r in found.select("incident_id", "starttime").collect()) == brute(windows, facts)
 
 
+def test_sweep_cuts_hot_cells_and_repeats_only_windows_over_a_cut(spark):
+    """Half of the facts are in one cell: it is cut by time, and every pair is still found once."""
+    windows, facts = random_case(9, True)
+    facts = [f for f in facts if f[3] is None or f[3] >= f[2]]
+    made = spark.createDataFrame(facts, TRACE)
+    counts = sweep.count_by_hour(made, ["start_enodeb_id", "start_cell_id"], "starttime", "endtime")
+    cuts = {r["start_cell_id"]: r["_cuts"] for r in sweep.hot_cuts(counts, ["start_enodeb_id", "start_cell_id"], 8).collect()}
+    assert "c0" in cuts and len(cuts["c0"]) >= 3 and cuts["c0"] == sorted(cuts["c0"])
+    found = facts_in_windows(spark.createDataFrame(windows, INCIDENT), made, KEYS, "starttime", "endtime", max_broadcast_rows=0)
+    assert sorted(tuple(r) for r in found.select("incident_id", "starttime").collect()) == brute(windows, facts)
+
+
+def test_sweep_over_small_batches_and_equal_times(spark):
+    """Cells that go on from batch to batch, windows and facts at the same moment, repeated rows."""
+    start = datetime(2025, 3, 1)
+    windows = [(f"i{i}", "e", f"c{i % 2}", start + timedelta(hours=i // 4), start + timedelta(hours=i // 4 + i % 3)) for i in range(40)]
+    facts = [("e", f"c{i % 3}", start + timedelta(hours=i // 9), start + timedelta(hours=i // 9 + i % 2), "OK", "m", "s") for i in range(90)] * 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = facts_in_windows(
+            spark.createDataFrame(windows, INCIDENT), spark.createDataFrame(facts, TRACE), KEYS, "starttime", "endtime", max_broadcast_rows=0
+        )
+        assert sorted(tuple(r) for r in found.select("incident_id", "starttime").collect()) == brute(windows, facts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    none = facts_in_windows(spark.createDataFrame([], INCIDENT), spark.createDataFrame([], TRACE), KEYS, "starttime", "endtime", max_broadcast_rows=0)
+    assert none.count() == 0
+
+
+def test_sweep_reads_the_facts_once_between_both_days(spark):
+    windows, facts = random_case(3, False)
+    path = scratch_path(spark, "days")
+    layout.write_partitioned(spark.createDataFrame(facts, TRACE), "starttime", ["start_enodeb_id", "start_cell_id"], path)
+    some = [w for w in windows if w[4] is not None and w[3].day in (4, 5)]
+    found = facts_in_windows(
+        spark.createDataFrame(some, INCIDENT), spark.read.parquet(path), KEYS, "starttime", "endtime", max_broadcast_rows=0, ordered=True
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "days-" in line]
+    assert len(scans) == 1 and "date" in scans[0]
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", scans[0])[1]
+    assert ">=" in filters and "<=" in filters
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_broadcast_plan_does_not_move_the_facts(spark):
     windows, facts = random_case(1, False)
     path = scratch_path(spark, "facts")

@@ -243,12 +243,39 @@ def _with(steps: str, select: str) -> str:
     return "with " + steps + "\n" + select
 
 
-def _retrieval(docs: str, reference: str, title: str, empty: str) -> str:
-    steps = _bm25(docs, INCIDENT_QUESTIONS, 10) + f""",
+# The window of 30 tokens with most distinct terms: of each hit and each term the last place before it.
+PASSAGES = """,
+cut as (
+  select r.query_id, r.doc_id, r.rank, d.text, regexp_extract_all(lower(d.text), '[a-z0-9]+') toks,
+         string_split_regex(lower(d.text), '[a-z0-9]+') gaps, a.ts
+  from ranked r join docs d on r.doc_id = d.doc_id
+  join (select query_id, list(term) ts from terms group by query_id) a on a.query_id = r.query_id),
+hits as (select query_id, doc_id, i - 1 place, toks[i] term from cut, unnest(range(1, len(toks) + 1)) u(i) where list_contains(ts, toks[i])),
+lasts as (
+  select a.query_id, a.doc_id, a.place stop, b.term, max(b.place) place
+  from hits a join hits b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.place <= a.place and b.place > a.place - 30
+  group by all),
+windows as (select query_id, doc_id, stop, min(place) start, count(*) n from lasts group by all),
+placed as (
+  select c.*, w.start, w.stop, w.n, greatest(0, w.start - (30 - (w.stop - w.start + 1)) // 2) first
+  from cut c join (select * from windows qualify row_number() over (partition by query_id, doc_id order by n desc, stop - start, start) = 1) w
+    on w.query_id = c.query_id and w.doc_id = c.doc_id),
+parts as (
+  select *, list_transform(gaps, lambda x: length(x)) gl, list_transform(toks, lambda x: length(x)) tl, least(len(toks), first + 30) last
+  from placed),
+passages as (
+  select query_id, doc_id, rank, start first_token, stop last_token, n distinct_terms,
+         substr(text, cast(1 + coalesce(list_sum(list_slice(gl, 1, first + 1)), 0) + coalesce(list_sum(list_slice(tl, 1, first)), 0) as bigint),
+           cast(coalesce(list_sum(list_slice(gl, first + 2, last)), 0) + coalesce(list_sum(list_slice(tl, first + 1, last)), 0) as bigint)) passage
+  from parts)"""
+
+
+def _retrieval(docs: str, reference: str, empty: str) -> str:
+    steps = _bm25(docs, INCIDENT_QUESTIONS, 10) + PASSAGES + f""",
 answers as (
   select r.query_id, string_agg({reference}, chr(10) order by r.rank) refs,
-         string_agg({title}, chr(10) order by r.rank) answer
-  from ranked r join docs d on r.doc_id = d.doc_id group by r.query_id)"""
+         string_agg(r.passage, chr(10) order by r.rank) answer
+  from passages r join docs d on r.doc_id = d.doc_id group by r.query_id)"""
     return _with(steps, f"""
 select c.incident_id, concat(c.description, ' ', c.kpi) queries, coalesce(a.refs, '') "references",
        coalesce(a.answer, {_quoted(empty)}) search_result
@@ -382,6 +409,7 @@ select incident_id, rules_status, processing_rules, severity_determination_rules
        array_to_string(severity_tools, ';') severity_determination_rule_tools from collected"""),
     "gate_tools": sql(f"select incident_id, {_gate('tools')} analysis_tools, {_gate('severity_tools')} severity_tools from collected"),
     "cell_trace_stats": sql("select * from stats"),
+    "cell_trace_stats_sweep": sql("select * from stats"),
     "outcome_share": sql("""
 select incident_id, connection_outcome, n,
        round(n * 100.0 / sum(n) over (partition by incident_id), 6) pct,
@@ -458,6 +486,12 @@ from (select r.query_id, r.doc_id, r.rank, any_value(d.text) as text,
       from ranked r join docs d on r.doc_id = d.doc_id join terms t on t.query_id = r.query_id
       group by r.query_id, r.doc_id, r.rank)""",
     ),
+    "passages": _with(
+        _bm25("select doc_id, text from documents", QUESTIONS, 5) + PASSAGES,
+        """
+select query_id, doc_id, rank, passage, cast(first_token as integer) first_token, cast(last_token as integer) last_token,
+       cast(distinct_terms as integer) distinct_terms from passages""",
+    ),
     "spell_correct": """
 with asked as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from conversations),
 vocab as (select term, count(*) df from
@@ -473,8 +507,8 @@ words as (select list_filter(string_split(p_name, ' '), lambda w: w <> '') w fro
 synonyms as (select distinct w[i] term, w[i + 1] related from words, unnest(range(1, len(w))) u(i))
 select query_id, term from terms
 union select t.query_id, s.related from terms t join synonyms s on t.term = s.term""",
-    "internal_docs": _retrieval(INTERNAL_DOCS, INTERNAL_REFERENCE, "d.title", NO_INTERNAL),
-    "external_docs": _retrieval(PAGE_TEXT, "concat(d.url, ' ', d.title)", "d.title", NO_EXTERNAL),
+    "internal_docs": _retrieval(INTERNAL_DOCS, INTERNAL_REFERENCE, NO_INTERNAL),
+    "external_docs": _retrieval(PAGE_TEXT, "concat(d.url, ' ', d.title)", NO_EXTERNAL),
     "extract_references": sql(f"""
 select case_id, 0 as "position", url, title from chunks where url is not null
 union all
@@ -504,11 +538,11 @@ from candidates c left join (select *, {_LOG_BLOCK} block from near_logs where d
   on c.incident_id = n.incident_id
 group by c.incident_id""")
 
-_REPORT = _bm25(INTERNAL_DOCS, INCIDENT_QUESTIONS, 10) + f""",
+_REPORT = _bm25(INTERNAL_DOCS, INCIDENT_QUESTIONS, 10) + PASSAGES + f""",
 answers as (
-  select r.query_id, string_agg(d.title, chr(10) order by r.rank) answer,
+  select r.query_id, string_agg(r.passage, chr(10) order by r.rank) answer,
          string_agg(concat('- [', d.title, '](', '{DOCUMENT_PREFIX}', d.doc_id, ')'), chr(10) order by r.rank) links
-  from ranked r join docs d on r.doc_id = d.doc_id group by r.query_id)"""
+  from passages r join docs d on r.doc_id = d.doc_id group by r.query_id)"""
 ORACLES["build_report"] = _with(_REPORT, f"""
 select s.incident_id, concat_ws(chr(10) || chr(10),
   concat('## 1. Incident description', chr(10), s.description, chr(10), g.general_info),

@@ -20,6 +20,7 @@ from cellwarden.operators import (
     rules,
     search,
     similarity,
+    text_index,
     traces,
     uplink,
 )
@@ -386,6 +387,13 @@ def _stats(found, spark, sf):
     return traces.cell_trace_stats(found, derived(spark, sf, "cell_traces"))
 
 
+def cell_trace_stats_sweep(spark, sf):
+    """The same statistics over the day-partitioned traces, with windows and traces met by the sweep."""
+    path = scratch_path(spark, "traces")
+    layout.write_partitioned(derived(spark, sf, "cell_traces"), "starttime", ["start_enodeb_id", "start_cell_id"], path)
+    return traces.cell_trace_stats(candidates(spark, sf), spark.read.parquet(path), max_broadcast_rows=0)
+
+
 def outcome_share(spark, sf):
     return plain(traces.outcome_share(cell_trace_stats(spark, sf)))
 
@@ -533,9 +541,26 @@ def search_rules(spark, sf):
     return plain(found.withColumn("processing_rule", F.length("processing_rule")))
 
 
+_indexes: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def document_index(spark: SparkSession, sf: str) -> text_index.TextIndex:
+    """The index of the documents' texts, written by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = text_index.scratch_index(table(spark, sf, "documents"), "doc_id", "text")
+    return _indexes[key]
+
+
+def passages(spark, sf):
+    docs, asked = table(spark, sf, "documents"), questions(spark, sf)
+    found = search.text_search(docs, asked, 5, index=document_index(spark, sf))
+    return search.passages(found, docs, search.query_terms(asked)).drop("score")
+
+
 def snippets(spark, sf):
     docs, asked = table(spark, sf, "documents"), questions(spark, sf)
-    found = search.text_search(docs, asked, 5)
+    found = search.text_search(docs, asked, 5, index=document_index(spark, sf))
     return search.snippets(found, docs, asked).select("query_id", "doc_id", "rank", "snippet")
 
 
@@ -564,7 +589,7 @@ def _retrieved(found: DataFrame) -> DataFrame:
 
 def internal_docs(spark, sf):
     docs = table(spark, sf, "documents").withColumnRenamed("source", "title")
-    return _retrieved(documents.retrieve_docs(candidates(spark, sf), docs))
+    return _retrieved(documents.retrieve_docs(candidates(spark, sf), docs, index=document_index(spark, sf)))
 
 
 def external_docs(spark, sf):
@@ -610,7 +635,7 @@ def build_report(spark, sf):
     cases = analysis.analyze_incidents(measured(spark, sf), CONDITIONS)
     cases = analysis.classify_severity(actions.suggest_actions(cases), SEVERITY_RULES)
     docs = table(spark, sf, "documents").withColumnRenamed("source", "title")
-    internal = documents.retrieve_docs(cases, docs).select(
+    internal = documents.retrieve_docs(cases, docs, index=document_index(spark, sf)).select(
         "incident_id", F.struct("search_result", "references").alias("internal_search_results")
     )
     return report.build_report(cases.join(internal, "incident_id", "left")).select("incident_id", "report")
@@ -621,12 +646,12 @@ load_performance load_cell_traces csv_to_jsonl load_rules insert_rules upsert_ru
 create_incidents update_incidents layout_partitioned refresh_kpi_view
 erab_success_rate retainability performance_kpi missed_kpis detect_incidents incident_candidates
 prioritize_incidents detect_incidents_sessions detect_incidents_stream
-match_rules collect_rule_tools gate_tools cell_trace_stats outcome_share security_failure_devices
+match_rules collect_rule_tools gate_tools cell_trace_stats cell_trace_stats_sweep outcome_share security_failure_devices
 uplink_rssi uplink_configuration rssi_out_of_range config_deviation analyze_incidents
 classify_severity suggest_actions split_actions actions_toolset issue_adjustments
 embed_events nonempty_embeddings vector_topk distance_cutoff match_label vector_topk_lsh
 format_prior_incidents prior_incidents
-search_rules snippets spell_correct expand_query internal_docs external_docs extract_references
+search_rules snippets passages spell_correct expand_query internal_docs external_docs extract_references
 grounding_gate append_section general_info_section trace_section build_report
 """.split()
 
