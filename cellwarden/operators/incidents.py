@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwarden.scale import lookup_join
 from cellwarden.schemas import INCIDENTS
+from cellwarden.sources import versions
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -91,11 +92,6 @@ def update_incidents(incidents: DataFrame, cases: DataFrame) -> tuple[DataFrame,
     row per incident: incident_id, report, severity, events, events_embeddings.
     """
     usable = F.coalesce(F.size("events_embeddings") > 0, F.lit(False))
-    failed = cases.where(~usable).select(
-        "incident_id",
-        F.lit("error").alias("status"),
-        F.lit("Failed to generate embeddings for the event.").alias("description"),
-    )
     ready = cases.where(usable).select(
         "incident_id",
         F.struct(
@@ -116,4 +112,29 @@ def update_incidents(incidents: DataFrame, cases: DataFrame) -> tuple[DataFrame,
             for c in incidents.columns
         ]
     )
-    return updated, failed
+    return updated, failed_cases(cases)
+
+
+def failed_cases(cases: DataFrame) -> DataFrame:
+    """Cases without an embedding, with the message of their failure."""
+    usable = F.coalesce(F.size("events_embeddings") > 0, F.lit(False))
+    return cases.where(~usable).select(
+        "incident_id",
+        F.lit("error").alias("status"),
+        F.lit("Failed to generate embeddings for the event.").alias("description"),
+    )
+
+
+def store_results(spark: SparkSession, root: str, cases: DataFrame) -> DataFrame:
+    """Store the results of analysed cases in the versioned table below ``root``; returns the cases that failed.
+
+    Only files that hold an incident of a usable case are rewritten.
+    """
+    usable = cases.where(F.size("events_embeddings") > 0)
+    versions.rewrite(spark, root, usable, "incident_id", lambda old: update_incidents(old, usable)[0])
+    return failed_cases(cases)
+
+
+def upsert_stored(spark: SparkSession, root: str, incoming: DataFrame, key: str) -> int:
+    """Replace or add rows of the versioned table below ``root``; files without a key of ``incoming`` in their range stay."""
+    return versions.rewrite(spark, root, incoming, key, lambda old: upsert(old, incoming, key), adds=True)

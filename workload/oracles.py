@@ -557,3 +557,8 @@ select s.incident_id, concat_ws(chr(10) || chr(10),
 from severity s join general g on s.incident_id = g.incident_id
 join acting x on x.incident_id = s.incident_id
 left join answers a on a.query_id = concat(s.description, ' ', s.kpi)""")
+
+# The same results by another way.
+ORACLES["upsert_rules_files"] = ORACLES["upsert_rules"]
+ORACLES["update_incidents_files"] = ORACLES["update_incidents"]
+ORACLES["merge_kpi_view"] = ORACLES["refresh_kpi_view"]

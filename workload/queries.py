@@ -27,7 +27,7 @@ from cellwarden.operators import (
 from cellwarden.plans import detect, rca
 from cellwarden.schemas import CELL_TRACES, PERFORMANCE
 from cellwarden.session import configure, cut_lineage, scratch_path
-from cellwarden.sources import csv, layout
+from cellwarden.sources import csv, layout, versions
 from cellwarden.sources import rules as rule_files
 from cellwarden.streaming import kpi as kpi_stream
 from cellwarden.streaming import sessions as session_stream
@@ -260,11 +260,33 @@ def create_incidents(spark, sf):
     )
 
 
+def upsert_rules_files(spark, sf):
+    """The same upsert on a versioned table, of which only touched files are rewritten."""
+    existing, incoming = _rule_tables(spark, sf)
+    root = scratch_path(spark, "rule-table")
+    versions.create_table(existing, root, "rule_id")
+    incidents.upsert_stored(spark, root, incoming, "rule_id")
+    return versions.read_table(spark, root)
+
+
 def update_incidents(spark, sf):
     found = candidates(spark, sf)
     current = incidents.create_incidents(found, found)
+    return _stored_and_failed(*incidents.update_incidents(current, _results(found)))
+
+
+def update_incidents_files(spark, sf):
+    """The same update on a versioned incident table."""
+    found = candidates(spark, sf)
+    root = scratch_path(spark, "incident-table")
+    versions.create_table(incidents.create_incidents(found, found), root, "incident_id")
+    failed = incidents.store_results(spark, root, _results(found))
+    return _stored_and_failed(versions.read_table(spark, root), failed)
+
+
+def _results(found):
     empty = F.array().cast("array<double>")
-    cases = found.select(
+    return found.select(
         "incident_id",
         F.concat(F.lit("report on "), "description").alias("report"),
         F.lit("HIGH").alias("severity"),
@@ -272,7 +294,9 @@ def update_incidents(spark, sf):
         F.when(kpi_value() > 60, F.array(kpi_value(), F.lit(1.0)))
         .when(kpi_value() > 40, empty).alias("events_embeddings"),
     )
-    updated, failed = incidents.update_incidents(current, cases)
+
+
+def _stored_and_failed(updated, failed):
     stored = updated.select(
         "incident_id", "status", "preliminary_analysis", "severity", "events",
         F.size("events_embeddings").alias("embedding_size"), F.lit(None).cast("string").alias("error"),
@@ -300,6 +324,19 @@ def refresh_kpi_view(spark, sf):
     return plain(spark.read.parquet(target))
 
 
+def merge_kpi_view(spark, sf):
+    """Base files with wrong session times where the level is even, then files that correct and repeat them, and replays."""
+    source, root = scratch_path(spark, "performance"), scratch_path(spark, "kpi-table")
+    rows = performance(spark, sf)
+    wrong = F.when(F.col("UL_RSSI") % 2 == 0, F.col("ERAB_SessionTimeUE") + 7).otherwise(F.col("ERAB_SessionTimeUE"))
+    rows.withColumn("ERAB_SessionTimeUE", wrong).write.parquet(source)
+    kpi_stream.merge_kpi(spark, source, root, scratch_path(spark, "merge-checkpoint"), rows.schema)
+    rows.write.mode("append").parquet(source)
+    for _ in range(2):  # a new checkpoint replays every file
+        kpi_stream.merge_kpi(spark, source, root, scratch_path(spark, "merge-checkpoint"), rows.schema)
+    return plain(versions.read_table(spark, root).drop(kpi_stream.MEASUREMENT))
+
+
 # --- KPIs and detection ----------------------------------------------------------------------
 
 
@@ -642,8 +679,8 @@ def build_report(spark, sf):
 
 
 NAMES = """
-load_performance load_cell_traces csv_to_jsonl load_rules insert_rules upsert_rules get_incident
-create_incidents update_incidents layout_partitioned refresh_kpi_view
+load_performance load_cell_traces csv_to_jsonl load_rules insert_rules upsert_rules upsert_rules_files get_incident
+create_incidents update_incidents update_incidents_files layout_partitioned refresh_kpi_view merge_kpi_view
 erab_success_rate retainability performance_kpi missed_kpis detect_incidents incident_candidates
 prioritize_incidents detect_incidents_sessions detect_incidents_stream
 match_rules collect_rule_tools gate_tools cell_trace_stats cell_trace_stats_sweep outcome_share security_failure_devices
