@@ -562,3 +562,19 @@ left join answers a on a.query_id = concat(s.description, ' ', s.kpi)""")
 ORACLES["upsert_rules_files"] = ORACLES["upsert_rules"]
 ORACLES["update_incidents_files"] = ORACLES["update_incidents"]
 ORACLES["merge_kpi_view"] = ORACLES["refresh_kpi_view"]
+ORACLES["detect_incidents_state"] = sql("""
+select s.enodeb_id, s.cell_id, t.description, s.kpi, s.status, round(s.kpi_value, 6) kpi_value, s.started, s.ended, s.violations
+from (
+  select enodeb_id, cell_id, kpi,
+         case when max(measurement_end) + interval 2 days <= (select max(measurement_end) from performance) - interval 1 day
+              then 'closed' else 'open' end status,
+         avg(kpi_value) kpi_value, min(measurement_end) started, max(measurement_end) ended, count(*) violations
+  from (select *, sum(opens) over (partition by enodeb_id, cell_id, kpi order by measurement_end) island
+        from (select *, case when measurement_end > lag(measurement_end) over
+                  (partition by enodeb_id, cell_id, kpi order by measurement_end) + interval 2 days then 1 else 0 end opens
+              from missed where measurement_end >= date '2024-01-10'))
+  group by enodeb_id, cell_id, kpi, island
+  union all
+  select enodeb_id, cell_id, kpi, 'late', kpi_value, measurement_end, measurement_end, 1
+  from missed where measurement_end < date '2024-01-10') s
+join kpi_text t on s.kpi = t.kpi""")

@@ -30,6 +30,7 @@ from cellwarden.session import configure, cut_lineage, scratch_path
 from cellwarden.sources import csv, layout, versions
 from cellwarden.sources import rules as rule_files
 from cellwarden.streaming import kpi as kpi_stream
+from cellwarden.streaming import session_state
 from cellwarden.streaming import sessions as session_stream
 from workload.views import derived, table
 
@@ -392,6 +393,23 @@ def detect_incidents_stream(spark, sf):
     return plain(spark.read.parquet(target))
 
 
+#: Earlier measurements arrive after the later ones have moved the watermark beyond them.
+LATE_BEFORE = "2024-01-10"
+
+
+def detect_incidents_state(spark, sf):
+    """Closed and open sessions and late rows, in three runs from one checkpoint; the last one brings nothing new."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("performance", "sessions", "sessions-checkpoint"))
+    rows = performance(spark, sf)
+    late = F.col("measurement_end") < F.lit(LATE_BEFORE).cast("timestamp")
+    for part in (rows.where(~late), rows.where(late), None):
+        if part is not None:
+            part.write.mode("append").parquet(source)
+        stream = detection.performance_kpi(spark.readStream.schema(rows.schema).parquet(source))
+        session_state.run_sessions(stream, target, checkpoint, GAP, DELAY)
+    return plain(session_state.read_sessions(spark, target))
+
+
 # --- rules, traces, uplink -------------------------------------------------------------------
 
 
@@ -682,7 +700,7 @@ NAMES = """
 load_performance load_cell_traces csv_to_jsonl load_rules insert_rules upsert_rules upsert_rules_files get_incident
 create_incidents update_incidents update_incidents_files layout_partitioned refresh_kpi_view merge_kpi_view
 erab_success_rate retainability performance_kpi missed_kpis detect_incidents incident_candidates
-prioritize_incidents detect_incidents_sessions detect_incidents_stream
+prioritize_incidents detect_incidents_sessions detect_incidents_stream detect_incidents_state
 match_rules collect_rule_tools gate_tools cell_trace_stats cell_trace_stats_sweep outcome_share security_failure_devices
 uplink_rssi uplink_configuration rssi_out_of_range config_deviation analyze_incidents
 classify_severity suggest_actions split_actions actions_toolset issue_adjustments
