@@ -1,4 +1,4 @@
-"""Text columns: tokens, HTML to text, snippets, deletion variants."""
+"""Text columns: tokens, HTML to text, snippets, parts of terms."""
 
 from __future__ import annotations
 
@@ -41,24 +41,33 @@ def snippet(text: Column, place: Column, width: int) -> Column:
     return F.when(place > 0, F.substr(text, start, F.lit(width)))
 
 
-def one_deletion(term: Column) -> Column:
-    """The term and every string made by deleting one of its characters."""
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.length(term)),
-        lambda i: F.concat(
-            F.substr(term, F.lit(1), (i - 1).cast("int")), F.substr(term, (i + 1).cast("int"))
-        ),
-    )
-    return F.array_distinct(F.array_append(shorter, term))
-
-
-def deletion_variants(term: Column, max_dist: int) -> Column:
-    """All strings reachable by up to ``max_dist`` deletions.
-
-    Two terms within edit distance d always share a variant with at most d deletions each, so
-    an equality join on the variants finds every pair without comparing all of them.
-    """
-    variants = F.array(term)
-    for _ in range(max_dist):
-        variants = F.array_distinct(F.flatten(F.transform(variants, one_deletion)))
-    return variants
+def _part(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of one of ``parts`` even parts of a term; the last ones take what is over."""
+    even, plain = F.floor(length / parts), parts - length % parts
+    return even * number + F.greatest(F.lit(number) - plain, F.lit(0)), even + (F.lit(number) >= plain).cast("int")
+
+
+def segments(term: Column, max_dist: int) -> Column:
+    """The ``max_dist + 1`` parts of a term, each with the term's length and its number."""
+    parts = [_part(F.length(term), i, max_dist + 1) for i in range(max_dist + 1)]
+    return F.array(*[
+        F.struct(
+            F.length(term).alias("length"), F.lit(i).alias("number"),
+            F.substr(term, (start + 1).cast("int"), size.cast("int")).alias("letters"),
+        )
+        for i, (start, size) in enumerate(parts)
+    ])
+
+
+def segment_probes(term: Column, max_dist: int) -> Column:
+    """The parts that terms within ``max_dist`` edits may have, wherever they may stand in this term."""
+    probes = []
+    for more in range(-max_dist, max_dist + 1):
+        length = F.length(term) + more
+        for i in range(max_dist + 1):
+            start, size = _part(length, i, max_dist + 1)
+            for move in range(-max_dist, max_dist + 1):
+                inside = (length >= 0) & (start + move >= 0) & (start + move + size <= F.length(term))
+                letters = F.substr(term, (start + move + 1).cast("int"), size.cast("int"))
+                probes.append(F.when(inside, F.struct(length.alias("length"), F.lit(i).alias("number"), letters.alias("letters"))))
+    return F.array_distinct(F.array_compact(F.array(*probes)))

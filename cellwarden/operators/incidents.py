@@ -138,3 +138,16 @@ def store_results(spark: SparkSession, root: str, cases: DataFrame) -> DataFrame
 def upsert_stored(spark: SparkSession, root: str, incoming: DataFrame, key: str) -> int:
     """Replace or add rows of the versioned table below ``root``; files without a key of ``incoming`` in their range stay."""
     return versions.rewrite(spark, root, incoming, key, lambda old: upsert(old, incoming, key), adds=True)
+
+
+def create_table(spark: SparkSession, name: str, path: str) -> None:
+    """A catalog table of incidents whose ``created_ts`` defaults to the time of the insert and whose embedding to an empty one."""
+    defaults = {"created_ts": " DEFAULT current_timestamp()", "events_embeddings": " DEFAULT array()"}
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{defaults.get(f.name, '')}" for f in INCIDENTS)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{path}'")
+
+
+def append_to_table(rows: DataFrame, name: str) -> None:
+    """Insert rows by the names of their columns; columns that are absent get the table's defaults, or null."""
+    columns = ", ".join(f"`{c}`" for c in rows.columns)
+    rows.sparkSession.sql(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {{rows}}", rows=rows)

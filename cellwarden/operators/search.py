@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwarden.functions.passages import passage
-from cellwarden.functions.text import deletion_variants, first_hit, snippet, tokens
-from cellwarden.operators.text_index import TextIndex, scratch_index, search_index
+from cellwarden.functions.text import first_hit, segment_probes, segments, snippet, tokens
+from cellwarden.operators.text_index import SCORE_DIGITS, TextIndex, scratch_index, search_index
 from cellwarden.scale import lookup_join
 from cellwarden.session import cut_lineage
 
@@ -65,28 +65,28 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def spell_correct(terms: DataFrame, vocab: DataFrame, max_dist: int = 1) -> DataFrame:
     """For every distinct term its nearest vocabulary term within ``max_dist`` edits.
 
-    Terms found in the vocabulary stay. Candidates meet by equality on their deletion variants,
-    so no two terms are compared unless they can be close; how many terms share a variant is
-    bounded by the alphabet, not by the data. Ties: most documents first, then alphabetical.
+    Terms found in the vocabulary stay and are not compared. A vocabulary term is cut into ``max_dist + 1`` parts; within that
+    many edits less one at least one part stays whole, moved by ``max_dist`` letters at most. So candidates meet by
+    equality of length, number of the part and its letters, of which a term makes a fixed number,
+    each no longer than the term. Ties: most documents first, then alphabetical.
     """
     asked = cut_lineage(terms.select("term").distinct(), "asked")
-
-    def variants(df: DataFrame) -> DataFrame:
-        return df.withColumn("_variant", F.explode(deletion_variants(F.col("term"), max_dist)))
-
-    left = variants(asked)
-    right = variants(vocab).select("_variant", F.col("term").alias("found"), "df")
-    distance = F.levenshtein("term", "found", max_dist)
+    known = cut_lineage(lookup_join(vocab.select("term"), asked, ["term"], "left_semi").distinct(), "known")
+    open_terms = lookup_join(asked, known, ["term"], "left_anti")
+    left = open_terms.select("term", F.explode(segment_probes(F.col("term"), max_dist)).alias("_part"))
+    right = vocab.select(F.col("term").alias("found"), "df", F.explode(segments(F.col("term"), max_dist)).alias("_part"))
+    part = [F.col(f"_part.{c}").alias(f"_{c}") for c in ("length", "number", "letters")]
     best = (
-        lookup_join(right, left, ["_variant"])
-        .withColumn("distance", distance)
+        lookup_join(right.select("found", "df", *part), left.select("term", *part), ["_length", "_number", "_letters"])
+        .withColumn("distance", F.levenshtein("term", "found", max_dist))
         .where(F.col("distance") >= 0)
         .groupBy("term")
         .agg(F.min(F.struct("distance", (-F.col("df")).alias("_rare"), "found")).alias("_best"))
     )
-    return asked.join(best, "term", "left").select(
+    corrected = open_terms.join(best, "term", "left").select(
         "term", F.col("_best.found").alias("corrected"), F.col("_best.distance").alias("distance")
     )
+    return known.select("term", F.col("term").alias("corrected"), F.lit(0).alias("distance")).unionByName(corrected)
 
 
 def apply_corrections(terms: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -102,6 +102,38 @@ def expand_query(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.select("query_id", "term").unionByName(related).distinct()
 
 
+def mine_related(
+    docs: DataFrame, reach: int = 4, least: int = 5, cut: float = 1.0, k: int = 3, text_col: str = "text"
+) -> DataFrame:
+    """(term, related, n, information): the ``k`` terms that stand most tellingly near each term of a corpus.
+
+    Two different terms are a pair wherever they are at most ``reach`` tokens apart. Their pointwise information is the logarithm of
+    the pair's count over that expected from how often each is in a pair. Pairs met ``least`` times with an information of
+    ``cut`` or more count; ties go to the more frequent, then alphabetically. Counting combines before its shuffle.
+    """
+    words = docs.select(tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)
+    pairs = None
+    for step in range(1, reach + 1):
+        zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", step + 1, F.greatest(F.size("w") - step, F.lit(0))).alias("b"))
+        each = words.select(F.inline(F.slice(zipped, 1, F.greatest(F.size("w") - step, F.lit(0)))))
+        pairs = each if pairs is None else pairs.unionByName(each)
+    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = cut_lineage(ordered.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    both = met.select(F.col("a").alias("term"), F.col("b").alias("related"), "n").union(met.select("b", "a", "n"))
+    of_term = cut_lineage(both.groupBy("term").agg(F.sum("n").alias("c")), "pair-terms")
+    total = of_term.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("t")).first()["t"]  # twice the pairs
+    often = both.where(F.col("n") >= least)
+    first = lookup_join(often, of_term, ["term"])
+    scored = lookup_join(first, of_term.select(F.col("term").alias("related"), F.col("c").alias("d")), ["related"])
+    information = F.round(F.log(F.col("n") * F.lit(float(total)) / (F.col("c").cast("double") * F.col("d"))), SCORE_DIGITS)
+    order = Window.partitionBy("term").orderBy(F.col("information").desc(), F.col("n").desc(), "related")
+    return (
+        scored.withColumn("information", information).where(F.col("information") >= cut)
+        .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
+        .select("term", "related", "n", "information")
+    )
+
+
 def search_rules(
     rules: DataFrame,
     queries: DataFrame,

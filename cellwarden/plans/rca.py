@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwarden.operators.actions import suggest_actions
-from cellwarden.operators.analysis import analyze_incidents, classify_severity
+from cellwarden.operators.analysis import CONDITIONS, SEVERITY_RULES, Condition, SeverityRule, analyze_incidents, classify_severity
 from cellwarden.operators.documents import retrieve_docs, retrieve_pages
 from cellwarden.operators.embedding import embed_texts
 from cellwarden.operators.report import (
@@ -27,10 +29,14 @@ from cellwarden.operators.similarity import (
     vector_topk,
     with_incident_columns,
 )
+from cellwarden.operators.text_index import TextIndex
 from cellwarden.operators.traces import cell_trace_stats, trace_summary
 from cellwarden.operators.uplink import config_deviation, rssi_levels, rssi_out_of_range, uplink_configuration
 from cellwarden.session import cut_lineage
 
+#: Numbers of a case that conditions and severity rules judge.
+METRICS = ("uplink_rssi", "security_failure_pct", "pZeroNominalPucch_deviation", "pZeroNominalPusch_deviation")
+
 
 def _with_tool(value: str, tool: str, tools_col: str) -> Column:
     return F.when(F.array_contains(tools_col, tool), F.col(value))
@@ -74,13 +80,15 @@ def measured_cases(
     return append_section(cases, TRACE_STATISTICS, outcomes, where=uses_traces)
 
 
-def analysed_cases(measured: DataFrame) -> DataFrame:
+def analysed_cases(
+    measured: DataFrame, conditions: Sequence[Condition] = CONDITIONS, severity_rules: Sequence[SeverityRule] = SEVERITY_RULES
+) -> DataFrame:
     """Findings, actions and severity: one projection over the measured cases."""
-    cases = suggest_actions(analyze_incidents(measured))
+    cases = suggest_actions(analyze_incidents(measured, conditions))
     # Severity may use the uplink level only if the incident's severity rules ask for it.
     level = _with_tool("uplink_rssi", "get_uplink_rssi_level", "severity_determination_rule_tools")
     graded = classify_severity(
-        cases.withColumn("_level", F.col("uplink_rssi")).withColumn("uplink_rssi", level)
+        cases.withColumn("_level", F.col("uplink_rssi")).withColumn("uplink_rssi", level), severity_rules
     )
     return graded.withColumn("uplink_rssi", F.col("_level")).drop("_level")
 
@@ -107,25 +115,38 @@ def analyse_incidents(
     traces: DataFrame,
     performance: DataFrame,
     cell_config: DataFrame,
-    known: DataFrame,
+    known: DataFrame | None,
     documents: DataFrame,
     pages: DataFrame,
     allow: DataFrame,
     *,
     dim: int = 64,
+    k: int = TOP_K,
     cutoff: float = CUTOFF,
     likely: float = LIKELY,
+    exclude_self: bool = False,
+    digits: int | None = None,
+    conditions: Sequence[Condition] = CONDITIONS,
+    severity_rules: Sequence[SeverityRule] = SEVERITY_RULES,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Complete cases with report, severity, event log and embedding, ready for the update.
 
-    The measured and embedded cases are written once to the checkpoint folder: search, report
+    Without ``known`` the incidents are compared with each other (``exclude_self`` leaves out their own rows). ``digits``
+    rounds the metrics before they are judged and written down; ``index`` is a written index of ``documents``. The measured and embedded cases are written once to the checkpoint folder: search, report
     and update all read them.
     """
     incidents = cut_lineage(incidents)
-    cases = analysed_cases(measured_cases(incidents, rules, traces, performance, cell_config))
+    measured = measured_cases(incidents, rules, traces, performance, cell_config)
+    if digits is not None:
+        measured = measured.withColumns({c: F.round(c, digits) for c in METRICS})
+    cases = analysed_cases(measured, conditions, severity_rules)
     cases = cut_lineage(embed_texts(cases, "events", dim, "events_embeddings"))
-    similar = prior_incidents(cases, known, cutoff=cutoff, likely=likely)
-    internal = retrieve_docs(cases, documents)
+    if known is None:
+        unknown = F.lit(None).cast("string")
+        known = cases.withColumns({c: unknown for c in ("final_analysis", "cause", "resolution")})
+    similar = prior_incidents(cases, known, k=k, cutoff=cutoff, likely=likely, exclude_self=exclude_self)
+    internal = retrieve_docs(cases, documents, index=index)
     external = retrieve_pages(cases, pages, allow)
 
     def packed(df: DataFrame, name: str) -> DataFrame:

@@ -578,3 +578,78 @@ from (
   select enodeb_id, cell_id, kpi, 'late', kpi_value, measurement_end, measurement_end, 1
   from missed where measurement_end < date '2024-01-10') s
 join kpi_text t on s.kpi = t.kpi""")
+ORACLES["insert_incidents_default"] = sql("""
+select incident_id, start_ts, end_ts, status, description, enodeb_id, cell_id, 0 embedding_size, true created_now, true no_severity from candidates""")
+ORACLES["case_state"] = sql("""
+select incident_id, kpi_value > 60 damaged,
+       case when kpi_value <= 60 then start_ts end start_ts, case when kpi_value <= 60 then end_ts end end_ts,
+       case when kpi_value <= 60 then status end status, case when kpi_value <= 60 then description end description,
+       case when kpi_value <= 60 then enodeb_id end enodeb_id, case when kpi_value <= 60 then cell_id end cell_id,
+       case when kpi_value <= 60 then kpi_missed end kpi_missed,
+       case when kpi_value > 60 then null when kpi_value > 40 then '{"shift":{"from":22,"name":"night"}}' else '{}' end as unknown
+from candidates""")
+ORACLES["cell_trace_levels"] = sql("""
+select start_enodeb_id, start_cell_id, pZeroNominalPucch, count(*) traces, max(starttime) last_start
+from cell_traces join cell_config on start_enodeb_id = enodeb_id and start_cell_id = cell_id
+group by all""")
+_MINED = """
+toks as (select regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
+pairs as (
+  select least(a, b) a, greatest(a, b) b
+  from (select w[i] a, w[i + d] b from toks, unnest(range(1, len(w))) u(i), unnest(range(1, 5)) v(d) where i + d <= len(w))
+  where a <> b),
+met as (select a, b, count(*) n from pairs group by a, b),
+both_ways as (select a term, b related, n from met union all select b, a, n from met),
+of_term as (select term, sum(n) c from both_ways group by term),
+informed as (
+  select p.term, p.related, p.n, round(ln(p.n * (select sum(c) from of_term)::double / (x.c::double * y.c)), 6) information
+  from both_ways p join of_term x on x.term = p.term join of_term y on y.term = p.related where p.n >= 5),
+mined as (
+  select * from informed where information >= 0.5
+  qualify row_number() over (partition by term order by information desc, n desc, related) <= 3)"""
+ORACLES["mine_related"] = f"with {_MINED} select term, related, n, information from mined"
+ORACLES["expand_query_mined"] = f"""
+with {_MINED},
+asked as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from benchmark)
+select query_id, term from asked union select a.query_id, m.related from asked a join mined m on a.term = m.term"""
+
+
+def _answers(docs: str, link: str) -> str:
+    return f"""(with {_bm25(docs, INCIDENT_QUESTIONS, 10)} {PASSAGES}
+  select r.query_id, string_agg(r.passage, chr(10) order by r.rank) answer,
+         string_agg(concat('- [', d.title, '](', {link}, ')'), chr(10) order by r.rank) links
+  from passages r join docs d on r.doc_id = d.doc_id group by r.query_id)"""
+
+
+# Severity rules see the uplink level only where the incident's rules ask for it.
+ORACLES["analyse_incidents"] = sql(f"""
+select s.incident_id, case s.hit when 3 then 'MEDIUM' when 1 then 'HIGH' when 2 then 'HIGH' when 4 then 'HIGH' else 'LOW' end severity,
+       l.events, 64 embedding_size, concat_ws(chr(10) || chr(10),
+  concat('## 1. Incident description', chr(10), s.description, chr(10), g.general_info),
+  concat('## 2. Root cause analysis', chr(10), s.analysis),
+  concat('## 3. Severity level', chr(10),
+    case s.hit when 3 then 'MEDIUM' when 1 then 'HIGH' when 2 then 'HIGH' when 4 then 'HIGH' else 'LOW' end, '. ',
+    case s.hit when 1 then concat('erab_success_rate = ', cast(s.kpi_value as varchar), ' is lt 50.0')
+               when 2 then concat('retainability = ', cast(s.kpi_value as varchar), ' is gt 40.0')
+               when 3 then concat('uplink_rssi = ', cast(s.rssi as varchar), ' is lt -116.0')
+               when 4 then concat('uplink_rssi = ', cast(s.rssi as varchar), ' is gt -112.0')
+               else concat('no severity rule holds for ', s.kpi) end),
+  concat('## 4. Similar prior incidents', chr(10), coalesce(p.prior, 'No relevant information.')),
+  concat('## 5. Internal documentation', chr(10), coalesce(a.answer, {_quoted(NO_INTERNAL)})),
+  concat('## 6. External documentation', chr(10), coalesce(b.answer, {_quoted(NO_EXTERNAL)})),
+  concat('## 7. Recommendations', chr(10), case when x.adjust then
+    '{ADJUST} (SUGGESTED): The uplink configuration differs from the optimum by more than 5%' else 'No relevant information.' end),
+  concat('## 8. References', chr(10), coalesce(concat_ws(chr(10), a.links, b.links), 'No relevant information.'))) report
+from (
+  select z.*, case when z.kpi = 'erab_success_rate' then case when z.kpi_value < 50 then 1 end
+                   when z.kpi_value > 40 then 2
+                   when list_contains(k.severity_tools, 'get_uplink_rssi_level') and z.rssi < -116 then 3
+                   when list_contains(k.severity_tools, 'get_uplink_rssi_level') and z.rssi > -112 then 4 end hit
+  from analyzed z join collected k on k.incident_id = z.incident_id) s
+join general g on s.incident_id = g.incident_id
+join acting x on x.incident_id = s.incident_id
+join logs l on l.incident_id = s.incident_id
+left join (select incident_id, string_agg({_LOG_BLOCK}, chr(10) order by distance, base_id) prior
+           from near_logs where distance <= 0.5 group by incident_id) p on p.incident_id = s.incident_id
+left join {_answers(INTERNAL_DOCS, f"concat('{DOCUMENT_PREFIX}', d.doc_id)")} a on a.query_id = concat(s.description, ' ', s.kpi)
+left join {_answers(PAGE_TEXT, "d.url")} b on b.query_id = concat(s.description, ' ', s.kpi)""")

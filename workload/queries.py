@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from cellwarden.plans import detect, rca
 from cellwarden.schemas import CELL_TRACES, PERFORMANCE
 from cellwarden.session import configure, cut_lineage, scratch_path
 from cellwarden.sources import csv, layout, versions
+from cellwarden.sources import case_state as case_files
 from cellwarden.sources import rules as rule_files
 from cellwarden.streaming import kpi as kpi_stream
 from cellwarden.streaming import session_state
@@ -310,6 +312,50 @@ def _stored_and_failed(updated, failed):
     return stored.unionByName(errors)
 
 
+def insert_incidents_default(spark, sf):
+    """Incidents inserted by name without ``created_ts`` and the embedding, which get the table's defaults."""
+    name = f"incidents_{uuid.uuid4().hex}"
+    incidents.create_table(spark, name, scratch_path(spark, "incident-table"))
+    found = candidates(spark, sf).select("incident_id", "start_ts", "end_ts", "status", "description", "enodeb_id", "cell_id")
+    incidents.append_to_table(found, name)
+    age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("created_ts")
+    return plain(
+        spark.table(name).select(
+            *found.columns, F.size("events_embeddings").alias("embedding_size"), age.between(0, 3600).alias("created_now"),
+            F.col("severity").isNull().alias("no_severity"),
+        )
+    )
+
+
+def case_state(spark, sf):
+    """Cases to JSON and back: texts of newer writers with one more field, and texts cut off where the value is above 60."""
+    cases = candidates(spark, sf)
+    texts = case_files.write_state(cases)
+    more = F.concat(F.expr("substr(state, 1, length(state) - 1)"), F.lit(',"shift":{"name":"night","from":22}}'))
+    value = F.get_json_object("state", "$.kpi_missed[0].value").cast("double")
+    sent = texts.withColumn("state", F.when(value > 60, F.expr("substr(state, 1, length(state) - 3)")).when(value > 40, more).otherwise(F.col("state")))
+    read = case_files.read_state(sent, cases.schema)
+    again = case_files.read_state(case_files.write_state(read.where("damaged is null")), cases.schema)
+    back = again.unionByName(read.where("damaged is not null"))
+    return plain(
+        back.withColumn("kpi_missed", kpi_text()).withColumn("unknown", F.to_json("unknown"))
+        .withColumn("damaged", F.col("damaged").isNotNull())
+    )
+
+
+def cell_trace_levels(spark, sf):
+    """Traces in buckets by cell meet the configuration of their cell without being shuffled."""
+    rows = derived(spark, sf, "cell_traces")
+    cells = ["start_enodeb_id", "start_cell_id"]
+    name = f"traces_{uuid.uuid4().hex}"
+    table_ = layout.write_bucketed(rows, name, cells, ["starttime"], scratch_path(spark, "buckets"), 16)
+    config = derived(spark, sf, "cell_config").select(
+        F.col("enodeb_id").alias("start_enodeb_id"), F.col("cell_id").alias("start_cell_id"), "pZeroNominalPucch"
+    )
+    joined = table_.join(config.hint("merge"), cells)
+    return joined.groupBy(*cells, "pZeroNominalPucch").agg(F.count("*").alias("traces"), F.max("starttime").cast("timestamp_ntz").alias("last_start"))
+
+
 def layout_partitioned(spark, sf):
     path = scratch_path(spark, "traces")
     rows = derived(spark, sf, "cell_traces")
@@ -633,6 +679,16 @@ def expand_query(spark, sf):
     return search.expand_query(terms, parts.select(F.inline(pairs)))
 
 
+def expand_query_mined(spark, sf):
+    """Questions widened by terms that the documents' texts show near theirs."""
+    related = search.mine_related(table(spark, sf, "documents"), cut=0.5)
+    return search.expand_query(search.query_terms(questions(spark, sf)), related)
+
+
+def mine_related(spark, sf):
+    return plain(search.mine_related(table(spark, sf, "documents"), cut=0.5))
+
+
 def _references_text(col: str = "references"):
     lines = F.transform(col, lambda r: F.concat(r["url"], F.lit(" "), r["title"]))
     return F.array_join(lines, "\n").alias(col)
@@ -696,6 +752,18 @@ def build_report(spark, sf):
     return report.build_report(cases.join(internal, "incident_id", "left")).select("incident_id", "report")
 
 
+def analyse_incidents(spark, sf):
+    """The whole analysis: measured cases, findings, severity, similar incidents, both kinds of documents, actions and report."""
+    docs = table(spark, sf, "documents").withColumnRenamed("source", "title")
+    pages = table(spark, sf, "pages")
+    cases = rca.analyse_incidents(
+        candidates(spark, sf), derived(spark, sf, "rules"), derived(spark, sf, "cell_traces"), performance(spark, sf),
+        derived(spark, sf, "cell_config"), None, docs, pages, pages.where(F.col("url").contains(".example.com/")).select("url"),
+        likely=0.4, exclude_self=True, digits=6, conditions=CONDITIONS, severity_rules=SEVERITY_RULES, index=document_index(spark, sf),
+    )
+    return cases.select("incident_id", "severity", "events", F.size("events_embeddings").alias("embedding_size"), "report")
+
+
 NAMES = """
 load_performance load_cell_traces csv_to_jsonl load_rules insert_rules upsert_rules upsert_rules_files get_incident
 create_incidents update_incidents update_incidents_files layout_partitioned refresh_kpi_view merge_kpi_view
@@ -708,6 +776,7 @@ embed_events nonempty_embeddings vector_topk distance_cutoff match_label vector_
 format_prior_incidents prior_incidents
 search_rules snippets passages spell_correct expand_query internal_docs external_docs extract_references
 grounding_gate append_section general_info_section trace_section build_report
+insert_incidents_default case_state cell_trace_levels mine_related expand_query_mined analyse_incidents
 """.split()
 
 
@@ -718,4 +787,4 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
-QUERIES = {name: _prepared(globals()[name]) for name in NAMES}
+QUERIES = {name: _prepared(globals()[name]) for name in NAMES}
\ No newline at end of file
