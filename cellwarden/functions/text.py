@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +74,35 @@ def segment_probes(term: Column, max_dist: int) -> Column:
                 letters = F.substr(term, (start + move + 1).cast("int"), size.cast("int"))
                 probes.append(F.when(inside, F.struct(length.alias("length"), F.lit(i).alias("number"), letters.alias("letters"))))
     return F.array_distinct(F.array_compact(F.array(*probes)))
+
+
+def bounded_distance(a: str, b: str, most: int) -> int | None:
+    """Edit distance of two texts if it is at most ``most``, in time of their length times ``most``."""
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    stop = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - stop], b[: len(b) - stop]
+    if abs(len(a) - len(b)) > most:
+        return None
+    row = {j: j for j in range(min(most, len(b)) + 1)}  # only places beside the diagonal can stay within the bound
+    for i, x in enumerate(a, start=1):
+        above, row = row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            options = [above[j] + 1] if j in above else []
+            if j:
+                options += [row[j - 1] + 1] if j - 1 in row else []
+                options += [above[j - 1] + (x != b[j - 1])] if j - 1 in above else []
+            row[j] = min(options)
+        if min(row.values()) > most:
+            return None
+    return row[len(b)] if row.get(len(b), most + 1) <= most else None
+
+
+def long_distance(a: Column, b: Column, most: int) -> Column:
+    """``levenshtein`` with a bound, for long texts: the built-in function takes the product of their lengths. Beyond the bound: -1."""
+
+    def distances(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = [bounded_distance(x, y, most) for x, y in zip(left, right)]
+        return pd.Series([-1 if d is None else d for d in found], dtype="int32")
+
+    return F.pandas_udf(distances, "int")(a, b)

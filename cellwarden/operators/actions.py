@@ -80,19 +80,35 @@ def actions_toolset(cases: DataFrame) -> DataFrame:
 
 
 def issue_adjustments(cases: DataFrame, approved: DataFrame) -> DataFrame:
-    """Requests for the suggested uplink adjustments approved as (incident_id, tool_name)."""
+    """Requests for the suggested uplink adjustments approved as (incident_id, tool_name, parameters).
+
+    An approval holds for the exact parameters it names; ``parameters`` is a map, and its absence approves an action whatever
+    its parameters are. The request id is made from incident, tool and parameters, so a changed action is a new request.
+    """
     actions = (
         cases.select("incident_id", F.explode(_existing(cases)).alias("a"))
         .where((F.col("a.status") == SUGGESTED) & (F.col("a.tool_name") == ADJUST))
         .select("incident_id", F.col("a.tool_name").alias("tool_name"), "a.parameters")
+        .withColumn("_with", parameter_text(F.col("parameters")))
     )
     keys = ["incident_id", "tool_name"]
-    chosen = lookup_join(actions, approved.select(*keys).distinct(), keys, "left_semi")
+    if "parameters" in approved.columns:
+        given = approved.select(*keys, parameter_text(F.col("parameters")).alias("_with")).distinct()
+        chosen = lookup_join(actions, given, [*keys, "_with"], "left_semi")
+    else:
+        chosen = lookup_join(actions, approved.select(*keys).distinct(), keys, "left_semi")
     return chosen.select(
-        F.sha2(F.concat_ws("|", *keys), 256).alias("request_id"),
+        F.sha2(F.concat_ws("|", *keys, "_with"), 256).alias("request_id"),
         "incident_id",
         "tool_name",
         F.col("parameters")["enodeb_id"].alias("enodeb_id"),
         F.col("parameters")["cell_id"].alias("cell_id"),
         F.lit(ADJUSTMENT_ISSUED).alias("details"),
     )
+
+
+def parameter_text(parameters: Column) -> Column:
+    """Parameters as one text in order of their names; empty for none."""
+    entries = F.array_sort(F.map_entries(parameters))
+    lines = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return F.coalesce(F.array_join(lines, "|"), F.lit(""))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwarden.functions.passages import passage
-from cellwarden.functions.text import first_hit, segment_probes, segments, snippet, tokens
+from cellwarden.functions.text import first_hit, long_distance, segment_probes, segments, snippet, tokens
 from cellwarden.operators.text_index import SCORE_DIGITS, TextIndex, scratch_index, search_index
 from cellwarden.scale import lookup_join
 from cellwarden.session import cut_lineage
@@ -24,6 +24,9 @@ RULE_TEXT = (
     "author",
 )
 
+#: Letters beyond which two terms are compared beside the diagonal only.
+LONG_TERM = 64
+
 
 def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """Distinct (query_id, term) of free-text queries."""
@@ -76,10 +79,20 @@ def spell_correct(terms: DataFrame, vocab: DataFrame, max_dist: int = 1) -> Data
     left = open_terms.select("term", F.explode(segment_probes(F.col("term"), max_dist)).alias("_part"))
     right = vocab.select(F.col("term").alias("found"), "df", F.explode(segments(F.col("term"), max_dist)).alias("_part"))
     part = [F.col(f"_part.{c}").alias(f"_{c}") for c in ("length", "number", "letters")]
+
+    def near(some: Column, distance: Column) -> DataFrame:
+        """Candidates whose common length is ``some``."""
+        pairs = lookup_join(
+            right.select("found", "df", *part).where(some), left.select("term", *part).where(some), ["_length", "_number", "_letters"]
+        )
+        return pairs.select("term", "found", "df").distinct().withColumn("distance", distance)
+
+    is_long = F.col("_length") > LONG_TERM
+    candidates = near(~is_long, F.levenshtein("term", "found", max_dist)).unionByName(
+        near(is_long, long_distance(F.col("term"), F.col("found"), max_dist))
+    )
     best = (
-        lookup_join(right.select("found", "df", *part), left.select("term", *part), ["_length", "_number", "_letters"])
-        .withColumn("distance", F.levenshtein("term", "found", max_dist))
-        .where(F.col("distance") >= 0)
+        candidates.where(F.col("distance") >= 0)
         .groupBy("term")
         .agg(F.min(F.struct("distance", (-F.col("df")).alias("_rare"), "found")).alias("_best"))
     )

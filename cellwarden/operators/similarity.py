@@ -24,6 +24,8 @@ LIKELY = 0.9
 LIKELY_LABEL = "likely match"
 OTHER_LABEL = "somewhat similar"
 UNDETERMINED = "Not yet determined"
+# Own text: the state of a query that has no embedding.
+NOT_COMPARED = "error: the event log has no embedding"
 NONE_FOUND = "no similar incidents found"
 
 # A query set of up to this many numbers (64 MB) is sent to every task as one matrix.
@@ -279,7 +281,8 @@ def format_prior_incidents(matches: DataFrame, queries: DataFrame) -> DataFrame:
     """One text block per match, collected per query in order of distance.
 
     ``matches`` needs query_id, base_id, distance, rank, match, events, final_analysis, cause
-    and resolution, at most k rows per query. A query without matches gets the status text.
+    and resolution, at most k rows per query. A query without matches gets the status text; one whose ``events_embeddings``
+    are null or empty could not be compared and says so.
     """
 
     def part(title: str, text) -> list:
@@ -299,14 +302,16 @@ def format_prior_incidents(matches: DataFrame, queries: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("rank", block.alias("text")))), lambda m: m["text"]
         ).alias("prior_incidents")
     )
+    failed = F.lit(False)
+    if "events_embeddings" in queries.columns:
+        failed = F.coalesce(F.size("events_embeddings") < 1, F.lit(True))
     return (
-        queries.select(F.col("incident_id").alias("query_id"))
+        queries.select(F.col("incident_id").alias("query_id"), failed.alias("_failed"))
         .join(found, "query_id", "left")
         .select(
             F.col("query_id").alias("incident_id"),
-            F.when(F.col("prior_incidents").isNull(), NONE_FOUND).otherwise("success").alias(
-                "prior_incidents_status"
-            ),
+            F.when(F.col("_failed"), NOT_COMPARED).when(F.col("prior_incidents").isNull(), NONE_FOUND)
+            .otherwise("success").alias("prior_incidents_status"),
             F.coalesce("prior_incidents", F.array().cast("array<string>")).alias("prior_incidents"),
         )
     )

@@ -33,9 +33,19 @@ def uplink_rssi(incidents: DataFrame, performance: DataFrame, **options) -> Data
 
 
 def uplink_configuration(cases: DataFrame, cell_config: DataFrame) -> DataFrame:
-    """Add the power settings of the cell; one configuration row per cell is expected."""
-    config = cell_config.select(*CELL, *OPTIMUM)
-    return lookup_join(cases, config, CELL, "left")
+    """Add the power settings of the cell.
+
+    Equal configuration rows of a cell count once; a cell with different ones stops the analysis with an error, as neither
+    of them can be called the right one.
+    """
+    config = cell_config.groupBy(*CELL).agg(*[F.collect_set(F.struct(c)).alias(c) for c in OPTIMUM])
+
+    def single(name: str) -> Column:
+        cell = F.concat_ws("/", *CELL)
+        several = F.raise_error(F.concat(F.lit(f"several values of {name} for cell "), cell)).cast("double")
+        return F.when(F.size(name) > 1, several).otherwise(F.col(name)[0][name]).alias(name)
+
+    return lookup_join(cases, config.select(*CELL, *[single(c) for c in OPTIMUM]), CELL, "left")
 
 
 def rssi_out_of_range(rssi: Column, low: float = RSSI_RANGE[0], high: float = RSSI_RANGE[1]) -> Column:

@@ -42,14 +42,15 @@ def write_partitioned(
 
 
 def write_bucketed(
-    df: DataFrame, table: str, cluster_cols: Sequence[str], sort_cols: Sequence[str], path: str, buckets: int
+    df: DataFrame, table: str, cluster_cols: Sequence[str], sort_cols: Sequence[str], path: str, buckets: int | None = None
 ) -> DataFrame:
     """Write a catalog table whose rows lie in buckets by ``cluster_cols``, sorted inside, one file each; returns the table.
 
-    Joins and aggregates by these columns read bucket by bucket and do not shuffle the table. A bucket is read by one
-    task, so ``buckets`` should leave even that of the largest cell within a task's memory; for tables where one cell
-    holds far more than a fair share the day layout is the better one.
+    Joins and aggregates by these columns read bucket by bucket and do not shuffle the table, if it has at least as many buckets
+    as a shuffle has partitions (the default); with fewer Spark prefers to shuffle it. A bucket is read by one task, in order, so for a table
+    where one cell holds far more than a fair share the day layout is the better one.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         df.repartition(buckets, *cluster_cols)
         .write.bucketBy(buckets, *cluster_cols).sortBy(*cluster_cols, *sort_cols)

@@ -446,7 +446,7 @@ union all
 select incident_id, 'none', null, null, '', null, {_quoted(NO_ACTIONS)} from acting where not earlier and not adjust"""),
     "actions_toolset": sql(f"select incident_id, case when adjust then '{ADJUST}' else '' end action_tools from acting"),
     "issue_adjustments": sql(f"""
-select sha256(concat(incident_id, '|{ADJUST}')) request_id, incident_id, '{ADJUST}' tool_name,
+select sha256(concat(incident_id, '|{ADJUST}|cell_id=', cell_id, '|enodeb_id=', enodeb_id)) request_id, incident_id, '{ADJUST}' tool_name,
        enodeb_id, cell_id, {_quoted(ADJUSTMENT_ISSUED)} details from acting where adjust and kpi_value < 40"""),
     "embed_events": """
 with counts as (

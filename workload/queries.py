@@ -348,7 +348,7 @@ def cell_trace_levels(spark, sf):
     rows = derived(spark, sf, "cell_traces")
     cells = ["start_enodeb_id", "start_cell_id"]
     name = f"traces_{uuid.uuid4().hex}"
-    table_ = layout.write_bucketed(rows, name, cells, ["starttime"], scratch_path(spark, "buckets"), 16)
+    table_ = layout.write_bucketed(rows, name, cells, ["starttime"], scratch_path(spark, "buckets"))
     config = derived(spark, sf, "cell_config").select(
         F.col("enodeb_id").alias("start_enodeb_id"), F.col("cell_id").alias("start_cell_id"), "pZeroNominalPucch"
     )
@@ -561,7 +561,10 @@ def actions_toolset(spark, sf):
 
 def issue_adjustments(spark, sf):
     cases = _acting(spark, sf)
-    approved = cases.where(kpi_value() < 40).select("incident_id", F.lit(actions.ADJUST).alias("tool_name"))
+    cell = F.create_map(F.lit("cell_id"), "cell_id", F.lit("enodeb_id"), "enodeb_id")
+    approved = cases.where(kpi_value() < 40).select("incident_id", F.lit(actions.ADJUST).alias("tool_name"), cell.alias("parameters"))
+    other = F.create_map(F.lit("cell_id"), F.lit("another"), F.lit("enodeb_id"), "enodeb_id")  # no action has these parameters
+    approved = approved.unionByName(cases.where(kpi_value() >= 40).select("incident_id", F.lit(actions.ADJUST).alias("tool_name"), other.alias("parameters")))
     return actions.issue_adjustments(cases, approved)
 
 
