@@ -1,19 +1,22 @@
-"""Find secrets in texts: long runs of key characters, with a random forest that removes false findings.
+"""Find secrets in texts: assigned values and long runs of key characters, with a random forest that removes false findings.
 
-A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/_-``. Its features are its length, its
+Candidates are whole values assigned to a name for secrets (``password = "..."``, ``pwd: ...``), quoted or up to the next white space
+or one of ``,;<>``, of any length and signs; passwords in addresses (``://user:password@``); and other runs of at least
+``SHORTEST`` letters, digits and ``+/_-``, which need no name. The features of a candidate are its length, its
 characters and the changes between their kinds, the share of its letters that the corpus's dictionary covers, whether it
 looks like a path, and the words and signs beside it. The dictionary is the letter triples of words that make up at least
-``WORD_SHARE`` of all words.
+``WORD_SHARE`` of all words, counted over all texts.
 
 The forest is fitted by Spark ML on labelled findings, at most ``sample`` of each class. Without labels of its own a
 corpus labels its clear cases: a candidate of hexadecimal or mixed characters that is assigned to a name for
-secrets is one; one of letters alone that is assigned to nothing, or that a word for checksums names, is not. The others, and these,
+secrets is one; one of letters alone that is assigned to nothing, or that a word for checksums names, is not; nor is a bare
+value of dictionary letters, of less than four letters, or a bare number of less than six digits. The others, and these,
 are then judged by the forest. Its trees are sent as arrays to the tasks, which find, judge and replace candidates in one pass over the
 texts without a shuffle.
 
 Defined results: null and empty texts have no candidates and stay as they are. Places are bytes of the UTF-8
-text. Rows that repeat give repeated findings. Without labelled findings of both classes every candidate
-gets the share of secrets among the labelled ones, 0.5 without any. Further columns are kept by ``redact``.
+text. Rows that repeat give repeated findings. Without labelled findings of both classes there is no forest: clear cases of
+secrets get probability 1, all other candidates 0. Further columns are kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwarden.llm.tables import Scratch
-from cellwarden.llm.textbatch import chunks, distinct, hashes, lower, spans, words
+from cellwarden.llm.textbatch import chunks, hashes, lower, spans, words
 
 SHORTEST = 16
 WORD_SHARE = 5e-5
@@ -48,49 +51,71 @@ _KIND[list(b"0123456789")] = 3
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 _SECRET = re.compile(rb"(?i)(token|secret|passw|pwd|api|key|auth|credential|bearer|access)")
+#: A name for secrets, and the value assigned to it: in quotes, or up to white space and some signs, without a stop at its end.
+_VALUE = re.compile(
+    rb"(?i)(?:token|secret|passw|pwd|api_?key|auth|credential|bearer|access)[A-Za-z0-9_.-]{0,64}[\"'`]?\s{0,8}(?:=>|:=|[:=])\s{0,8}"
+    rb"(?:\"([^\"\n]{1,4096})\"|'([^'\n]{1,4096})'|`([^`\n]{1,4096})`|([^\s\"'`,;<>]*[^\s\"'`,;<>.)\]}]))"
+)
+#: The password of an address.
+_ADDRESS = re.compile(rb"://[^\s/:@]{1,256}:([^\s/@]{1,256})@")
 _CHECKSUM = re.compile(rb"(?i)(sha\d*|md5|hash|checksum|digest|commit|revision|etag|uuid)$")
 _BEFORE = re.compile(rb"([A-Za-z][A-Za-z0-9_-]*)([\s\"'`:=>]*)$")
 _WORD = re.compile(rb"^\W*[A-Za-z]{2,}\W*(?:\s|$)")
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) of the words that are frequent in a slab, and (null, words) of the slab."""
-    slab, held = {}, 0
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash of a word, count) of each slab of texts, and (null, words) of it."""
+    slab, held = [], 0
 
     def rows() -> pa.RecordBatch:
-        often = {w: n for w, n in slab.items() if n >= WORD_SHARE * held}
+        word, n = np.unique(np.concatenate(slab), return_counts=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([*often, None], pa.binary()), pa.array([*often.values(), held], pa.int64())], names=["word", "n"]
+            [pa.array([*word.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), held], pa.int64())], names=["word", "n"]
         )
 
     for batch in batches:
         for _, data, offsets in chunks(batch.column(0)):
-            data = lower(data)
-            found, starts, ends, _ = words(data, offsets)
-            _, first, number = distinct(found)
-            count = np.bincount(number, minlength=len(first))
-            # A frequent word of the slab is met more than once in this part, or is in few parts of it.
-            for i in np.flatnonzero(count > 1).tolist():
-                w = data[starts[first[i]] : ends[first[i]]].tobytes()
-                slab[w] = slab.get(w, 0) + int(count[i])
+            found = words(lower(data), offsets)[0]
+            slab.append(found)
             held += len(found)
             if held >= SLAB:
                 yield rows()
-                slab, held = {}, 0
+                slab, held = [], 0
     if held:
         yield rows()
 
 
+def _spelled(batches: Iterator[pa.RecordBatch], often) -> Iterator[pa.RecordBatch]:
+    """The letters of each frequent word, once for each task."""
+    wanted, seen = often.value, np.zeros(len(often.value), bool)
+    for batch in batches:
+        made = []
+        for _, data, offsets in chunks(batch.column(0)):
+            data = lower(data)
+            found, starts, ends, _ = words(data, offsets)
+            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+            new = np.flatnonzero((wanted[at] == found) & ~seen[at])
+            number, first = np.unique(at[new], return_index=True)
+            seen[number] = True
+            made += [data[starts[i] : ends[i]].tobytes() for i in new[first].tolist()]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["word"])
+
+
 def dictionary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Which letter triples (26 ** 3 of them) occur in frequent words; 1 / WORD_SHARE words at most reach the driver."""
-    scratch = Scratch(docs.sparkSession)
-    counts = scratch.keep(
-        docs.select(F.col(f"`{text_col}`")).mapInArrow(_dictionary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
-        "words",
-    )
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    texts = docs.select(F.col(f"`{text_col}`"))
+    counts = scratch.keep(texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    often = [r["word"] for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= WORD_SHARE * total)).select("word").collect()]
+    scratch.drop(counts)
     table = np.zeros(26**3, bool)
-    for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= WORD_SHARE * total)).select("word").collect():
+    if not often:
+        return table
+    sent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
+    for r in texts.mapInArrow(partial(_spelled, often=sent), "word binary").distinct().collect():
         letters = np.frombuffer(bytes(r["word"]), np.uint8).astype(np.int64) - 97
         triple = np.stack([letters[:-2], letters[1:-1], letters[2:]]) if len(letters) > 2 else np.zeros((3, 0), np.int64)
         triple = triple[:, ((triple >= 0) & (triple < 26)).all(axis=0)]
@@ -98,11 +123,42 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
+def named_values(raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Start and end of each value assigned to a name for secrets, and of each password in an address (marked); none crosses a text's end."""
+    found, ends = [], offsets.tolist()
+    for pattern, address in ((_VALUE, False), (_ADDRESS, True)):
+        at = 0
+        while met := pattern.search(raw, at):
+            limit = ends[int(np.searchsorted(offsets, met.start(), "right"))]
+            if met.end() > limit:
+                met = pattern.search(raw, met.start(), limit)
+                if not met:
+                    at = limit
+                    continue
+            found.append((*met.span(met.lastindex), address))
+            at = met.end()
+    found.sort()
+    kept: list[tuple[int, int, bool]] = []
+    for value in found:
+        if not kept or value[0] >= kept[-1][1]:
+            kept.append(value)
+    return kept
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text and features of every candidate."""
+    raw = data.tobytes()
+    values = named_values(raw, offsets)
+    first, last = (np.array([v[i] for v in values], np.int64) for i in (0, 1))
     starts, ends = spans(data, offsets, ~_RUN)
-    long = ends - starts >= SHORTEST
-    starts, ends = starts[long], ends[long]
+    alone = ends - starts >= SHORTEST
+    if values:  # runs beside the values only
+        following = np.searchsorted(last, starts, "right")
+        alone &= (following == len(last)) | (first[np.minimum(following, len(last) - 1)] >= ends)
+    starts, ends = np.append(starts[alone], first), np.append(ends[alone], last)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
+    in_address = np.append(np.zeros(int(alone.sum()), bool), [v[2] for v in values])[order].astype(bool)
     text = np.searchsorted(offsets, starts, "right") - 1
     n = ends - starts
     sums = lambda flags: np.append(0, np.cumsum(flags))
@@ -121,10 +177,9 @@ def candidates(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tupl
     covered = inside[np.maximum(ends - 2, starts)] - inside[starts]
     rows = np.zeros((len(starts), len(FEATURES)))
     slash = share(data == 0x2F)
-    rows[:, 0], rows[:, 1] = n, changes / (n - 1)
+    rows[:, 0], rows[:, 1] = n, changes / np.maximum(n - 1, 1)
     rows[:, 2], rows[:, 3], rows[:, 4] = share(kind == 3) / n, share(kind == 2) / n, share(_HEX[data]) / n
     rows[:, 6], rows[:, 7], rows[:, 8] = covered / np.maximum(n - 2, 1), slash, share(kind == 0) - slash
-    raw = data.tobytes()
     low, high = offsets[text], offsets[text + 1]
     for i, (a, b, u, v) in enumerate(zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist())):
         before, after = raw[max(u, a - BESIDE) : a], raw[b : min(v, b + BESIDE)]
@@ -137,19 +192,27 @@ def candidates(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tupl
             rows[i, 13] = bool(_CHECKSUM.search(name[1]))
         rows[i, 11] = before.endswith((b'"', b"'", b"`")) and after.startswith((b'"', b"'", b"`"))
         rows[i, 14] = bool(_WORD.search(after)) + bool(name and not name[2].strip())
+    rows[in_address, 10] = rows[in_address, 12] = 1
     return starts, ends, text, rows
 
 
+def clear_cases(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates are secrets in any case, and which are none."""
+    at = {name: rows[:, k] for k, name in enumerate(FEATURES)}
+    secret = (at["secret_word"] == 1) & (at["digits"] > 0) & (at["digits"] < 1) & (at["checksum_word"] == 0)
+    bare = (at["quoted"] == 0) & (at["joints"] == 0)
+    plain = bare & (at["digits"] == 0) & ((at["covered"] >= 0.9) | (at["length"] < 4))
+    number = bare & (at["digits"] == 1) & (at["length"] < 6)
+    return secret, ((at["digits"] == 0) & (at["assigned"] == 0)) | (at["checksum_word"] == 1) | plain | number
+
+
 def _examples(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """Features and label of the clear cases, and a hash to choose among them."""
     table = known.value
     for batch in batches:
         for _, data, offsets in chunks(batch.column(0)):
             starts, ends, _, rows = candidates(data, offsets, table)
-            at = {name: rows[:, k] for k, name in enumerate(FEATURES)}
-            mixed = (at["digits"] > 0) & (at["digits"] < 1)
-            secret = (at["secret_word"] == 1) & mixed & (at["checksum_word"] == 0)
-            harmless = ((at["digits"] == 0) & (at["assigned"] == 0)) | (at["checksum_word"] == 1)
+            secret, harmless = clear_cases(rows)
             clear = np.flatnonzero(secret | harmless)
             columns = [pa.array(rows[clear, k]) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays(
@@ -168,7 +231,7 @@ def labelled_findings(docs: DataFrame, known: np.ndarray, text_col: str = "text"
 def fit(findings: DataFrame, sample: int = 5000, trees: int = 20, depth: int = 5) -> list[tuple]:
     """Trees (feature, threshold, left, right, probability of a secret per node) of a forest fitted on labelled findings.
 
-    Of each class the ``sample`` findings with the smallest ``pick`` are used.
+    Of each class the ``sample`` findings with the smallest ``pick`` are used. Without both classes there are no trees.
     """
     scratch = Scratch(findings.sparkSession)
     order = ["pick", *FEATURES]
@@ -177,7 +240,7 @@ def fit(findings: DataFrame, sample: int = 5000, trees: int = 20, depth: int = 5
     chosen = scratch.keep(parts[0].union(parts[1]), "chosen")
     counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return [(np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.array([next(iter(counts), 0.5)]))]
+        return []
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(vectors.select("features", "label"))
 
@@ -202,7 +265,9 @@ def fit(findings: DataFrame, sample: int = 5000, trees: int = 20, depth: int = 5
 
 
 def probability(rows: np.ndarray, trees: list[tuple]) -> np.ndarray:
-    """Mean of the trees' leaves."""
+    """Mean of the trees' leaves; without trees 1 for clear secrets and 0 for all others."""
+    if not trees:
+        return clear_cases(rows)[0].astype(float)
     total = np.zeros(len(rows))
     every = np.arange(len(rows))
     for feature, threshold, left, right, share in trees:

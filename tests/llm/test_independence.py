@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellwarden.llm import queries, tables, token_files, toxicity
+from cellwarden.llm import queries, secrets, tables, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,72 @@ def test_token_files_of_one_id_are_written_by_several_tasks(spark):
         ids = np.array([*made.ids, queries.END_ID], "<u4")
         assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+# --- secrets: candidates of any length and signs
+
+
+def brute_values(text):
+    """Assigned values and passwords of one text, by a plain pattern over the whole of it."""
+    raw, out, last = text.encode(), [], 0
+    spans = [m.span(m.lastindex) for p in (secrets._VALUE, secrets._ADDRESS) for m in p.finditer(raw)]
+    for a, b in sorted(spans):
+        if a >= last:
+            out.append(raw[a:b].decode())
+            last = b
+    return out
+
+
+PASSWORDS = {
+    'password = "Tr0ub4dor&3"': "Tr0ub4dor&3", "pwd: s3cr3t!": "s3cr3t!", "see postgres://admin:hunter2@db/x now": "hunter2",
+    "api_key='Zx9$kd.. 81+q=pL0;mn#26ab'": "Zx9$kd.. 81+q=pL0;mn#26ab", "SECRET_TOKEN=>abc123é, more": "abc123é",
+    '{"access_token": "a1 b2"}': "a1 b2", "auth:x7": "x7", "no value: here": None, "password": None, "pwd:": None, "key = ": None,
+}
+
+
+def test_values_assigned_to_secret_names_are_candidates():
+    texts = list(PASSWORDS) * 3
+    raw = "".join(texts).encode()  # no sign parts one text from the next
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    found = {}
+    for a, b, _ in secrets.named_values(raw, offsets):
+        t = int(np.searchsorted(offsets, a, "right")) - 1
+        assert b <= offsets[t + 1]
+        found.setdefault(t, []).append(raw[a:b].decode())
+    for t, text in enumerate(texts):
+        assert found.get(t, []) == brute_values(text) == ([PASSWORDS[text]] if PASSWORDS[text] else [])
+
+
+def test_passwords_are_redacted_and_clean_texts_stay(spark):
+    filler = "The quick brown fox jumps over the lazy dog near internationalization characteristics. "
+    hexes = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, f'{filler} token = "{hexes[i % 20:] + hexes[: i % 20]}" {filler}' if i % 2 else filler * 2) for i in range(60)]
+    rows += [(100 + i, f"{filler}{t} {filler}") for i, t in enumerate(PASSWORDS)]
+    rows += [(200, filler + "the key: value of the fox and the access: 24 hours"), (201, f"commit {hexes} of the fox")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = secrets.dictionary(docs)
+    trees = secrets.fit(secrets.labelled_findings(docs, known))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, known, trees).collect()}
+    for i, (text, value) in enumerate(PASSWORDS.items()):
+        if value:
+            assert value not in out[100 + i] and "[SECRET]" in out[100 + i], text
+        else:
+            assert out[100 + i] == dict(rows)[100 + i]
+    assert all(out[i] == t for i, t in rows if i < 60 and not i % 2) and "the key: value of the fox" in out[200]
+
+
+def test_a_corpus_with_one_class_keeps_what_is_not_clear(spark):
+    hexes = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f"see {hexes} there"), (2, "path/to/a1/very/long/name/of/files")]
+    for more in ([], [(3, "pwd: s3cr3t!")], [(3, "internationalizationcharacteristics")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        known = secrets.dictionary(docs)
+        out = dict(map(tuple, secrets.redact(docs, known, secrets.fit(secrets.labelled_findings(docs, known))).collect()))
+        assert out[1] == rows[0][1] and out[2] == rows[1][1]
+        assert out.get(3) in (None, "pwd: [SECRET]", "internationalizationcharacteristics")
+
+
+def test_dictionary_does_not_depend_on_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = [secrets.dictionary(docs.repartition(n)) for n in (1, 5)]
+    assert (seen[0] == seen[1]).all() and seen[0].sum() > 100
