@@ -11,7 +11,9 @@ is worked out on the driver and every block's slot follows from its number. When
 others go on with their weights alone, as a new phase from the next slot on; there are at most as many phases as
 sources. No document is left out or repeated.
 
-Defined results: sources without a weight, and null, share one further class. Documents of a class
+Defined results: sources without a weight, null among them, share the further weight equally, each as a class of its own, so the bound on
+blocks holds for each of them. Only if there are more than ``own_classes`` such sources do they share one class, whose blocks mix them: a
+period has as many slots as all weights times these sources, and is worked out on the driver. Documents of a class
 are ordered by a hash of their id, and of their text where the id is null; the order of equal rows does not
 matter. A class may have no documents. An empty table gives an empty table. Further columns are kept as they are.
 """
@@ -85,18 +87,28 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     names: Sequence[str] = NAMES,
+    own_classes: int = 256,
 ) -> DataFrame:
     """``docs`` with the number of the block in its class, the block's slot and the row's position in the mixture.
 
-    One scan of two columns counts the classes. Rows meet once by a bucket of their hash, so no
+    One scan finds the sources and one of two columns counts the classes. Rows meet once by a bucket of their hash, so no
     task holds a whole source; counts of the buckets before, one row per bucket and class, complete the ranks.
     """
     spark = docs.sparkSession
     if min([other_weight, *weights.values()]) < 1:
         raise ValueError("weights are whole numbers from 1")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = {s: i for i, s in enumerate(sorted(weights))}
-    own_weights = {i: weights[s] for s, i in order.items()} | {len(order): other_weight}
+    source = F.col(f"`{source_col}`")
+    unlisted = docs.where(source.isNull() | ~source.isin(*weights)) if weights else docs
+    found = sorted({r[0] for r in unlisted.select(source).distinct().limit(own_classes + 1).collect()}, key=lambda s: (s is not None, s or ""))
+    if len(found) > own_classes:
+        found = []
+    order = {s: i for i, s in enumerate([*sorted(weights), *found])}
+    # Equal shares of the further weight, with all weights still whole numbers.
+    each = max(1, len(found))
+    own_weights = {order[s]: w * each for s, w in weights.items()} | {order[s]: other_weight for s in found}
+    if not found:
+        own_weights[len(order)] = other_weight
     # The row as one column, so that no name of it clashes with those made here.
     rows_ = docs.select(
         F.struct("*").alias("row_"), F.col(f"`{source_col}`").alias("source_"), F.col(f"`{id_col}`").alias("id_"),
@@ -104,7 +116,7 @@ def mix(
     )
     of_class: Column = F.lit(len(order))
     for s, i in order.items():
-        of_class = F.when(F.col("source_") == s, i).otherwise(of_class)
+        of_class = F.when(F.col("source_").eqNullSafe(s), i).otherwise(of_class)
     by_hash = F.when(F.col("id_").isNull(), F.col("text_")).otherwise(F.xxhash64(F.lit(0), F.col("id_")))
     marked = rows_.select("row_", "id_", of_class.alias("class_"), by_hash.alias("hash_"))
     marked = marked.withColumn("bucket_", F.pmod("hash_", F.lit(buckets)).cast("int"))

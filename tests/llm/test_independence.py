@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellwarden.llm import queries, secrets, tables, token_files, toxicity
+from cellwarden.llm import mixing, queries, secrets, tables, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,3 +138,31 @@ def test_dictionary_does_not_depend_on_the_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [secrets.dictionary(docs.repartition(n)) for n in (1, 5)]
     assert (seen[0] == seen[1]).all() and seen[0].sum() > 100
+
+
+# --- mixing: every source its own share
+
+
+@pytest.mark.parametrize("own_classes", [256, 3])
+def test_every_source_deviates_by_less_than_one_block(spark, own_classes):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    weights = queries.SOURCE_WEIGHTS
+    mixed = mixing.mix(docs, weights, block=4, other_weight=8, own_classes=own_classes).select("source", "slot").distinct().collect()
+    sources = {r["source"] for r in mixed} - set(weights)
+    assert len(sources) > 3
+    name = lambda s: s if s in weights or own_classes > 3 else "all others"
+    slots = {}
+    for r in mixed:
+        slots.setdefault(r["slot"], set()).add(name(r["source"]))
+    assert all(len(s) == 1 for s in slots.values()) and sorted(slots) == list(range(len(slots)))
+    total = sum(weights.values()) + 8
+    share = {s: w / total for s, w in weights.items()}
+    share |= {s: 8 / total / len(sources) for s in sources} if own_classes > 3 else {"all others": 8 / total}
+    order = [next(iter(slots[t])) for t in range(len(slots))]
+    last = min(max(t for t, s in enumerate(order) if s == name) for name in share)  # until the first source is used up
+    taken = dict.fromkeys(share, 0)
+    for t in range(last + 1):
+        taken[order[t]] += 1
+        for s, w in share.items():
+            assert abs(taken[s] - w * (t + 1)) < 1 + 1e-9
+    assert last > 20
