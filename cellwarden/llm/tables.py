@@ -25,7 +25,7 @@ def fresh(name: str, columns: Iterable[str]) -> str:
 
 
 #: Bytes of an Arrow batch, or one row.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
