@@ -14,9 +14,9 @@ words of more than ``LONGEST`` bytes are cut into overlapping windows. Sentences
 Training takes at most ``sample`` labelled texts of each class, those with the smallest hash of their id, and once more with a
 character inserted in each word: the toxic ones and a quarter of the others. A
 toxic text's label belongs to some sentences of it, not known in advance: the machine is fitted, each toxic text's highest
-sentence, and those that score above nearly all sentences of other texts, are taken as its examples, and this is repeated. A logistic curve on the texts' scores, weighted to the classes' shares
-among all labelled rows, gives the probability. Only landmark words, the sample's sentence features (numbers)
-and the fitted numbers pass through the driver.
+sentence, and those that score above all sentences of other texts, are taken as its examples, and this is repeated. A logistic curve on the texts' scores, weighted to the classes' shares
+among all labelled rows, gives the probability. The sentences' features stay in the cluster: a step of the fit sums small matrices over
+parts of them. Landmark words, these matrices, the sample's highest margins and the fitted numbers pass through the driver.
 
 Defined results: a null or empty text, or one without words, gets the score of a sentence without words. Every
 row gets a score, repeated rows equal ones. Rows with null labels teach nothing. If the labelled rows lack one
@@ -49,8 +49,8 @@ POWER = 4
 LONGEST = 24
 #: Words of a sentence; a longer one is cut.
 WORDS = 32
-#: A toxic text's sentence is an example if it scores above this share of the sentences of other texts.
-CLEAR = 1.0
+#: Parts of the training sentences; each sends one matrix to the driver in a step.
+PARTS = 32
 #: Letters, digits, four kinds of other bytes, and the front of a word.
 LETTERS = 41
 FRONT = 40
@@ -230,7 +230,7 @@ def _sentences(batches: Iterator[pa.RecordBatch], landmarks) -> Iterator[pa.Reco
 
 
 def sentence_rows(keys: pa.Array, labels: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
-    values = pa.array([s.tobytes() for s in sums.astype(np.float16)], pa.binary())  # half the bytes on the driver
+    values = pa.array([s.tobytes() for s in sums.astype(np.float16)], pa.binary())
     return pa.RecordBatch.from_arrays([keys, labels.cast(pa.int64()), values], names=["key", "toxic", "sums"])
 
 
@@ -244,27 +244,118 @@ def with_insertions(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k
     return np.insert(flat, at[long], letters[long]), begin + np.cumsum(long) - long, lengths + long
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Weights of a squared-hinge machine, by Newton steps; y is -1 or 1, the last column of x is 1, rows without cost play no part."""
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
-    inside = None
-    for _ in range(steps):
-        now = (y * (x @ w.astype(np.float32)) < 1) & (cost > 0)
-        if inside is not None and (now == inside).all():
-            break
-        inside = now
-        square, right = ridge.copy(), np.zeros(x.shape[1])
-        inner = np.flatnonzero(now)
-        for k in range(0, len(inner), STRIP):  # no copy of all rows in double precision
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, text of each sentence, class and kernel sums of each part of the training table, whose rows lie together."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        sums = [np.frombuffer(v, np.float16) for v in table["sums"].to_pylist()]
+        text = pd.factorize(table["key"].to_numpy(), use_na_sentinel=False)[0]
+        return table["part"][0].as_py(), text, table["toxic"].to_numpy(), np.stack(sums)
+
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and held[0].column(0)[0].as_py() != number[a]:
+                    yield whole()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _margins(sums: np.ndarray, root: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Margin of each sentence under ``w``, strip by strip."""
+    line = w.astype(np.float32)
+    strips = [(sums[k : k + STRIP].astype(np.float32) @ root) @ line[:-1] + line[-1] for k in range(0, len(sums), STRIP)]
+    return np.concatenate(strips)
+
+
+def _highest(margin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Place of the highest sentence of each text, the first of equal ones, by number of the text."""
+    top = np.lexsort((-margin, text))
+    return top[np.append(True, np.diff(text[top]) != 0)]
+
+
+def _newton_part(
+    batches: Iterator[pa.RecordBatch], root, w: np.ndarray, earlier: tuple[np.ndarray, float] | None, balance: float
+) -> Iterator[pa.RecordBatch]:
+    """Per part: the normal equations of the sentences within the margin under ``w``, which ones these are, and the highest other sentence.
+
+    Without an ``earlier`` machine a toxic text's sentences share a cost of one, and another sentence costs ``balance``. With one (weights, and its
+    highest sentence of another text), toxic examples are the sentences above that and the highest of each text.
+    """
+    root = root.value
+    for number, text, toxic, sums in _parts(batches):
+        bad = toxic == 1
+        if earlier is None:
+            cost = np.where(bad, 1.0 / np.bincount(text)[text], balance)
+        else:
+            before = _margins(sums, root, earlier[0])
+            telling = bad & (before > earlier[1])
+            first = _highest(before, text)
+            telling[first] |= bad[first]
+            cost = (~bad | telling).astype(float)
+        margin = _margins(sums, root, w)
+        y = np.where(bad, 1.0, -1.0)
+        inside = (y * margin < 1) & (cost > 0)
+        square, right = np.zeros((len(w), len(w))), np.zeros(len(w))
+        inner = np.flatnonzero(inside)
+        for k in range(0, len(inner), STRIP):
             some = inner[k : k + STRIP]
-            z = x[some].astype(float)
+            z = np.ones((len(some), len(w)))
+            z[:, :-1] = sums[some].astype(np.float32) @ root
             part = z * cost[some][:, None]
             square += part.T @ z
             right += part.T @ y[some]
-        w = np.linalg.solve(square, right)
-    return w
+        clear = float(margin[~bad].max()) if (~bad).any() else -np.inf
+        yield pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array([number], pa.int64()), "inside": pa.array([zlib.crc32(np.packbits(inside).tobytes())], pa.int64()),
+                "clear": [clear], "square": [square.tobytes()], "right": [right.tobytes()],
+            }
+        )
+
+
+def _highest_part(batches: Iterator[pa.RecordBatch], root, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class and highest margin of each text."""
+    for number, text, toxic, sums in _parts(batches):
+        margin = _margins(sums, root.value, w)
+        first = _highest(margin, text)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "part": np.full(len(first), number), "text": text[first].astype(np.int64),
+                "toxic": toxic[first].astype(np.int64), "margin": margin[first].astype(float),
+            }
+        )
+
+
+def fit_linear(
+    rows: DataFrame, root, start: np.ndarray, earlier: tuple[np.ndarray, float] | None = None, balance: float = 1.0, steps: int = 30
+) -> tuple[np.ndarray, float]:
+    """Weights of a squared-hinge machine, the last one the constant, and its highest sentence of another text.
+
+    Newton steps from ``start``. A step is one job: each part of ``rows`` sends a small matrix, the driver adds them in the parts' order.
+    """
+    w, met = start, None
+    ridge = np.eye(len(w))
+    ridge[-1, -1] = 1e-6
+    for step in range(steps + 1):
+        made = rows.mapInArrow(
+            partial(_newton_part, root=root, w=w, earlier=earlier, balance=balance),
+            "part long, inside long, clear double, square binary, right binary",
+        )
+        parts = sorted(made.collect(), key=lambda r: (r["part"], r["inside"]))
+        clear, inside = max(r["clear"] for r in parts), [(r["part"], r["inside"]) for r in parts]
+        if inside == met or step == steps:
+            break
+        met = inside
+        square = ridge + sum(np.frombuffer(r["square"]).reshape(ridge.shape) for r in parts)
+        w = np.linalg.solve(square, sum(np.frombuffer(r["right"]) for r in parts))
+    return w, clear
 
 
 def fit_curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -305,7 +396,7 @@ def train(
 ) -> Model:
     """Fit on rows with a label of 0 or 1; ``sample`` bounds the rows of each class, ``sentences`` about their sentences.
 
-    Of texts with more sentences than that, those with the smallest hashes are taken, so the driver holds 256 bytes for each of ``sentences`` at most.
+    Of texts with more sentences than that, those with the smallest hashes are taken, so each step reads 256 bytes for each of ``sentences`` at most.
     ``totals`` tells the labelled rows of each class if ``texts`` is a sample of them already.
     """
     spark = texts.sparkSession
@@ -348,43 +439,32 @@ def train(
     number = made.count()
     if number > sentences:
         made = made.where(F.pmod(F.xxhash64("key", "sums"), F.lit(number)) < sentences)
-    # In an order of its own, so that sums do not depend on the partitions.
-    made = made.orderBy("key", "sums").toArrow()
+    # Parts, and an order in them, that do not depend on the partitions, so neither do sums over them; a text lies in one part.
+    made = made.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    made = made.repartition(PARTS, "part").sortWithinPartitions("part", "key", "sums").select("part", "key", "toxic", "sums")
+    made = scratch.keep(made, "training")
     own = np.concatenate(
         [landmarks.kernel(_CODE[np.frombuffer(w, np.uint8)][None, :]) for w in chosen]
     ).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.ones((made.num_rows, root.shape[1] + 1), np.float32)
-    root32, row = root.astype(np.float32), 0
-    for part in made["sums"].chunks:
-        sums = np.frombuffer(part.buffers()[2], np.float16)[part.offset * len(chosen) : (part.offset + len(part)) * len(chosen)]
-        for k in range(0, len(part), STRIP):
-            strip = sums.reshape(len(part), -1)[k : k + STRIP].astype(np.float32) @ root32
-            x[row : row + len(strip), :-1] = strip
-            row += len(strip)
-    text_of = pd.factorize(made["key"].to_numpy())[0]
-    toxic = made["toxic"].to_numpy()
-    del made
-    bad = toxic == 1
-    each = np.bincount(text_of, minlength=text_of.max() + 1 if len(text_of) else 0)
-    cost = np.where(bad, 1.0 / each[text_of], 1.0 / max(1, (~bad).sum()) * max(1, len(np.unique(text_of[bad]))))
-    w = fit_linear(x, np.where(bad, 1.0, -1.0), cost)
+    shared = spark.sparkContext.broadcast(root.astype(np.float32))
+    sizes = made.agg(
+        F.sum(1 - F.col("toxic")).alias("clean"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("key"))).alias("texts")
+    ).first()
+    if sizes["clean"] is None:  # no labelled text has a word
+        share = some / (none + some)
+        return Model(None, np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
+    w, clear = fit_linear(made, shared, np.zeros(root.shape[1] + 1), balance=max(1, sizes["texts"]) / max(1, sizes["clean"]))
     for _ in range(5):
-        margin = x @ w.astype(np.float32)
-        top = np.lexsort((-margin, text_of))
-        first = top[np.append(True, np.diff(text_of[top]) != 0)]
-        telling = bad & (margin > np.quantile(margin[~bad], CLEAR))
-        telling[first] |= bad[first]
-        w = fit_linear(x, np.where(bad, 1.0, -1.0), (~bad | telling).astype(float))
-    margin = x @ w.astype(np.float32)
-    top = np.full(len(each), -np.inf)
-    np.maximum.at(top, text_of, margin)
-    label_of = np.zeros(len(each))
-    label_of[text_of] = toxic
+        w, clear = fit_linear(made, shared, w, earlier=(w, clear))
+    tops = made.mapInArrow(partial(_highest_part, root=shared, w=w), "part long, text long, toxic long, margin double").collect()
+    tops = sorted(tuple(r) for r in tops)  # at most four rows for each text of the sample
+    label_of, top = np.array([t[2] for t in tops], float), np.array([t[3] for t in tops])
     share = np.where(label_of == 1, some / taken[1], none / taken[0])
     slope, offset = fit_curve(top, label_of, share)
+    scratch.drop(made)
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), slope, offset)
 
 

@@ -166,3 +166,31 @@ def test_every_source_deviates_by_less_than_one_block(spark, own_classes):
         for s, w in share.items():
             assert abs(taken[s] - w * (t + 1)) < 1 + 1e-9
     assert last > 20
+
+
+def test_the_machine_fitted_in_parts_meets_its_optimum(spark):
+    """The gradient of the squared hinge with ridge, summed plainly over all sentences, vanishes; equal keys stay one text."""
+    rng = np.random.default_rng(5)
+    sums = rng.normal(size=(600, 6)).astype(np.float16)
+    toxic = (sums[:, 0] + rng.normal(size=600) > 0.8).astype(int)
+    key = np.array([f"k{t}-{i // 5}" for i, t in enumerate(toxic)])
+    rows = [(int(zlib.crc32(k.encode()) % 7), k, int(t), s.tobytes()) for k, t, s in zip(key, toxic, sums)]
+    made = spark.createDataFrame(rows, "part long, key string, toxic long, sums binary")
+    made = made.repartition(3, "part").sortWithinPartitions("part", "key", "sums")
+    root = spark.sparkContext.broadcast(np.eye(6, dtype=np.float32))
+    w, clear = toxicity.fit_linear(made, root, np.zeros(7), balance=0.25)
+    x, y = np.hstack([sums.astype(float), np.ones((600, 1))]), np.where(toxic == 1, 1.0, -1.0)
+    each = {k: (key == k).sum() for k in key}
+    cost = np.where(toxic == 1, [1 / each[k] for k in key], 0.25)
+
+    def slope(w, cost):
+        ridge = np.append(np.ones(6), 1e-6) * w
+        return ridge - x.T @ (cost * y * np.maximum(0, 1 - y * (x @ w)))
+
+    assert np.abs(slope(w, cost)).max() < 1e-4
+    assert abs(clear - (x @ w)[toxic == 0].max()) < 1e-4
+    again, _ = toxicity.fit_linear(made, root, w, earlier=(w, clear))
+    margin = x @ w
+    best = {k: margin[key == k].max() for k in key}
+    example = (toxic == 0) | (margin > clear) | np.isclose(margin, [best[k] for k in key], atol=1e-6)
+    assert np.abs(slope(again, example.astype(float))).max() < 1e-4
