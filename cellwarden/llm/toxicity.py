@@ -33,7 +33,6 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -249,10 +248,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
     held: list[pa.RecordBatch] = []
 
     def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        table = pa.Table.from_batches(held)
-        sums = [np.frombuffer(v, np.float16) for v in table["sums"].to_pylist()]
-        text = pd.factorize(table["key"].to_numpy(), use_na_sentinel=False)[0]
-        return table["part"][0].as_py(), text, table["toxic"].to_numpy(), np.stack(sums)
+        table = pa.Table.from_batches(held).combine_chunks()
+        text = pc.dictionary_encode(table["key"].chunk(0), null_encoding="encode").indices.to_numpy()
+        sums = table["sums"].chunk(0)
+        places = np.frombuffer(sums.buffers()[1], np.int32)[sums.offset : sums.offset + len(sums) + 1]
+        values = np.frombuffer(sums.buffers()[2], np.uint8)[places[0] : places[-1]].view(np.float16)
+        return table["part"][0].as_py(), text, table["toxic"].to_numpy(), values.reshape(len(sums), -1)
 
     for batch in batches:
         number = batch.column(0).to_numpy()
