@@ -142,8 +142,13 @@ def judge(
     kept = F.array_sort(F.array_intersect("tokens", F.array(*map(F.lit, used)).cast("array<string>")))
     open_urls = known.withColumn("tokens", F.when(F.col("says").isNull(), kept).otherwise(F.array().cast("array<string>")))
     sets = open_urls.where(F.size("tokens") > 0).select("tokens").distinct()
-    decided = apply_rules(sets, mined)
-    return open_urls.join(decided, "tokens", "left").select(
+
+    def dealt(rows: DataFrame, without: Column) -> DataFrame:
+        """Urls without such tokens fit no rule, so any task may take them: they are dealt by their own content."""
+        return rows.withColumn("deal", F.when(F.size("tokens") > 0, F.lit(0).cast("long")).otherwise(without))
+
+    decided = dealt(apply_rules(sets, mined), F.lit(1).cast("long"))
+    return dealt(open_urls, F.xxhash64("id_", "host", "path")).join(decided, ["tokens", "deal"], "left").select(
         F.col("id_").alias(id_col), "host", "path", "rule",
         F.coalesce("says", "mined", F.lit(default)).alias("verdict"), "confidence",
     )
