@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cellwarden.llm import block_topk, metric_join
@@ -98,6 +99,48 @@ def test_bounds_hold_and_large_weights_are_exact():
     assert block_topk.dot(big, big)[0, 0] == (1 << 62) + 1
 
 
+def test_rows_that_repeat_a_query_id_have_rankings_of_their_own(spark):
+    rows = [(50, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (1, [1.0, 0.5], 1), (2, [0.25, 1.0], 1)]
+    found = sorted(map(tuple, block_topk.top_k(frame(spark, rows), k=2).collect()))
+    one = 256 * 256
+    assert found == sorted([(50, 1, 1, one), (50, 2, 2, one // 4), (50, 1, 2, one), (50, 2, 1, one // 2)])
+
+
+def test_very_large_components_are_held(spark):
+    rows = [(50, [1e17, 0.0], 1), (1, [1e17, 1.0], 1), (2, [-3e38, 0.0], 1), (3, [2e16, 0.0], 1), (4, [0.0, 5.0], 1)]
+    found = sorted(map(tuple, block_topk.top_k(frame(spark, rows), k=4).collect()))
+    assert found == [(50, 1, 1, block_topk.HIGHEST), (50, 2, 3, block_topk.HIGHEST), (50, 3, 4, 0), (50, 4, 2, block_topk.LOWEST)]
+    low, high = np.array([[-(1 << 62), -(1 << 62)]]), np.array([[1 << 62, 1 << 62]])
+    assert block_topk.bounds(np.array([[1 << 62, 1]]), low, high)[0, 0] == block_topk.HIGHEST
+
+
+def test_bounds_leave_most_blocks_of_clustered_vectors_unscored():
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(40, 16))
+    x = np.floor(256 * (middle[np.repeat(np.arange(40), 64)] + 0.05 * rng.normal(size=(2560, 16)))).astype(np.int64)
+    blocks = x.reshape(10, 256, 16)
+    top = block_topk.bounds(x[::50], blocks.min(axis=1), blocks.max(axis=1))
+    kth = np.sort(block_topk.dot(x[::50], x), axis=1)[:, -6]
+    assert (top >= kth[:, None]).mean() < 0.5
+
+
+def test_cells_of_clustered_vectors_get_few_guests(spark):
+    """Fewer than half the (vector, cell) pairs, and all links, where vectors lie around many centres."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(30, 24))
+    x = middle[rng.integers(0, 30, 1500)] + 0.03 * rng.normal(size=(1500, 24))
+    pivots = metric_join._unit([v.tobytes() for v in x[::50]])
+
+    class Sent:
+        value = {(1, 24 * 8): pivots}
+
+    batch = pa.RecordBatch.from_pydict({"label": [1] * len(x), "raw": [v.tobytes() for v in x]})
+    cells = next(metric_join._reach(iter([batch]), Sent, math.sqrt(1 - 0.93**2))).column("cells").to_pylist()
+    assert sum(map(len, cells)) < 0.5 * len(x) * len(pivots)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x[:300])]
+    assert sorted(map(tuple, metric_join.near_vectors(frame(spark, rows), 0.93, cell=20).collect()), key=str) == brute_links(rows, 0.93)
+
+
 def test_links_of_odd_vectors(spark):
     assert sorted(map(tuple, metric_join.near_vectors(frame(spark, ODD)).collect()), key=str) == brute_links(ODD, 0.93)
     assert metric_join.near_vectors(frame(spark, [])).count() == 0
