@@ -15,8 +15,7 @@ from cellwarden.operators.detection import SEVERITY_ORDER
 class Condition(NamedTuple):
     """Holds for an incident that missed ``kpi`` when ``metric`` compares as stated.
 
-    The metric counts only if ``tool``, the analysis producing it, is among the tools of the
-    incident's rules.
+    The metric counts only if a matched rule of that KPI asks for ``tool``, the analysis producing it.
     """
 
     kpi: str
@@ -64,12 +63,16 @@ def analyze_incidents(
     cases: DataFrame,
     conditions: Sequence[Condition] = CONDITIONS,
     tools_col: str = "processing_rule_tools",
+    rules_col: str = "matched_rules",
 ) -> DataFrame:
     """Add ``findings`` and the ``analysis`` text.
 
+    A finding names the matched rules that ask for it: those with the condition's KPI and tool; without such a rule there is no finding.
+    Cases that carry only the union of their rules' tools are judged by that, and their findings name no rule.
     The conditions are a Python sequence, so they become one projection over the case columns:
     no join and no shuffle, whatever the number of cases.
     """
+    by_rule = rules_col in cases.columns
     known_operators(c.op for c in conditions)
     kpis = F.col("kpi_missed.kpi")
 
@@ -81,6 +84,11 @@ def analyze_incidents(
             & F.array_contains(F.col(tools_col), c.tool)
             & compares(F.lit(c.op), value, F.lit(c.threshold), high)
         )
+        asking = F.array().cast("array<string>")
+        if by_rule:
+            asks = F.filter(rules_col, lambda r: F.array_contains(r["kpis"], c.kpi) & F.array_contains(r["tools"], c.tool))
+            asking = F.transform(asks, lambda r: r["rule_id"])
+            holds = holds & (F.size(asking) > 0)
         evidence = F.concat(F.lit(f"{c.cause} ({c.metric} = "), value.cast("string"), F.lit(")"))
         return F.when(
             holds,
@@ -89,6 +97,7 @@ def analyze_incidents(
                 evidence.alias("evidence"),
                 F.lit(c.metric).alias("metric"),
                 value.cast("double").alias("value"),
+                asking.alias("rules"),
             ),
         )
 

@@ -154,12 +154,17 @@ def _blocks(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
 
-def _random_projection_buckets(df: DataFrame, dim: int, tables: int, width: float, seed: int) -> DataFrame:
-    """One row per hash table: bucket of the vector's projection on a random direction."""
+def random_directions(dim: int, tables: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, one column per hash table, and the shift of each table's buckets."""
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((dim, tables))
     directions /= np.linalg.norm(directions, axis=0)
-    offsets = rng.uniform(0, width, tables)
+    return directions, rng.uniform(0, width, tables)
+
+
+def _random_projection_buckets(df: DataFrame, dim: int, tables: int, width: float, seed: int) -> DataFrame:
+    """One row per hash table: bucket of the vector's projection on a random direction."""
+    directions, offsets = random_directions(dim, tables, width, seed)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

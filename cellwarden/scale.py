@@ -11,7 +11,7 @@ from functools import reduce
 from operator import add
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,15 +38,29 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
+def _size(df: DataFrame) -> list[Column]:
+    """Rows and bytes of ``df`` as aggregates."""
+    bytes_per_row = reduce(add, [_width(f) for f in df.schema.fields], F.lit(0)).cast("long")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("bytes")]
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure rows and bytes (one aggregate, combined before its shuffle) against the bounds."""
-    bytes_per_row = reduce(add, [_width(f) for f in df.schema.fields], F.lit(0)).cast("long")
-    size = df.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("bytes")
-    ).first()
+    size = df.agg(*_size(df)).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
+def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` as a written table, and whether it is within the bounds: measured by the job that writes it, so it is evaluated once.
+
+    A task that runs again may count twice, which can only make a table look larger.
+    """
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, *_size(df)), "lookup")
+    size = seen.get
+    return table, size.get("rows", 0) <= max_rows and size.get("bytes", 0) <= max_bytes
+
+
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys with more rows than a fair shuffle partition; never more keys than partitions.
 
@@ -101,13 +115,17 @@ def lookup_join(
 ) -> DataFrame:
     """Join many fact rows to a lookup table whose key may be hot on the fact side.
 
-    Within the bound the table is broadcast and the facts stay where they are. Beyond it both
+    The table is written and measured in one job. Within the bound it is broadcast and the facts stay where they are. Beyond it both
     sides shuffle, with hot keys salted; inner, left, semi and anti joins stay exact because
     each fact row carries exactly one salt. ``rows`` is an upper bound of the rows of a table
     of ids and numbers, which the caller has already counted.
     """
     on = list(on)
-    if fits(table, max_rows) if rows is None else rows <= max_rows:
+    if rows is None:
+        table, small = measured(table, max_rows)
+    else:
+        small = rows <= max_rows
+    if small:
         return facts.join(F.broadcast(table), on, how)
     left, right = salt_hot_keys(facts, table, [(c, c) for c in on], salts, ("_salt", "_salt"))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -57,14 +57,22 @@ def append_csv(spark: SparkSession, path: str, schema: T.StructType, table_path:
     load_csv_by_name(spark, path, schema).write.mode("append").parquet(table_path)
 
 
-def csv_to_jsonl(spark: SparkSession, source: str, target: str, multiline: bool = True) -> None:
+def breaks_in_fields(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field holds a line break: then, and only then, a line has an odd number of quotes."""
+    return not spark.read.text(path).where(F.pmod(F.regexp_count("value", F.lit('"')), F.lit(2)) == 1).isEmpty()
+
+
+def csv_to_jsonl(spark: SparkSession, source: str, target: str, multiline: bool | None = None) -> None:
     """Write every CSV row as a JSON object of strings; empty fields stay ``""``.
 
-    A missing source raises ``FileNotFoundError`` with the path.
+    Files are read in splits, by many tasks each, unless a field holds a line break (``multiline`` says so, or a pass over
+    the lines finds out). A missing source raises ``FileNotFoundError`` with the path.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(source)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.globStatus(hadoop):
         raise FileNotFoundError(f"the file '{source}' was not found")
+    if multiline is None:
+        multiline = breaks_in_fields(spark, source)
     rows = read_csv_text(spark, source, multiline).na.fill("")
     rows.write.option("ignoreNullFields", False).json(target)

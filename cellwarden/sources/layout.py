@@ -16,23 +16,19 @@ def write_partitioned(
     cluster_cols: Sequence[str],
     path: str,
     *,
-    files_per_day: int = 16,
+    shards: int = 16,
     mode: str = "append",
 ) -> None:
     """Write with one folder per day, rows of a cell together and sorted inside the files.
 
-    Rows go to tasks by (day, cell hash, row hash bit) rather than by day alone: a day is
-    written by up to ``files_per_day`` tasks, and a cell that holds most rows of a day is
-    still spread over two or more of them.
+    Rows are dealt by (day, one of ``shards`` hashes of the cell), and the number of tasks follows from bytes: adaptive execution
+    joins small parts and splits those beyond ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so a large day, or a
+    cell that holds most rows of it, is written by as many tasks as its bytes need.
     """
-    half = max(files_per_day // 4, 1)
-    shard = F.pmod(F.xxhash64(*cluster_cols), F.lit(half)) * 4 + F.pmod(
-        F.xxhash64(*[c for c in df.columns if c not in cluster_cols]), F.lit(4)
-    )
     (
         df.withColumn(DAY, F.to_date(ts_col))
-        .withColumn("_shard", shard)
-        .repartition(DAY, "_shard")
+        .withColumn("_shard", F.pmod(F.xxhash64(*cluster_cols), F.lit(shards)))
+        .hint("rebalance", DAY, "_shard")
         .sortWithinPartitions(DAY, *cluster_cols, ts_col)
         .drop("_shard")
         .write.partitionBy(DAY)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,29 @@ def load_rules(spark: SparkSession, path: str, id_pattern: str = FILE_STEM) -> D
         *[c for c in documents.columns if c != "creation_date"],
         F.to_timestamp("creation_date", DATE_PATTERN).alias("creation_date"),
     )
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Write each rule as a JSON file named by its ``rule_id``, as ``load_rules`` reads them.
+
+    Spark writes one file per rule into a folder below ``path`` that readers skip; the files are then renamed. People write
+    rule documents, so there are as many renames as documents. Two rules with one id, or an id that is no file name, raise.
+    """
+    spark = rules.sparkSession
+    fields = [F.date_format(c, DATE_PATTERN).alias(c) if c == "creation_date" else F.col(c) for c in rules.columns if c != "rule_id"]
+    wrong = rules.groupBy("rule_id").count().where("count > 1 or rule_id is null or rule_id = '' or rule_id rlike '[/:]'").limit(1).collect()
+    if wrong:
+        raise ValueError(f"rule id {wrong[0]['rule_id']!r} occurs twice or names no file")
+    staged = f"{path.rstrip('/')}/_staged"
+    bodies = rules.select(F.col("rule_id").alias("stem"), F.to_json(F.struct(*fields), {"pretty": "true"}).alias("value"))
+    bodies.repartition("stem").write.partitionBy("stem").text(staged)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = to_path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(to_path(staged)):
+        if not folder.isDirectory():
+            continue
+        stem = unquote(folder.getPath().getName().removeprefix("stem="))
+        for file in files.listStatus(folder.getPath()):
+            if file.getPath().getName().startswith("part-"):
+                files.rename(file.getPath(), to_path(path, f"{stem}.json"))
+    files.delete(to_path(staged), True)

@@ -50,6 +50,16 @@ def test_collected_rules(spark, bound):
         assert found[name].rules_status == rules.NO_RULES
 
 
+def test_rules_are_collected_once_per_set_of_kpis(spark):
+    incidents = incident_table(spark).union(spark.createDataFrame([("again", [("a", 9.0), ("b", 2.0)]), ("null", None)], INCIDENT))
+    found = {r.incident_id: r for r in rules.collect_rules(incidents, rule_table(spark)).collect()}
+    assert found["again"][1:] == found["two"][1:] and found["null"].rules_status == rules.NO_RULES
+    assert [(m.rule_id, m.kpis, m.tools) for m in found["two"].matched_rules] == [("r1", ["a"], ["t2", "t1"]), ("r2", ["a", "b"], ["t1"])]
+    assert found["none"].matched_rules == []
+    plan = rules.collect_rules(incidents, rule_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # texts come from the written table of sets
+
+
 def test_gate_keeps_registered_tools_only(spark):
     df = spark.createDataFrame([(["open_ticket", "get_uplink_rssi_level", "get_cell_trace_statistics"],), ([],)], "t array<string>")
     found = [r[0] for r in df.select(rules.gate_tools(F.col("t"))).collect()]
@@ -124,6 +134,20 @@ def test_findings_follow_conditions_and_gates(spark):
         assert found[name].findings == [] and found[name].analysis == analysis.NO_FINDINGS
 
 
+def test_findings_name_the_matched_rules_that_ask_for_them(spark):
+    def matched(*found):
+        return F.array(*[
+            F.struct(F.lit(i).alias("rule_id"), F.array(F.lit(k)).alias("kpis"), F.array(F.lit(t)).alias("tools")) for i, k, t in found
+        ])
+
+    drops = [("r1", "retainability", "get_uplink_rssi_level"), ("r2", "retainability", "get_uplink_rssi_level"),
+             ("r3", "erab_success_rate", "get_uplink_configuration")]
+    found = {r.incident_id: r for r in analysis.analyze_incidents(cases(spark).withColumn("matched_rules", matched(*drops))).collect()}
+    # The tool for the configuration is among the incident's tools, but no rule of its KPI asks for it.
+    assert [(f.metric, f.rules) for f in found["act"].findings] == [("uplink_rssi", ["r1", "r2"])]
+    assert found["success"].findings == []
+
+
 def test_actions_append_and_split(spark):
     suggested = actions.suggest_actions(cases(spark))
     found = {r.incident_id: r.actions for r in suggested.collect()}

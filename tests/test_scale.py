@@ -18,6 +18,20 @@ def test_lookup_join_is_the_same_broadcast_and_salted(spark, how):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_lookup_is_evaluated_once(spark):
+    """Measured by the job that writes it: the join reads the written table, not the aggregate behind it."""
+    facts = spark.range(100).select((F.col("id") % 7).alias("k"))
+    table = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s"))
+    for bound in (1000, 0):
+        joined = scale.lookup_join(facts, table, ["k"], max_rows=bound)
+        assert joined.count() == 100 and joined.agg(F.sum("s")).first()[0] is not None
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "sum(id" not in plan
+    written, small = scale.measured(table, 10)
+    assert small and written.count() == 10 and not scale.measured(table, 9)[1]
+    assert scale.measured(table.where("false"), 0)[1]
+
+
 def test_only_hot_keys_are_salted(spark):
     facts = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("string")).alias("k")

@@ -74,6 +74,30 @@ def test_rule_files_take_their_id_from_the_file_name(spark, tmp_path):
     ]
 
 
+def test_written_rules_are_read_back_by_their_file_names(spark, tmp_path):
+    schema = "rule_id string, description string, kpi_missed array<string>, creation_date timestamp, is_current boolean"
+    data = [("drop-levels", "two\nlines", ["a", "b"], ts("2025-12-26 08:30:00"), True), ("rate.v2 x%", None, [], None, False)]
+    path = str(tmp_path / "rules")
+    rules.write_rules(spark.createDataFrame(data, schema), path)
+    df = rules.load_rules(spark, path)
+    assert rows(df, "rule_id", "kpi_missed", "is_current")[0] == ("drop-levels", ["a", "b"], True) and df.count() == 2
+    assert sorted(f.name for f in (tmp_path / "rules").glob("*.json")) == ["drop-levels.json", "rate.v2 x%.json"]
+    for wrong in ([data[0], data[0]], [("a/b", *data[0][1:])], [(None, *data[0][1:])]):
+        with pytest.raises(ValueError, match="rule id"):
+            rules.write_rules(spark.createDataFrame(wrong, schema), str(tmp_path / "wrong"))
+
+
+def test_csv_is_split_unless_a_field_holds_a_line_break(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('id,text\n1,"say ""hi"", ok"\n2,\n')
+    broken.write_text('id,text\n1,"two\nlines"\n2,x\n')
+    assert not csv.breaks_in_fields(spark, str(plain)) and csv.breaks_in_fields(spark, str(broken))
+    for source, texts in ((plain, ['say "hi", ok', ""]), (broken, ["two\nlines", "x"])):
+        target = str(tmp_path / f"{source.stem}-jsonl")
+        csv.csv_to_jsonl(spark, str(source), target)
+        assert [r[0] for r in spark.read.json(target).orderBy("id").select("text").collect()] == texts
+
+
 def test_layout_prunes_days_and_spreads_a_hot_cell(spark):
     start = ts("2025-01-01 00:00:00")
     df = spark.range(4000).select(
@@ -83,8 +107,10 @@ def test_layout_prunes_days_and_spreads_a_hot_cell(spark):
     path = scratch_path(spark, "layout")
     # So little data would be put back into one file per day.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
     layout.write_partitioned(df, "measurement_end", ["enodeb_id", "cell_id"], path)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     day = layout.read_days(spark, path, "2025-01-02", "2025-01-02")
     assert day.count() == 1440 and layout.read_days(spark, path).count() == 4000
     assert "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cellwarden.operators.actions import ADJUST, ADJUSTMENT_ISSUED, NO_ACTIONS
 from cellwarden.operators.documents import DOCUMENT_PREFIX, NO_EXTERNAL, NO_INTERNAL
 from cellwarden.operators.rules import ANALYSES, NO_RULES, RULES_FOUND
+from cellwarden.operators.similarity import random_directions
 from cellwarden.schemas import CELL_TRACES, ERAB_ATTEMPTS, ERAB_RELEASES, ERAB_SUCCESSES, PERFORMANCE
 from workload.views import INPUTS, duck_sql
 
@@ -60,7 +61,10 @@ select i.incident_id,
        coalesce(string_agg(m.processing_rule, ';' order by m.rule_id), '') processing_rules,
        coalesce(string_agg(m.severity_determination_rule, ';' order by m.rule_id), '') severity_determination_rules,
        coalesce(list_sort(list_distinct(flatten(list(m.processing_rule_tools) filter (m.rule_id is not null)))), []) tools,
-       coalesce(list_sort(list_distinct(flatten(list(m.severity_determination_rule_tools) filter (m.rule_id is not null)))), []) severity_tools
+       coalesce(list_sort(list_distinct(flatten(list(m.severity_determination_rule_tools) filter (m.rule_id is not null)))), []) severity_tools,
+       coalesce(string_agg(m.rule_id, ',' order by m.rule_id) filter (list_contains(m.processing_rule_tools, 'get_cell_trace_statistics')), '') trace_rules,
+       coalesce(string_agg(m.rule_id, ',' order by m.rule_id) filter (list_contains(m.processing_rule_tools, 'get_uplink_rssi_level')), '') rssi_rules,
+       coalesce(string_agg(m.rule_id, ',' order by m.rule_id) filter (list_contains(m.processing_rule_tools, 'get_uplink_configuration')), '') config_rules
 from (select distinct incident_id from single_kpis) i left join matched m on i.incident_id = m.incident_id
 group by i.incident_id""",
     "inside": """
@@ -91,7 +95,7 @@ select c.incident_id, c.enodeb_id, c.cell_id, g.pZeroNominalPucch, g.pZeroNomina
        abs(pZeroNominalPusch + 100) / 100.0e0 pZeroNominalPusch_deviation
 from candidates c left join cell_config g on c.enodeb_id = g.enodeb_id and c.cell_id = g.cell_id""",
     "measured": """
-select c.*, k.tools, k.severity_tools, round(r.uplink_rssi, 6) rssi,
+select c.*, k.tools, k.severity_tools, k.trace_rules, k.rssi_rules, k.config_rules, round(r.uplink_rssi, 6) rssi,
        not (r.uplink_rssi between -120 and -114) out_of_range,
        round(s.security_failure_pct, 6) security_pct,
        pZeroNominalPucch_deviation > 0.05 pucch_off, pZeroNominalPusch_deviation > 0.05 pusch_off,
@@ -104,16 +108,17 @@ left join config g on c.incident_id = g.incident_id""",
     "findings": """
 select *, list_filter([
   case when kpi = 'erab_success_rate' and list_contains(tools, 'get_cell_trace_statistics') and security_pct >= 20
-       then {'cause': 'failed security setup', 'metric': 'security_failure_pct', 'value': security_pct} end,
+       then {'cause': 'failed security setup', 'metric': 'security_failure_pct', 'value': security_pct, 'rules': trace_rules} end,
   case when kpi = 'retainability' and list_contains(tools, 'get_uplink_rssi_level') and (rssi < -120 or rssi > -114)
-       then {'cause': 'uplink RSSI outside the normal range', 'metric': 'uplink_rssi', 'value': rssi} end,
+       then {'cause': 'uplink RSSI outside the normal range', 'metric': 'uplink_rssi', 'value': rssi, 'rules': rssi_rules} end,
   case when kpi = 'retainability' and list_contains(tools, 'get_uplink_configuration') and pucch_dev > 0.05
-       then {'cause': 'pZeroNominalPucch differs from the optimum', 'metric': 'pZeroNominalPucch_deviation', 'value': pucch_dev} end,
+       then {'cause': 'pZeroNominalPucch differs from the optimum', 'metric': 'pZeroNominalPucch_deviation', 'value': pucch_dev, 'rules': config_rules} end,
   case when kpi = 'retainability' and list_contains(tools, 'get_uplink_configuration') and pusch_dev > 0.05
-       then {'cause': 'pZeroNominalPusch differs from the optimum', 'metric': 'pZeroNominalPusch_deviation', 'value': pusch_dev} end
+       then {'cause': 'pZeroNominalPusch differs from the optimum', 'metric': 'pZeroNominalPusch_deviation', 'value': pusch_dev, 'rules': config_rules} end
 ], lambda f: f is not null) found from measured""",
     "analyzed": """
 select *, array_to_string(list_transform(found, lambda f: f.cause), ';') causes,
+       array_to_string(list_transform(found, lambda f: f.rules), ';') asking_rules,
        case when len(found) = 0 then 'No root cause was found.' else
          array_to_string(list_transform(found, lambda f:
            concat(f.cause, ' (', f.metric, ' = ', cast(f.value as varchar), ')')), chr(10)) end analysis
@@ -177,6 +182,15 @@ from documents d full join pages p on d.doc_id = p.page_id""",
 }
 
 
+def _buckets(dim: int = 64, tables: int = 6, width: float = 1.0, seed: int = 7) -> str:
+    """Bucket of each embedding in each hash table, from the directions the operator draws, as a list."""
+    directions, offsets = random_directions(dim, tables, width, seed)
+    return ", ".join(
+        f"cast(floor((list_dot_product(embedding::double[], {d.tolist()}::double[]) + {o!r}) / {width!r}) as bigint)"
+        for d, o in zip(directions.T, offsets.tolist())
+    )
+
+
 def sql(select: str) -> str:
     """``select`` with the steps it needs before it."""
     needed: list[str] = []
@@ -431,7 +445,7 @@ select incident_id, enodeb_id, cell_id, pZeroNominalPucch, pZeroNominalPusch,
        round(pZeroNominalPucch_deviation, 6) pZeroNominalPucch_deviation, pZeroNominalPucch_deviation > 0.05 pZeroNominalPucch_off,
        round(pZeroNominalPusch_deviation, 6) pZeroNominalPusch_deviation, pZeroNominalPusch_deviation > 0.05 pZeroNominalPusch_off
 from config"""),
-    "analyze_incidents": sql("select incident_id, causes, analysis from analyzed"),
+    "analyze_incidents": sql("select incident_id, causes, asking_rules, analysis from analyzed"),
     "classify_severity": sql("select incident_id, severity_level, severity_level_explanation from severity"),
     "suggest_actions": sql(f"""
 select incident_id, concat_ws(';', case when earlier then 'open_ticket/EXECUTED' end,
@@ -459,6 +473,15 @@ select d.doc_id, d.lang, cast(len(e.embedding) as integer) dim from documents d
 where len(e.embedding) > 0""",
     "vector_topk": sql(f"""
 select query_id, base_id, {_DISTANCE}, rank, concat('events of ', base_id) events, concat('cause ', label) cause from topk"""),
+    "vector_topk_lsh": f"""
+with placed as (
+  select vec_id, embedding::double[] v, unnest([{_buckets()}]) bucket, unnest(range(6)) hash_table from embeddings),
+near as (
+  select distinct q.vec_id query_id, b.vec_id base_id, list_distance(b.v, q.v) distance
+  from placed q join placed b on q.hash_table = b.hash_table and q.bucket = b.bucket and q.vec_id <> b.vec_id)
+select query_id, base_id, {_DISTANCE},
+       cast(row_number() over (partition by query_id order by round(distance, 9), base_id) as integer) rank
+from near qualify rank <= 5""",
     "distance_cutoff": sql(f"select query_id, base_id, {_DISTANCE}, rank from topk_others where distance <= 1.2"),
     "match_label": sql(f"""
 select query_id, base_id, {_DISTANCE}, rank,

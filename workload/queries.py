@@ -202,20 +202,18 @@ def csv_to_jsonl(spark, sf):
 
 def load_rules(spark, sf):
     path = scratch_path(spark, "rule-files")
-    body = F.struct(
+    rows = table(spark, sf, "supplier").select(
+        F.concat(F.lit("rule-"), F.col("s_suppkey").cast("string")).alias("rule_id"),
         F.col("s_name").alias("description"),
         F.when(F.col("s_acctbal") > 0, F.array(F.lit("retainability"), F.lit("erab_success_rate")))
         .otherwise(F.array(F.lit("erab_success_rate"))).alias("kpi_missed"),
         F.concat(F.lit('check "'), F.col("s_name"), F.lit('"')).alias("processing_rule"),
         F.array(F.lit("get_uplink_rssi_level")).alias("processing_rule_tools"),
-        F.lit("2025-12-26 08:30:00 UTC").alias("creation_date"),
+        F.lit("2025-12-26 08:30:00").cast("timestamp").alias("creation_date"),
         (F.col("s_nationkey") > 10).alias("is_current"),
     )
-    table(spark, sf, "supplier").select(
-        F.concat(F.lit("rule-"), F.col("s_suppkey").cast("string")).alias("stem"),
-        F.to_json(body, {"pretty": "true"}).alias("value"),
-    ).repartition(spark.sparkContext.defaultParallelism, "stem").write.partitionBy("stem").text(path)
-    loaded = rule_files.load_rules(spark, path, r"stem=([^/]+)/")
+    rule_files.write_rules(rows, path)
+    loaded = rule_files.load_rules(spark, path)
     return plain(
         loaded.select(
             "rule_id", "description", F.array_join("kpi_missed", ",").alias("kpi_missed"), "processing_rule",
@@ -467,7 +465,7 @@ def match_rules(spark, sf):
 
 def collect_rule_tools(spark, sf):
     found = rules.collect_rules(cell_incidents(spark, sf), derived(spark, sf, "rules"))
-    lists = [c for c in found.columns if c not in ("incident_id", "rules_status")]
+    lists = [c for c in found.columns if c not in ("incident_id", "rules_status", "matched_rules")]
     return found.select("incident_id", "rules_status", *[F.array_join(c, ";").alias(c) for c in lists])
 
 
@@ -524,7 +522,8 @@ def config_deviation(spark, sf):
 def analyze_incidents(spark, sf):
     cases = analysis.analyze_incidents(measured(spark, sf), CONDITIONS)
     causes = F.array_join(F.transform("findings", lambda f: f["cause"]), ";").alias("causes")
-    return cases.select("incident_id", causes, "analysis")
+    asking = F.array_join(F.transform("findings", lambda f: F.array_join(f["rules"], ",")), ";").alias("asking_rules")
+    return cases.select("incident_id", causes, asking, "analysis")
 
 
 def classify_severity(spark, sf):
