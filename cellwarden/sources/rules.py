@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from cellwarden.schemas import RULE_DOCUMENT
 FILE_STEM = r"([^/]+)\.[^./]*$"
 # Fixed value: pattern of the creation date in rule files.
 DATE_PATTERN = "yyyy-MM-dd HH:mm:ss z"
+#: Threads that rename written files.
+RENAMERS = 8
 
 
 def load_rules(spark: SparkSession, path: str, id_pattern: str = FILE_STEM) -> DataFrame:
@@ -32,8 +36,9 @@ def load_rules(spark: SparkSession, path: str, id_pattern: str = FILE_STEM) -> D
 def write_rules(rules: DataFrame, path: str) -> None:
     """Write each rule as a JSON file named by its ``rule_id``, as ``load_rules`` reads them.
 
-    Spark writes one file per rule into a folder below ``path`` that readers skip; the files are then renamed. People write
-    rule documents, so there are as many renames as documents. Two rules with one id, or an id that is no file name, raise.
+    The tasks write and commit one file per rule into a folder below ``path`` that readers skip; the files are then renamed by ``RENAMERS``
+    threads, as no writer of Spark takes names. Only names pass through the driver. Two rules with one id, or an id that is no
+    file name, raise.
     """
     spark = rules.sparkSession
     fields = [F.date_format(c, DATE_PATTERN).alias(c) if c == "creation_date" else F.col(c) for c in rules.columns if c != "rule_id"]
@@ -42,14 +47,21 @@ def write_rules(rules: DataFrame, path: str) -> None:
         raise ValueError(f"rule id {wrong[0]['rule_id']!r} occurs twice or names no file")
     staged = f"{path.rstrip('/')}/_staged"
     bodies = rules.select(F.col("rule_id").alias("stem"), F.to_json(F.struct(*fields), {"pretty": "true"}).alias("value"))
-    bodies.repartition("stem").write.partitionBy("stem").text(staged)
+    # A number of partitions, because the rows are few bytes and would be put together into one task, which opens all files.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = bodies.repartition(tasks, "stem").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    dealt.partitionBy("stem").text(staged)
     to_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = to_path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in files.listStatus(to_path(staged)):
-        if not folder.isDirectory():
-            continue
-        stem = unquote(folder.getPath().getName().removeprefix("stem="))
-        for file in files.listStatus(folder.getPath()):
-            if file.getPath().getName().startswith("part-"):
-                files.rename(file.getPath(), to_path(path, f"{stem}.json"))
+    files, folder = to_path(staged).getFileSystem(spark._jsc.hadoopConfiguration()), to_path(path)
+
+    def rename(stem_folder) -> None:
+        stem = unquote(stem_folder.getName().removeprefix("stem="))
+        for file in files.listStatus(stem_folder):
+            if file.getPath().getName().startswith("part-") and not files.rename(file.getPath(), to_path(folder, f"{stem}.json")):
+                raise OSError(f"{file.getPath()} could not be renamed to {stem}.json")
+
+    written = (f.getPath() for f in files.listStatus(to_path(staged)) if f.isDirectory())
+    with ThreadPoolExecutor(RENAMERS) as pool:
+        while some := list(islice(written, 100 * RENAMERS)):
+            list(pool.map(rename, some))
     files.delete(to_path(staged), True)

@@ -87,6 +87,21 @@ def test_written_rules_are_read_back_by_their_file_names(spark, tmp_path):
             rules.write_rules(spark.createDataFrame(wrong, schema), str(tmp_path / "wrong"))
 
 
+def test_rule_files_are_written_by_many_tasks(spark, tmp_path):
+    """Few bytes, but a file per rule: they must not be put together into one task."""
+    ids = spark.range(0, 60, 1, 1).select(F.concat(F.lit("rule "), "id").alias("rule_id"), F.lit("d").alias("description"))
+    context = spark.sparkContext
+    context.setJobGroup("write-rules", "write-rules")
+    try:
+        rules.write_rules(ids, str(tmp_path / "rules"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("write-rules") for s in tracker.getJobInfo(j).stageIds]
+    assert max(info.numTasks for info in map(tracker.getStageInfo, stages) if info) >= 8
+    assert rules.load_rules(spark, str(tmp_path / "rules")).select("rule_id").distinct().count() == 60
+
+
 def test_csv_is_split_unless_a_field_holds_a_line_break(spark, tmp_path):
     plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
     plain.write_text('id,text\n1,"say ""hi"", ok"\n2,\n')
