@@ -68,23 +68,38 @@ def block_of(classes: list[tuple[int, int]], block_docs: int) -> tuple[Column, i
     return F.create_map(*firsts)[own] + F.pmod(F.xxhash64("doc_id"), F.create_map(*sizes)[own]).cast("int"), total
 
 
+def counts(words: Column) -> Column:
+    """(term, tf) of the distinct entries of a sorted array: how often each occurs."""
+    size = F.size(words)
+    first = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+    runs = F.arrays_zip(first.alias("a"), F.array_append(F.slice(first, 2, size), size + 1).alias("b"))
+    pairs = F.transform(runs, lambda r: F.struct(F.get(words, r["a"] - 1).alias("term"), (r["b"] - r["a"]).alias("tf")))
+    return F.when(size > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> TextIndex:
     """Read and cut every text once and write the index below ``path``."""
     spark = docs.sparkSession
-    cut = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_tokens")).where(F.col("_tokens").isNotNull())
-    # The row with the empty term stands for the document itself, also for one without tokens.
-    each = cut.select("doc_id", F.size("_tokens").alias("length"), F.explode(F.array_append("_tokens", F.lit(""))).alias("term"))
-    counted = cut_lineage(each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")), "counted")
-    lengths, hits = counted.where("term = ''"), counted.where("term <> ''")
-    classes = lengths.groupBy(length_class(F.col("length")).alias("c")).agg(F.count("*").alias("n"), F.sum("length").alias("s")).collect()
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokens(F.col(text_col))).alias("_tokens")).where(F.col("_tokens").isNotNull())
+    # One row per row of ``docs``: its terms are counted in place, and no term is shuffled by itself.
+    counted = cut_lineage(cut.select("doc_id", F.size("_tokens").alias("length"), counts(F.col("_tokens")).alias("words")), "counted")
+    lengths = counted.groupBy("doc_id", "length").agg(F.count("*").alias("rows"))
+    classes = lengths.groupBy(length_class(F.col("length")).alias("c")).agg(
+        F.count("*").alias("n"), F.sum("length").alias("s"), F.max("rows").alias("most")
+    ).collect()
     n = sum(r["n"] for r in classes)
     mean = sum(r["s"] for r in classes) / n if n else 0.0
     block, blocks = block_of([(r["c"], r["n"]) for r in classes], block_docs)
     of_shard = max(SHARD_BLOCKS, -(-blocks // SHARDS))
+    # Whole documents go to their block; all that follows happens there.
+    dealt = counted.where("length > 0").withColumn("block", block).repartition("block")
+    hits = dealt.select("block", "doc_id", "length", F.inline("words"))
+    if any(r["most"] > 1 for r in classes):
+        hits = hits.groupBy("block", "term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
     tf = F.col("tf")
     weight = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("length") / (mean or 1.0)))
     lists = (
-        hits.select(block.alias("block"), "term", "doc_id", weight.alias("weight"))
+        hits.select("block", "term", "doc_id", weight.alias("weight"))
         .groupBy("block", "term")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("hits"), F.max("weight").alias("top"))
         .select(
@@ -92,7 +107,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             F.col("hits.doc_id").alias("docs"), F.col("hits.weight").alias("weights"),
         )
     )
-    lists = lists.repartition("shard", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("shard", "term", "block")
+    lists = lists.sortWithinPartitions("shard", "term", "block")
     if mean:
         lists.write.partitionBy("shard").parquet(f"{path}/postings")
     else:  # no token at all: a folder without partitions would have no schema
@@ -136,9 +151,11 @@ def _scored(index: TextIndex, visits: DataFrame, weights: DataFrame, parts: int,
     asked = cut_lineage(asked, "visits")
     # Numbers of folders, SHARDS at most.
     shards = [r["shard"] for r in asked.select("shard").distinct().collect()]
-    needed = asked.select("block", "term", F.col("part").alias("list_part")).distinct()
+    # Blocks and terms are looked up apart: there are few of both, but many pairs. The terms that no query asks of a block are passed over there.
+    parts_of = {c: asked.select(c, F.col("part").alias("list_part")).distinct() for c in ("term", "block")}
     postings = index.table("postings").where(F.col("shard").isin(shards))
-    lists = lookup_join(postings.select("block", "term", "docs", "weights"), needed, ["block", "term"])
+    lists = lookup_join(postings.select("block", "term", "docs", "weights"), parts_of["term"], ["term"])
+    lists = lookup_join(lists, parts_of["block"], ["block", "list_part"], "left_semi")
     id_type, query_type = postings.schema["docs"].dataType.elementType, weights.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", id_type), T.StructField("score", T.DoubleType())])
     scored = lists.groupBy(F.col("block").alias("list_block"), "list_part").cogroup(asked.groupBy("block", "part")).applyInArrow(

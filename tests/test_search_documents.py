@@ -77,6 +77,33 @@ def test_blocks_below_the_floor_are_not_scored(spark, monkeypatch):
     assert "doc_id" in joined and "Join" not in joined
 
 
+def test_search_moves_documents_whole_and_looks_up_blocks_and_terms_apart(spark, monkeypatch):
+    """No row per document and term is written, and no table of pairs of block and term is met with the lists."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choices([f"w{n}" for n in range(60)], k=rng.randrange(20, 300)))) for i in range(120)]
+    docs.append(docs[0])  # the same row twice: its terms add up
+    asked = [(i, f"w{i} w{i + 1} w{i + 2}") for i in range(40)]
+    written, met, cut, join = {}, [], text_index.cut_lineage, text_index.lookup_join
+
+    def writing(df, name="step"):
+        written[name] = (table := cut(df, name)).count()
+        return table
+
+    def joining(facts, table, on, *rest):
+        met.append(list(on))
+        return join(facts, table, on, *rest)
+
+    monkeypatch.setattr(text_index, "cut_lineage", writing)
+    monkeypatch.setattr(text_index, "lookup_join", joining)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = text_index.build_index(d, scratch_path(spark, "index"), block_docs=8)
+    assert written["counted"] == len(docs)
+    twice = index.table("postings").select(F.explode(F.arrays_zip("docs", "weights"))).where("col.docs = 0")
+    assert twice.count() == len(set(docs[0][1].split()))
+    found = search.text_search(d, spark.createDataFrame(asked, "query_id long, query string"), 4, index=index)
+    assert found.count() == 160 and ["block", "term"] not in met
+
+
 def test_index_of_odd_documents(spark):
     for docs in ([], [(1, None), (2, ""), (3, "!!")], [(1, "a"), (1, "a b"), (None, "a")]):
         d = spark.createDataFrame(docs, "doc_id long, text string")
