@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cellwarden.functions import vectors
 from cellwarden.operators import embedding, similarity
@@ -96,6 +97,34 @@ def test_lsh_recall_and_hot_bucket(spark):
     assert result(wide) == exact
 
 
+@pytest.mark.parametrize("width, once", [(4.0, True), (0.3, False)])
+def test_lsh_compares_no_pair_more_than_once_when_buckets_are_wide(spark, monkeypatch, width, once):
+    data = random_vectors(200, 6, 3)
+    groups, plain = [], similarity._block_pairs
+
+    def pairing(base, queries, group, *rest):
+        groups.append((group, base.count()))
+        return plain(base, queries, group, *rest)
+
+    monkeypatch.setattr(similarity, "_block_pairs", pairing)
+    near = similarity.vector_topk(frame(spark, data), frame(spark, data), 3, method="lsh", tables=4, width=width, exclude_self=True)
+    assert groups == ([([], 200)] if once else [(["_table", "_bucket"], groups[0][1])])
+    directions, offsets = similarity.random_directions(6, 4, width, 7)
+    codes = {i: np.floor((np.array(v) @ directions + offsets) / width) for i, v in data}
+    sharing = {i: [(j, w) for j, w in data if (codes[i] == codes[j]).any()] for i, _ in data}
+    expected = {i: found for i, v in data if (found := brute(sharing[i], [(i, v)], 3, exclude_self=True)[i])}
+    assert result(near) == expected
+
+
+def test_blocks_repeat_vectors_few_times_and_as_they_are(spark, monkeypatch):
+    """Half a million vectors of 64 floats: below 20 copies of a row of either side, of 4 bytes a number."""
+    rows = 600_000
+    blocks = similarity._blocks(spark, rows, 64, None)
+    assert blocks <= 10 and rows / blocks * 64 <= similarity.BLOCK_NUMBERS
+    floats = frame(spark, [("a", [0.5])]).select("incident_id", F.col("events_embeddings").cast("array<float>"))
+    assert similarity._narrow(floats, "incident_id", "events_embeddings").schema["vector"].dataType.elementType.typeName() == "float"
+
+
 def test_cutoff_comes_after_topk_and_labels(spark):
     base = frame(spark, [("a", [0.0]), ("b", [0.4]), ("c", [0.5]), ("d", [0.95]), ("e", [2.0])])
     near = similarity.vector_topk(base, frame(spark, [("q", [0.0])]), 4)
