@@ -124,12 +124,14 @@ def mine_related(
     the pair's count over that expected from how often each is in a pair. Pairs met ``least`` times with an information of
     ``cut`` or more count; ties go to the more frequent, then alphabetically. Counting combines before its shuffle.
     """
-    words = docs.select(tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)
-    pairs = None
+    words = docs.select(tokens(F.col(text_col)).alias("w"))
+    steps = []
     for step in range(1, reach + 1):
-        zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", step + 1, F.greatest(F.size("w") - step, F.lit(0))).alias("b"))
-        each = words.select(F.inline(F.slice(zipped, 1, F.greatest(F.size("w") - step, F.lit(0)))))
-        pairs = each if pairs is None else pairs.unionByName(each)
+        left = F.greatest(F.size("w") - step, F.lit(0))
+        zipped = F.arrays_zip(F.slice("w", 1, left).alias("a"), F.slice("w", step + 1, left).alias("b"))
+        steps.append(zipped)
+    # A text is cut into tokens once for all steps; the outer form keeps a filter that would cut it again from being put before.
+    pairs = words.select(F.inline_outer(F.concat(*steps)))
     ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     met = cut_lineage(ordered.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     both = met.select(F.col("a").alias("term"), F.col("b").alias("related"), "n").union(met.select("b", "a", "n"))

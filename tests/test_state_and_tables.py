@@ -165,3 +165,21 @@ def test_related_terms_are_mined(spark):
     found = search.mine_related(docs, reach=1, least=5, cut=0.1, k=2)
     assert {(r.term, r.related, r.n) for r in found.collect()} >= {("uplink", "rssi", 6), ("rssi", "low", 6)}
     assert search.mine_related(docs.limit(0)).count() == 0
+
+
+def test_texts_are_cut_into_tokens_once_for_all_steps(spark, monkeypatch):
+    plans, cut = [], search.cut_lineage
+
+    def planned(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(search, "cut_lineage", planned)
+    docs = spark.createDataFrame([("a b c a",), ("a b",), ("one",), ("",), (None,)], "text string")
+    path = scratch_path(spark, "texts")
+    docs.write.parquet(path)
+    found = search.mine_related(spark.read.parquet(path), reach=2, least=1, cut=-9.0, k=9)
+    assert {(r.term, r.related, r.n) for r in found.collect()} == {
+        ("a", "b", 3), ("b", "a", 3), ("a", "c", 2), ("c", "a", 2), ("b", "c", 1), ("c", "b", 1)
+    }
+    assert [plan.count("regexp_extract_all") for name, plan in plans if name == "pairs"] == [1]
