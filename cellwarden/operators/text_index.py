@@ -2,7 +2,8 @@
 
 Documents are dealt into blocks of about ``BLOCK_DOCS``: first by length (half octaves), then by a hash of the id, so the documents of a block
 are about equally long and the greatest weight of a term in a block bounds all of them closely. One row per block and term holds the
-documents, their weights and the greatest weight; rows lie in folders by shard, a run of blocks.
+documents, their weights and the greatest weight; rows lie in folders by shard, a run of blocks. Terms are counted inside each document,
+which then moves whole to its block.
 
 A search reads the greatest weights of its terms and sums them to a bound per query and block. The ``FIRST`` blocks with the highest
 bounds are scored; the k-th best score found there is a floor, and further blocks are scored only if their bound reaches
