@@ -1,11 +1,12 @@
 import random
 import time
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from cellwarden.functions.text import bounded_distance, segment_probes, segments
 from cellwarden.operators import incidents, search
-from cellwarden.operators.detection import KPI_RULES
+from cellwarden.operators.detection import KPI_RULES, detect_sessions
 from cellwarden.session import scratch_path
 from cellwarden.sources import case_state, layout
 from cellwarden.streaming import session_state
@@ -58,6 +59,59 @@ def test_a_row_between_two_open_sessions_merges_them(spark):
     assert spark.read.parquet(target).where("status = 'merged'").count() == 1
 
 
+def test_a_cell_has_one_timer_and_one_state_value(spark):
+    """State calls go through a socket, so their number may not grow with the open sessions."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("kpis", "sessions", "checkpoint"))
+    data = [("e", f"c{c}", day(n), 50.0, 9.0) for c in range(3) for n in range(1, 29, 3)]
+    spark.createDataFrame(data, KPIS).write.parquet(source)
+    stream = spark.readStream.schema(KPIS).parquet(source)
+    session_state.run_sessions(stream, target, checkpoint, "2 days", "60 days")
+    found = session_state.read_sessions(spark, target)
+    assert rows(found.groupBy("status").count()) == [("open", 60)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, session_state.PROVIDER)
+    try:
+        state = spark.read.format("statestore").option("path", checkpoint)
+        timers = state.option("readRegisteredTimers", "true").load().collect()
+        assert sorted((t["key"]["cell_id"], t["expiration_timestamp_ms"]) for t in timers) == [
+            (f"c{c}", int(day(3).timestamp() * 1000)) for c in range(3)
+        ]
+        values = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "series").load().count()
+    finally:
+        spark.conf.set(provider, before)
+    assert values == 3
+
+
+def test_timers_follow_sessions_that_grow_merge_and_close(spark):
+    """Rows of two KPIs in any order: the open sessions are those of the batch, and each closes when its time has come."""
+    rng = random.Random(3)
+    kpis = [(f"c{c}", day(n, rng.randrange(24)), rng.choice([50.0, 99.0]), rng.choice([1.0, 9.0])) for c in range(4) for n in range(1, 25)]
+    rng.shuffle(kpis)
+    parts = [kpis[i::4] for i in range(4)]
+    columns = ["cell_id", "kpi", "started", "ended", "violations", F.round("kpi_value", 6)]
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("kpis", "sessions", "checkpoint"))
+
+    def arrive(part):
+        spark.createDataFrame([("e", *r) for r in part], KPIS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(KPIS).parquet(source)
+        session_state.run_sessions(stream, target, checkpoint, "1 day", "40 days")
+        return session_state.read_sessions(spark, target)
+
+    for part in parts:
+        found = arrive(part)
+        assert rows(found, *columns) == rows(detect_sessions(spark.read.parquet(source), "1 day"), *columns)
+        assert found.where("status <> 'open'").count() == 0
+    middle = day(13)
+    found = arrive([("later", middle + timedelta(days=40), 99.0, 1.0)])  # brings the watermark to ``middle``
+    closed = F.col("ended") + F.expr("interval 1 day") <= F.lit(middle)
+    assert {"open", "closed"} == {r.status for r in found.collect()}
+    assert found.where((F.col("status") == "closed") != closed).count() == 0
+    found = arrive([("later", middle + timedelta(days=80), 99.0, 1.0)])
+    assert rows(found.select("status").distinct()) == [("closed",)]
+    assert rows(found, *columns) == rows(detect_sessions(spark.read.parquet(source), "1 day"), *columns)
+
+
 # --- JSON case state
 
 
