@@ -125,6 +125,71 @@ def test_blocks_repeat_vectors_few_times_and_as_they_are(spark, monkeypatch):
     assert similarity._narrow(floats, "incident_id", "events_embeddings").schema["vector"].dataType.elementType.typeName() == "float"
 
 
+def numbered(n, start=0):
+    return np.array([f"v{i:05d}" for i in range(start, start + n)])
+
+
+def searched(base_ids, base, query_ids, query, k, exclude_self, **options):
+    q, b, d = vectors.local_topk(base_ids, base, query_ids, query, k, "euclidean", exclude_self, **options)
+    found = [[] for _ in query]
+    for place, i, distance in sorted(zip(q.tolist(), base_ids[b].tolist(), np.round(d, 9).tolist()), key=lambda x: (x[0], x[2], x[1])):
+        found[place].append((distance, i))
+    return found
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "far away", "one long", "repeated ids", "huge"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_tiles_hold_the_true_nearest(monkeypatch, kind, exclude_self):
+    """Every tile, group and precision against all pairs, with and without a cutoff."""
+    monkeypatch.setattr(vectors, "TILE_ROWS", 64)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 33)
+    monkeypatch.setattr(vectors, "WIDTH", 4)
+    rng = np.random.default_rng(11)
+    base, ids = rng.standard_normal((300, 5)), rng.permutation(numbered(300))
+    if kind in ("grid", "repeated ids"):
+        base = base.round()
+    if kind == "repeated ids":
+        ids = rng.choice(ids, 300)
+    if kind == "far away":
+        base = 1e5 + base * 1e-3
+    if kind == "one long":
+        base[7] *= 1e7
+    if kind == "huge":
+        base *= 1e20
+    everything = np.sqrt(((base[:, None, :] - base[None, :, :]) ** 2).sum(axis=2)).round(9)
+    middle = float(np.median(everything))
+    for options, cutoff in (({}, math.inf), ({"cutoff": middle}, np.round(middle, 9))):
+        expected = [
+            sorted((d, i) for d, i in zip(row.tolist(), ids.tolist()) if d <= cutoff and not (exclude_self and i == own))[:4]
+            for row, own in zip(everything, ids)
+        ]
+        assert searched(ids, base, ids, base, 4, exclude_self, **options) == expected
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies"])
+def test_few_pairs_are_measured(monkeypatch, kind):
+    """Neither rows apart nor equal rows, which all tie, are measured for every query."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((5000, 16)) if kind == "spread" else np.repeat(rng.standard_normal((2, 16)), 2500, axis=0)
+    measured, plain = [], vectors.pair_distances
+    monkeypatch.setattr(vectors, "pair_distances", lambda b, q, m: measured.append(len(b)) or plain(b, q, m))
+    found = searched(numbered(5000), base, numbered(200), base[:200], 5, True)
+    assert all(len(near) == 5 for near in found)
+    if kind == "copies":
+        assert found[3] == [(0.0, f"v{i:05d}") for i in (0, 1, 2, 4, 5)]
+    assert sum(measured) < 20 * 200
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_a_cutoff_in_the_search_gives_what_it_gives_later(spark, blocks):
+    options = {"max_query_numbers": 0, "base_block": 25, "query_block": 30} if blocks else {}
+    data = [*random_vectors(80, 4, 5), ("same1", [9.0] * 4), ("same2", [9.0] * 4)]
+    near = similarity.vector_topk(frame(spark, data), frame(spark, data), 5, exclude_self=True, **options)
+    within = similarity.vector_topk(frame(spark, data), frame(spark, data), 5, exclude_self=True, cutoff=0.7, **options)
+    expected = rows(similarity.distance_cutoff(near, 0.7), "query_id", "base_id", "distance", "rank")
+    assert rows(within, "query_id", "base_id", "distance", "rank") == expected and 0 < len(expected) < near.count()
+
+
 def test_cutoff_comes_after_topk_and_labels(spark):
     base = frame(spark, [("a", [0.0]), ("b", [0.4]), ("c", [0.5]), ("d", [0.95]), ("e", [2.0])])
     near = similarity.vector_topk(base, frame(spark, [("q", [0.0])]), 4)
