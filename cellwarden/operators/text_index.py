@@ -1,9 +1,9 @@
 """A written inverted index with block maxima, and exact ranked search that skips blocks.
 
-Documents are dealt into blocks of about ``BLOCK_DOCS``: first by length (half octaves), then by a hash of the id, so the documents of a block
+Documents are dealt into blocks of about ``BLOCK_DOCS``, fewer if they are long: first by length (half octaves), then by a hash of the id, so the documents of a block
 are about equally long and the greatest weight of a term in a block bounds all of them closely. One row per block and term holds the
 documents, their weights and the greatest weight; rows lie in folders by shard, a run of blocks. Terms are counted inside each document,
-which then moves whole to its block.
+which then moves whole to its block, where the lists of all its terms are made.
 
 A search reads the greatest weights of its terms and sums them to a bound per query and block. The ``FIRST`` blocks with the highest
 bounds are scored; the k-th best score found there is a floor, and further blocks are scored only if their bound reaches
@@ -15,6 +15,9 @@ Defined results: documents without tokens are counted and never found; a null te
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -25,13 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellwarden.functions.text import tokens
+from cellwarden.functions.text import TOKEN
 from cellwarden.scale import lookup_join
 from cellwarden.session import cut_lineage, scratch_path
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
 BLOCK_DOCS = 1024
+#: Tokens of a block, about: long documents make smaller blocks.
+BLOCK_TOKENS = 4_000_000
+#: Texts that are counted at a time.
+TEXTS = 1000
 #: Blocks of a folder at least, and folders at most.
 SHARD_BLOCKS, SHARDS = 16, 4096
 #: Blocks of a query that are scored before the others are compared with the floor.
@@ -69,45 +76,86 @@ def block_of(classes: list[tuple[int, int]], block_docs: int) -> tuple[Column, i
     return F.create_map(*firsts)[own] + F.pmod(F.xxhash64("doc_id"), F.create_map(*sizes)[own]).cast("int"), total
 
 
-def counts(words: Column) -> Column:
-    """(term, tf) of the distinct entries of a sorted array: how often each occurs."""
-    size = F.size(words)
-    first = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
-    runs = F.arrays_zip(first.alias("a"), F.array_append(F.slice(first, 2, size), size + 1).alias("b"))
-    pairs = F.transform(runs, lambda r: F.struct(F.get(words, r["a"] - 1).alias("term"), (r["b"] - r["a"]).alias("tf")))
-    return F.when(size > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, length and (term, tf) of the distinct terms of each lower-cased text."""
+    token = re.compile(TOKEN)
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            ids, texts = batch.slice(start, TEXTS).columns
+            lengths, ends, terms, times = [], [0], [], []
+            for text in texts.to_pylist():
+                found = Counter(token.findall(text))
+                lengths.append(sum(found.values()))
+                terms += found.keys()
+                times += found.values()
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(times, pa.int32())], names=["term", "tf"])
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int32()), words], names=["doc_id", "length", "words"])
+
+
+def lists_of_block(docs: pa.Table, mean: float, of_shard: int, names: list[str]) -> pa.Table:
+    """One row per term of a block: its documents in order, their weights and the greatest weight. Rows of one id and length add up."""
+    own = pc.dictionary_encode(docs["doc_id"].combine_chunks(), null_encoding="encode")
+    ids = own.dictionary
+    place = np.empty(len(ids), dtype=np.int64)
+    place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    lengths = docs["length"].to_numpy().astype(np.int64)
+    document = place[own.indices.to_numpy()]
+    order = np.lexsort((lengths, document))
+    new = np.r_[True, (np.diff(document[order]) != 0) | (np.diff(lengths[order]) != 0)]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]  # a row of each document, in their order
+
+    words = docs["words"].combine_chunks()
+    pairs = words.flatten()
+    terms = pc.dictionary_encode(pairs.field("term"))
+    key = terms.indices.to_numpy().astype(np.int64) * len(first) + np.repeat(number, words.value_lengths().to_numpy())
+    sort = np.argsort(key, kind="stable")
+    key = key[sort]
+    starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+    tf = np.add.reduceat(pairs.field("tf").to_numpy()[sort].astype(np.int64), starts)
+    term, hit = np.divmod(key[starts], len(first))
+    weights = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[first[hit]] / mean))
+    runs = np.flatnonzero(np.r_[True, np.diff(term) != 0])
+    ends = pa.array(np.r_[runs, len(term)], pa.int32())
+    block = docs["block"][0].as_py()
+    return pa.Table.from_arrays(
+        [
+            pa.array(np.full(len(runs), block // of_shard), pa.int32()), pa.array(np.full(len(runs), block), pa.int32()),
+            terms.dictionary.take(pa.array(term[runs])), pa.array(np.maximum.reduceat(weights, runs)),
+            pa.ListArray.from_arrays(ends, docs["doc_id"].combine_chunks().take(pa.array(first[hit]))), pa.ListArray.from_arrays(ends, pa.array(weights)),
+        ],
+        names=names,
+    )
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> TextIndex:
     """Read and cut every text once and write the index below ``path``."""
     spark = docs.sparkSession
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokens(F.col(text_col))).alias("_tokens")).where(F.col("_tokens").isNotNull())
+    id_type = docs.schema[id_col].dataType
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text")).where(F.col("text").isNotNull())
     # One row per row of ``docs``: its terms are counted in place, and no term is shuffled by itself.
-    counted = cut_lineage(cut.select("doc_id", F.size("_tokens").alias("length"), counts(F.col("_tokens")).alias("words")), "counted")
-    lengths = counted.groupBy("doc_id", "length").agg(F.count("*").alias("rows"))
-    classes = lengths.groupBy(length_class(F.col("length")).alias("c")).agg(
-        F.count("*").alias("n"), F.sum("length").alias("s"), F.max("rows").alias("most")
+    pairs = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
+    row = T.StructType([T.StructField("doc_id", id_type), T.StructField("length", T.IntegerType()), T.StructField("words", pairs)])
+    counted = cut_lineage(texts.mapInArrow(_counted, row), "counted")
+    classes = counted.select("doc_id", "length").distinct().groupBy(length_class(F.col("length")).alias("c")).agg(
+        F.count("*").alias("n"), F.sum("length").alias("s")
     ).collect()
     n = sum(r["n"] for r in classes)
     mean = sum(r["s"] for r in classes) / n if n else 0.0
-    block, blocks = block_of([(r["c"], r["n"]) for r in classes], block_docs)
+    block, blocks = block_of([(r["c"], max(r["n"], -(-r["s"] * block_docs // BLOCK_TOKENS))) for r in classes], block_docs)
     of_shard = max(SHARD_BLOCKS, -(-blocks // SHARDS))
     # Whole documents go to their block; all that follows happens there.
-    dealt = counted.where("length > 0").withColumn("block", block).repartition("block")
-    hits = dealt.select("block", "doc_id", "length", F.inline("words"))
-    if any(r["most"] > 1 for r in classes):
-        hits = hits.groupBy("block", "term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
-    tf = F.col("tf")
-    weight = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("length") / (mean or 1.0)))
-    lists = (
-        hits.select("block", "term", "doc_id", weight.alias("weight"))
-        .groupBy("block", "term")
-        .agg(F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("hits"), F.max("weight").alias("top"))
-        .select(
-            F.floor(F.col("block") / of_shard).cast("int").alias("shard"), "block", "term", "top",
-            F.col("hits.doc_id").alias("docs"), F.col("hits.weight").alias("weights"),
-        )
-    )
+    dealt = counted.where("length > 0").withColumn("block", block)
+    columns = ["shard int", "block int", "term string", "top double", f"docs array<{id_type.simpleString()}>", "weights array<double>"]
+    names = [c.split()[0] for c in columns]
+
+    def listed(docs: pa.Table) -> pa.Table:
+        return lists_of_block(docs, mean or 1.0, of_shard, names)
+
+    lists = dealt.groupBy("block").applyInArrow(listed, ", ".join(columns))
     lists = lists.sortWithinPartitions("shard", "term", "block")
     if mean:
         lists.write.partitionBy("shard").parquet(f"{path}/postings")

@@ -104,6 +104,31 @@ def test_search_moves_documents_whole_and_looks_up_blocks_and_terms_apart(spark,
     assert found.count() == 160 and ["block", "term"] not in met
 
 
+def test_lists_are_made_in_their_block_and_long_documents_make_smaller_blocks(spark, monkeypatch):
+    """Ids that are text, null or repeat; a row that comes twice adds up; no block holds much more than the bounded tokens."""
+    monkeypatch.setattr(text_index, "BLOCK_TOKENS", 60)
+    rng = random.Random(5)
+    docs = [(f"d{i:02d}", " ".join(rng.choices("abcdefgh", k=20))) for i in range(40)]
+    docs += [docs[3], docs[3], ("d05", "A, b!"), (None, "b c"), ("none", None), ("empty", "!")]
+    index = text_index.build_index(spark.createDataFrame(docs, "doc_id string, text string").repartition(3), scratch_path(spark, "index"))
+    words = Counter((i, t) for i, t in docs if t is not None)
+    parts = {(i, t): Counter(re.findall("[a-z]", t.lower())) for i, t in words}
+    mean = sum(sum(c.values()) for c in parts.values()) / len(parts)
+    expected = {}
+    for (i, t), tfs in parts.items():
+        for term, tf in tfs.items():
+            n = tf * words[i, t]
+            expected.setdefault(term, []).append((i, round(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(tfs.values()) / mean)), 9)))
+    found = {}
+    for r in index.table("postings").collect():
+        pairs = list(zip(r.docs, r.weights))
+        assert pairs == sorted(pairs, key=lambda p: (p[0] is not None, p[0] or "")) and r.top == max(r.weights)
+        found.setdefault(r.term, []).extend((i, round(w, 9)) for i, w in pairs)
+    assert {t: sorted(p, key=str) for t, p in found.items()} == {t: sorted(p, key=str) for t, p in expected.items()}
+    stats = index.table("stats").first()
+    assert stats["n"] == len(parts) and stats["blocks"] >= 800 / 60
+
+
 def test_index_of_odd_documents(spark):
     for docs in ([], [(1, None), (2, ""), (3, "!!")], [(1, "a"), (1, "a b"), (None, "a")]):
         d = spark.createDataFrame(docs, "doc_id long, text string")
