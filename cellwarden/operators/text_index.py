@@ -62,7 +62,7 @@ def length_class(length: Column) -> Column:
     return F.floor(2 * F.log2(length + 1)).cast("int")
 
 
-def block_of(classes: list[tuple[int, int]], block_docs: int) -> tuple[Column, int]:
+def block_of(classes: list[tuple[int, int]], block_docs: int, length: str = "length") -> tuple[Column, int]:
     """Block of a document by ``length`` and ``doc_id``, and the number of blocks; ``classes`` holds (class, documents)."""
     firsts, sizes, total = [], [], 0
     for name, docs in sorted(classes):  # a class per half octave of lengths
@@ -72,7 +72,7 @@ def block_of(classes: list[tuple[int, int]], block_docs: int) -> tuple[Column, i
         total += number
     if not classes:
         return F.lit(0), 0
-    own = length_class(F.col("length"))
+    own = length_class(F.col(length))
     return F.create_map(*firsts)[own] + F.pmod(F.xxhash64("doc_id"), F.create_map(*sizes)[own]).cast("int"), total
 
 
@@ -95,7 +95,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lists_of_block(docs: pa.Table, mean: float, of_shard: int, names: list[str]) -> pa.Table:
-    """One row per term of a block: its documents in order, their weights and the greatest weight. Rows of one id and length add up."""
+    """One row per term of a block: its documents in order, their weights and the greatest weight. Rows of one id add up."""
     own = pc.dictionary_encode(docs["doc_id"].combine_chunks(), null_encoding="encode")
     ids = own.dictionary
     place = np.empty(len(ids), dtype=np.int64)
@@ -118,13 +118,18 @@ def lists_of_block(docs: pa.Table, mean: float, of_shard: int, names: list[str])
     tf = np.add.reduceat(pairs.field("tf").to_numpy()[sort].astype(np.int64), starts)
     term, hit = np.divmod(key[starts], len(first))
     weights = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[first[hit]] / mean))
+    rows = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(term) != 0]), len(term)])
+    # Weights of rows of one id but several lengths add up to one entry.
+    whose = document[first[hit]]
+    starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(whose) != 0)])
+    weights, term, hit = np.add.reduceat(weights, starts), term[starts], hit[starts]
     runs = np.flatnonzero(np.r_[True, np.diff(term) != 0])
     ends = pa.array(np.r_[runs, len(term)], pa.int32())
     block = docs["block"][0].as_py()
     return pa.Table.from_arrays(
         [
             pa.array(np.full(len(runs), block // of_shard), pa.int32()), pa.array(np.full(len(runs), block), pa.int32()),
-            terms.dictionary.take(pa.array(term[runs])), pa.array(np.maximum.reduceat(weights, runs)),
+            terms.dictionary.take(pa.array(term[runs])), pa.array(np.maximum.reduceat(weights, runs)), pa.array(rows, pa.int64()),
             pa.ListArray.from_arrays(ends, docs["doc_id"].combine_chunks().take(pa.array(first[hit]))), pa.ListArray.from_arrays(ends, pa.array(weights)),
         ],
         names=names,
@@ -140,16 +145,28 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     pairs = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
     row = T.StructType([T.StructField("doc_id", id_type), T.StructField("length", T.IntegerType()), T.StructField("words", pairs)])
     counted = cut_lineage(texts.mapInArrow(_counted, row), "counted")
-    classes = counted.select("doc_id", "length").distinct().groupBy(length_class(F.col("length")).alias("c")).agg(
-        F.count("*").alias("n"), F.sum("length").alias("s")
+    # Rows that share an id go to one block, that of the longest.
+    key = F.xxhash64("doc_id").alias("key")
+    ids = counted.select("doc_id", "length").distinct().groupBy(key).agg(
+        F.max("length").alias("longest"), F.count("*").alias("n"), F.sum("length").alias("s")
+    )
+    classes = ids.groupBy(length_class(F.col("longest")).alias("c")).agg(
+        F.count("*").alias("ids"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("n").alias("most")
     ).collect()
     n = sum(r["n"] for r in classes)
     mean = sum(r["s"] for r in classes) / n if n else 0.0
-    block, blocks = block_of([(r["c"], max(r["n"], -(-r["s"] * block_docs // BLOCK_TOKENS))) for r in classes], block_docs)
+    sizes = [(r["c"], max(r["ids"], -(-r["s"] * block_docs // BLOCK_TOKENS))) for r in classes]
+    block, blocks = block_of(sizes, block_docs, "longest")
     of_shard = max(SHARD_BLOCKS, -(-blocks // SHARDS))
     # Whole documents go to their block; all that follows happens there.
-    dealt = counted.where("length > 0").withColumn("block", block)
-    columns = ["shard int", "block int", "term string", "top double", f"docs array<{id_type.simpleString()}>", "weights array<double>"]
+    dealt = counted.where("length > 0")
+    if any(r["most"] > 1 for r in classes):
+        dealt = lookup_join(dealt.withColumn("key", key), ids.where("n > 1").select("key", "longest"), ["key"], "left").drop("key")
+        dealt = dealt.withColumn("longest", F.coalesce("longest", "length"))
+    else:
+        dealt = dealt.withColumn("longest", F.col("length"))
+    dealt = dealt.select("doc_id", "length", "words", block.alias("block"))
+    columns = ["shard int", "block int", "term string", "top double", "rows long", f"docs array<{id_type.simpleString()}>", "weights array<double>"]
     names = [c.split()[0] for c in columns]
 
     def listed(docs: pa.Table) -> pa.Table:
@@ -162,7 +179,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     else:  # no token at all: a folder without partitions would have no schema
         lists.write.parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).write.parquet(f"{path}/terms")
+    written.groupBy("term").agg(F.sum("rows").alias("df")).write.parquet(f"{path}/terms")
     spark.range(1).select(F.lit(n).alias("n"), F.lit(mean).alias("mean_length"), F.lit(blocks).alias("blocks")).write.parquet(f"{path}/stats")
     return TextIndex(spark, path)
 
